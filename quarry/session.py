@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "quarry") -> SparkSession:
+def local_session(cpus: int | None = None, app: str = "quarry", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings the tests and the benchmark share.
 
     On a cluster, pass your own session to the operators instead: none of them creates one.
@@ -22,5 +22,6 @@ def local_session(cpus: int | None = None, app: str = "quarry") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map=conf or {"spark.sql.mapKeyDedupPolicy": "EXCEPTION"})
         .getOrCreate()
     )
