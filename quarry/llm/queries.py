@@ -6,20 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import suffix_dedup
+from quarry.llm import decontaminate, lang_id, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predictions(_table(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 

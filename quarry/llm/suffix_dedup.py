@@ -10,8 +10,9 @@ document or another; strings are judged on the input, and overlaps count.
 2. Equal segments are counted; a segment that occurs twice is repeated whole. Only distinct
    segments that share an anchor have to be compared byte by byte.
 3. Those segments, grouped by anchor in blocks of bounded size, go through the column-wise
-   construction: each round inserts one symbol of every segment into the block's transform and
-   updates the common prefixes of neighbouring suffixes. A suffix whose common prefix with a
+   construction: each round inserts one symbol of every string into the block's transform and
+   updates the common prefixes of neighbouring suffixes. (Symbols are 8 bytes; a segment counts as
+   8 strings, from each of its first 8 bytes on, so that suffixes begin at every byte.) A suffix whose common prefix with a
    neighbour reaches `length` is a repeated string. Blocks are streams of rows between stages
    (Spark's shuffle and the tables in the shared folder are the sequential external files).
 4. An anchor with very many distinct segments is dealt anew: its strings get narrower, longer
@@ -38,7 +39,7 @@ GRAM = 32
 #: Positions that are hashed at once.
 SLAB = 1 << 18
 #: Bytes of segments that one transform holds.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 150_000
 #: Distinct segments of an anchor from which its strings are dealt anew, and over how many neighbouring strings.
 HOT_SEGMENTS, HOT_WIDTHS = 4096, (12, 1)
 
@@ -127,28 +128,45 @@ def _occurrences(length: int):
     return run
 
 
-def bwt_lcp(segments: list[bytes], cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The transform of a collection and its common prefixes up to `cap`, built one column at a time.
+def _symbols(segments: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts each segment, from each of its first `width` bytes on, into symbols of `width` bytes.
 
-    Symbols are bytes plus 1; 0 stands where a segment begins. Empty suffixes come first, in the
-    order of the segments. Round j inserts the suffixes of length j: that of segment i, below the
-    row of its suffix of length j-1, goes to the place its next symbol has among all rows with
-    that symbol.
+    Returns the rank (from 1) of the symbol at each byte of the joined segments, and per string its
+    segment, first byte and number of symbols. The suffixes of all these strings begin at every
+    byte, and two of them share 200 bytes just when they share 200/width symbols.
     """
-    m = len(segments)
-    lengths = np.fromiter(map(len, segments), np.int64, m)
     data = np.frombuffer(b"".join(segments), np.uint8)
-    ends = np.cumsum(lengths)
+    lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+    begins = np.cumsum(lengths) - lengths
+    value = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        value[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (width - 1 - k))
+    distinct, rank = np.unique(value, return_inverse=True)
+    rank = (rank + 1).astype(np.uint16 if len(distinct) < 65_535 else np.uint32)
+    segment = np.repeat(np.arange(len(segments)), width)
+    phase = np.tile(np.arange(width), len(segments))
+    return rank, segment, begins[segment] + phase, np.maximum(lengths[segment] - phase, 0) // width
+
+
+def bwt_lcp(rank: np.ndarray, first: np.ndarray, count: np.ndarray, width: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transform of a collection and its common prefixes up to `cap`, built one column at a time.
+
+    String i has the symbols rank[first[i] + width * k], k < count[i]; 0 stands where a string
+    begins. Empty suffixes come first, in the order of the strings. Round j inserts the suffixes of
+    length j: that of string i, below the row of its suffix of length j-1, goes to the place that
+    its next symbol has among all rows with that symbol.
+    """
+    m = len(first)
 
     def column(j: int, which: np.ndarray) -> np.ndarray:
         """The symbol before the suffix of length j."""
-        at = ends[which] - 1 - j
-        return np.where(lengths[which] > j, data[np.maximum(at, 0)] + np.uint8(1), np.uint8(0)).astype(np.uint8)
+        left = count[which] > j
+        return np.where(left, rank[np.where(left, first[which] + width * (count[which] - 1 - j), 0)], 0).astype(rank.dtype)
 
     active = np.arange(m)
     bwt, lcp, rows = column(0, active), np.zeros(m, np.uint8), np.arange(m)
-    for j in range(1, int(lengths.max(initial=0)) + 1):
-        keep = lengths[active] >= j
+    for j in range(1, int(count.max(initial=0)) + 1):
+        keep = count[active] >= j
         active, rows = active[keep], rows[keep]
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
@@ -156,20 +174,18 @@ def bwt_lcp(segments: list[bytes], cap: int = LENGTH) -> tuple[np.ndarray, np.nd
         place[order] = np.arange(n)
         by_symbol = np.argsort(place[rows])
         active, rows = active[by_symbol], rows[by_symbol]
-        rank, symbol = place[rows], bwt[rows]
-        zeros = int(np.count_nonzero(bwt == 0))
-        before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, n - 1)]
-        has_before = (rank > 0) & (bwt[before] == symbol)
-        has_after = (rank < n - 1) & (bwt[after] == symbol)
+        at, symbol = place[rows], bwt[rows]
+        before, after = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, n - 1)]
+        has_before = (at > 0) & (bwt[before] == symbol)
+        has_after = (at < n - 1) & (bwt[after] == symbol)
         padded = np.append(lcp, np.uint8(0))
         up, down = np.zeros(len(rows), np.uint8), np.zeros(len(rows), np.uint8)
         up[has_before] = _least(padded, before[has_before] + 1, rows[has_before] + 1, cap)
         down[has_after] = _least(padded, rows[has_after] + 1, after[has_after] + 1, cap)
-        rows = m + rank - zeros
-        is_new = np.zeros(n + len(rows), bool)
-        is_new[rows] = True
-        grown, prefixes = np.empty(len(is_new), np.uint8), np.empty(len(is_new), np.uint8)
-        old = ~is_new
+        rows = m + at - (n - int(np.count_nonzero(bwt)))
+        old = np.ones(n + len(rows), bool)
+        old[rows] = False
+        grown, prefixes = np.empty(len(old), rank.dtype), np.empty(len(old), np.uint8)
         grown[old], prefixes[old] = bwt, lcp
         grown[rows], prefixes[rows] = column(j, active), up
         prefixes[rows[has_after] + 1] = down[has_after]
@@ -190,25 +206,25 @@ def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, cap: int) ->
 
 def repeated_suffixes(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, which strings of `length` bytes in it occur again in the collection."""
-    bwt, lcp = bwt_lcp(segments, length)
-    best = np.maximum(lcp, np.append(lcp[1:], np.uint8(0))) >= length
+    width = next(w for w in (8, 5, 4, 3, 2, 1) if length % w == 0)
+    cap = length // width
+    rank, segment, first, count = _symbols(segments, width)
+    bwt, lcp = bwt_lcp(rank, first, count, width, cap)
+    best = np.maximum(lcp, np.append(lcp[1:], np.uint8(0))) >= cap
     order = np.argsort(bwt, kind="stable")
     place = np.empty(len(bwt), np.int64)
     place[order] = np.arange(len(bwt))
-    m, zeros = len(segments), int(np.count_nonzero(bwt == 0))
-    lengths = np.fromiter(map(len, segments), np.int64, m)
-    out = [np.zeros(max(0, n - length + 1), bool) for n in lengths.tolist()]
-    flat, begins = np.zeros(int(np.maximum(lengths - length + 1, 0).sum()), bool), np.cumsum(np.maximum(lengths - length + 1, 0)) - np.maximum(lengths - length + 1, 0)
+    m, zeros = len(first), len(bwt) - int(np.count_nonzero(bwt))
+    found = np.zeros(len(rank), bool)
     active, rows = np.arange(m), np.arange(m)
-    for j in range(1, int(lengths.max(initial=0)) + 1):
-        keep = lengths[active] >= j
+    for j in range(1, int(count.max(initial=0)) + 1):
+        keep = count[active] >= j
         active, rows = active[keep], rows[keep]
         rows = m + place[rows] - zeros
-        if j >= length:
-            flat[begins[active] + lengths[active] - j] = best[rows]
-    for i, n in enumerate(map(len, out)):
-        out[i] = flat[begins[i] : begins[i] + n]
-    return out
+        if j >= cap:
+            found[first[active] + width * (count[active] - j)] = best[rows]
+    ends = np.cumsum([len(x) for x in segments])
+    return [found[end - len(x) : max(end - len(x), end - length + 1)] for x, end in zip(segments, ends.tolist(), strict=True)]
 
 
 def _ranges(repeated: np.ndarray, length: int) -> list[tuple[int, int]]:
