@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
-import regex
 
-#: Pieces whose ids a worker keeps; beyond them it starts anew.
-_MOST_PIECES = 400_000
-_PIECE = regex.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-#: White space besides the four plain kinds, which a piece may not be cut beside.
-_ODD_SPACE = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\p{Z}--[\x20]]", regex.V1)
+#: Words whose ids a worker keeps; beyond them it starts anew.
+_MOST_WORDS = 1_200_000
+#: A space before other white space or at the end: only there do tokens depend on what is beyond a space.
+_RUN = re.compile(r" \s| \Z")
 
 
 class WordEncoder:
-    """Encodes texts piece by piece: a piece is a run of plain white space with the word after it.
+    """Encodes texts word by word, a word being what stands between single spaces.
 
-    The tokenizers served here split words from the white space before them, never within what a
-    piece holds and the next one begins with, so pieces encode as they do within the text. Texts
-    with other white space are encoded whole.
+    The tokenizers served here (split by words with the space before them, or without white space)
+    never join what is before a single space with the space, so words encode as they do within the
+    text. Texts with runs of white space that hold a space are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,26 +31,31 @@ class WordEncoder:
         self._known: dict[str, bytes] = {}
         self._type = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self._type).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._type).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words with a space before each, all in one encoding."""
+        new = [w for w in words if w not in self._known]
+        if len(self._known) + len(new) > _MOST_WORDS:
+            self._known.clear()
+            new = list(words)
+        if not new:
+            return
+        found = self._tokenizer.encode([" " + w for w in new], is_pretokenized=True, add_special_tokens=False)
+        ids, word = np.array(found.ids, self._type).tobytes(), np.array(found.word_ids, np.int64)
+        size = self._type.itemsize
+        ends = (np.searchsorted(word, np.arange(len(new)), side="right") * size).tolist()
+        self._known.update(zip(new, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out = []
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                out.append(self._encode([text])[0])
-                continue
-            pieces = _PIECE.findall(text)
-            known = self._known
-            new = [p for p in set(pieces) if p not in known]
-            if new:
-                if len(known) + len(new) > _MOST_PIECES:
-                    known.clear()
-                    new = list(set(pieces))
-                known.update(zip(new, self._encode(new), strict=True))
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        return [np.frombuffer(x, self._type) for x in out]
+        parts = [None if _RUN.search(t) else t.split(" ") for t in texts]
+        for at in range(0, len(parts), 64):
+            self._learn({w for p in parts[at : at + 64] if p for w in p[1:]})
+            for k, (t, p) in enumerate(zip(texts[at : at + 64], parts[at : at + 64], strict=True), at):
+                parts[k] = self._whole(t) if p is None else self._whole(p[0]) + b"".join(map(self._known.__getitem__, p[1:]))
+        return [np.frombuffer(x, self._type) for x in parts]
 
 
 _loaded: dict[str, WordEncoder] = {}
