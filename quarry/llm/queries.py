@@ -6,22 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, lang_id, simhash, suffix_dedup
+import public_tokenizers
+
+from quarry.llm import chunk_dedup, decontaminate, lang_id, lm_scoring, packing, sharding, simhash, suffix_dedup, token_store, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_runs(_table(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir))
     return found.select("doc_id", simhash.hex_print("print").alias("fingerprint"), "component_id")
 
 
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.document_features(_table(spark, sf_dir))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir))
+
+
+def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir))
 
@@ -32,8 +58,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_token_store": op3_token_store,
+        "op4_chunk_dedup": op4_chunk_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_transport_stream": op6_transport_stream,
+        "op7_lm_scoring": op7_lm_scoring,
+        "op8_hash_tree_sharding": op8_hash_tree_sharding,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_language_id": op10_language_id,
     }
