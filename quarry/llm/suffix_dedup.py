@@ -382,32 +382,39 @@ def _unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        removed, spans_out, kept = [], [], []
-        for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            united = _unite([(x["a"], x["b"]) for x in spans or ()])
-            parts, at = [], 0
-            for a, b in united:
-                parts.append(body[at:a])
-                at = b
-            parts.append(body[at:])
-            kept.append(b"".join(parts))
-            removed.append(sum(b - a for a, b in united))
-            spans_out.append([{"a": a, "b": b} for a, b in united])
-        rest = [batch.column(k) for k in batch.schema.names if k not in ("body", "spans")]
-        names = [k for k in batch.schema.names if k not in ("body", "spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(list(map(len, batch.column("body").to_pylist())), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())],
-            names=[*names, "n_bytes", "n_removed", "removed_spans", "kept"],
-        )
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+def _cut(as_text: bool):
+    spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, removed, spans_out, kept = [], [], [], []
+            for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                united = _unite([(x["a"], x["b"]) for x in spans or ()])
+                parts, at = [], 0
+                for a, b in united:
+                    parts.append(body[at:a])
+                    at = b
+                parts.append(body[at:])
+                left = b"".join(parts)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                sizes.append(len(body))
+                removed.append(sum(b - a for a, b in united))
+                spans_out.append([{"a": a, "b": b} for a, b in united])
+            names = [k for k in batch.schema.names if k not in ("body", "spans")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_out, spans_type), pa.array(kept, pa.string() if as_text else pa.binary())],
+                names=[*names, "n_bytes", "n_removed", "removed_spans", "kept"],
+            )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **limits: int) -> DataFrame:
     """Every row of docs with its repeated bytes cut out.
 
     Adds n_bytes, n_removed, removed_spans (array of a, b in bytes of the input) and kept (binary:
-    the remaining bytes). Replaces columns of docs with these names. A null text has n_bytes 0.
+    the remaining bytes; with as_text a string, without characters that a cut left in part).
+    Replaces columns of docs with these names. A null text has n_bytes 0 and keeps nothing.
     Empty tables give empty results; texts shorter than `length` are kept.
     """
     added = ("n_bytes", "n_removed", "removed_spans", "kept")
@@ -416,8 +423,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> Data
     packed = base.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("doc_hash"), common.text_or_empty().cast("binary").alias("body"))
     spans = find_repeats(docs, length, **limits)
     joined = packed.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.doc_hash") == F.col("s.doc_hash")), "left").select("d.row", "d.body", "s.spans")
-    schema = T.StructType([*joined.select("row").schema, *T.StructType.fromDDL("n_bytes long, n_removed long, removed_spans array<struct<a:int,b:int>>, kept binary")])
-    return joined.mapInArrow(_cut, schema).select("row.*", *added)
+    schema = T.StructType([*joined.select("row").schema, *T.StructType.fromDDL("n_bytes long, n_removed long, removed_spans array<struct<a:int,b:int>>, kept " + ("string" if as_text else "binary"))])
+    return joined.mapInArrow(_cut(as_text), schema).select("row.*", *added)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
