@@ -40,7 +40,7 @@ _sql("rule_analytics", """SELECT u.user_id, count(e.event_id) AS uses, sum(CASE
     FROM (SELECT DISTINCT user_id FROM events) AS u LEFT JOIN (SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('purchase', 'error', 'click')) AS e ON u.user_id = e.user_id GROUP BY u.user_id""")
 _sql("usage_decay", "SELECT user_id, CAST(floor(count(*) * power(CAST(0.98 AS double), CAST(count(DISTINCT event_type) AS double))) AS bigint) AS decayed, count(*) AS usage FROM events GROUP BY user_id")
 _sql("degree_stats", "SELECT round(avg(degree), 6) AS avg_degree, max(degree) AS max_degree, min(degree) AS min_degree FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY l_suppkey) AS d")
-_sql("cohesion_coupling", """SELECT c.r_name, round(sum(CASE WHEN s.n_regionkey = p.n_regionkey THEN 1.0 ELSE 0.0 END) / count(*), 6) AS cohesion, round(sum(CASE WHEN s.n_regionkey <> p.n_regionkey THEN 1.0 ELSE 0.0 END) / count(*), 6) AS coupling
+_sql("cohesion_coupling", """SELECT c.r_name, round(sum(CASE WHEN s.n_regionkey = p.n_regionkey THEN CAST(1 AS double) ELSE CAST(0 AS double) END) / count(*), 6) AS cohesion, round(sum(CASE WHEN s.n_regionkey <> p.n_regionkey THEN CAST(1 AS double) ELSE CAST(0 AS double) END) / count(*), 6) AS coupling
     FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) AS l JOIN supplier ON l.l_suppkey = s_suppkey JOIN (SELECT n_nationkey AS sn, n_regionkey FROM nation) AS s ON s_nationkey = s.sn
     JOIN (SELECT o_orderkey, o_custkey FROM orders) AS o ON l.l_orderkey = o.o_orderkey JOIN (SELECT c_custkey, c_nationkey FROM customer) AS k ON o.o_custkey = k.c_custkey JOIN (SELECT n_nationkey AS pn, n_regionkey FROM nation) AS p ON k.c_nationkey = p.pn
     JOIN (SELECT r_regionkey, r_name FROM region) AS c ON s.n_regionkey = c.r_regionkey GROUP BY c.r_name""")
