@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,17 @@ def html_text(html: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
+
+
+def snippet(text: Column, term: str, around: int = 3, separator: str = "\n") -> Column:
+    """struct(reason, line, snippet): the lines around the first that holds the term, else the head of the text.
+
+    Terms match without regard to case; lines count from 1; a null text gives reason `none`.
+    """
+    lines = F.split(text, re.escape(separator))
+    hit = F.array_position(F.transform(lines, lambda s: F.lower(s).contains(term.lower())), True).cast("int")
+    line = F.when(text.isNotNull(), F.greatest(hit, F.lit(1)))
+    first = F.greatest(line - around, F.lit(1))
+    body = F.array_join(F.slice(lines, first, line + around - first + 1), separator)
+    reason = F.when(text.isNull(), "none").when(hit > 0, "match").otherwise("head")
+    return F.struct(reason.alias("reason"), line.alias("line"), body.alias("snippet"))
