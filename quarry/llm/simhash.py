@@ -8,11 +8,15 @@ differences of their shared bits: a pair of groups beyond the distance goes as a
 
 A bucket gives out no pairs but a spanning forest: links to the least member of each local
 component. Components over all buckets are then found by star operations on written tables.
+
+Fingerprints of several words (`wide_near_duplicates`) differ in too many bits for blocks at a
+Jaccard similarity of 0.8, so their buckets are tables of sampled bits: each table deals by
+`sampled` places, and a link is missed only if every table holds a differing place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +37,9 @@ HOT_BUCKET = 20_000
 INDEX_ROWS, PAIRS = 40_000, 1 << 17
 #: Shingles whose bits are counted at once.
 _COUNTED = 1 << 14
+#: Wide fingerprints: words of 64 bits, differing bits, tables and places a table. At a Jaccard similarity of
+#: 0.8 bits differ with probability 0.152: 39 of 256 (deviation 5.7), and 40 tables of 14 places find 98 %.
+WIDE_WORDS, WIDE_DISTANCE, TABLES, SAMPLED = 4, 48, 40, 14
 
 
 def fingerprint(body: bytes, words: int = WORDS, rounds: int = 1) -> list[int]:
@@ -97,22 +104,26 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Fingerprints sorted by (bucket, Gray rank), with levels of nodes above them.
 
+    A fingerprint is one word of 64 bits or a row of them.
+
     Level 0 are the fingerprints. A node stands for up to FAN neighbours of one bucket: `masks` are
     the bits on which they agree, `bits` their values there. The top level has a node a bucket.
     """
 
     def __init__(self, bucket: np.ndarray, prints: np.ndarray) -> None:
-        self.order = np.lexsort((gray_rank(prints), bucket))
+        prints = prints.reshape(len(bucket), -1)
+        self.width = 64 * prints.shape[1]
+        self.order = np.lexsort((*(gray_rank(prints[:, k]) for k in range(prints.shape[1] - 1, -1, -1)), bucket))
         owner = np.unique(bucket[self.order], return_inverse=True)[1]
-        self.bits, self.masks = [prints[self.order]], [np.full(len(prints), ~np.uint64(0))]
+        self.bits, self.masks = [prints[self.order]], [np.full(prints.shape, ~np.uint64(0))]
         self.first: list[np.ndarray] = []
         while len(owner) > owner[-1] + 1:
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             inside = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
             first = np.flatnonzero(inside % FAN == 0)
             bits, masks = self.bits[-1], self.masks[-1]
-            every, some = np.bitwise_and.reduceat(bits, first), np.bitwise_or.reduceat(bits, first)
-            mask = np.bitwise_and.reduceat(masks, first) & ~(every ^ some)
+            every, some = np.bitwise_and.reduceat(bits, first, 0), np.bitwise_or.reduceat(bits, first, 0)
+            mask = np.bitwise_and.reduceat(masks, first, 0) & ~(every ^ some)
             self.first.append(np.append(first, len(owner)))
             self.bits.append(every & mask)
             self.masks.append(mask)
@@ -139,14 +150,14 @@ class GrayIndex:
                 stack += [(level, a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, len(a), PAIRS)][::-1]
                 continue
             shared = self.masks[level][a] & self.masks[level][b]
-            least = np.bitwise_count((self.bits[level][a] ^ self.bits[level][b]) & shared).astype(np.int64)
+            least = np.bitwise_count((self.bits[level][a] ^ self.bits[level][b]) & shared).sum(1, dtype=np.int64)
             close = least <= distance
             a, b, shared, least = a[close], b[close], shared[close], least[close]
             if level == 0:
                 label = _united(label, a, b)
                 continue
             # groups of which each member is close to each: one chain of links is enough
-            sure = least + 64 - np.bitwise_count(shared).astype(np.int64) <= distance
+            sure = least + self.width - np.bitwise_count(shared).sum(1, dtype=np.int64) <= distance
             if sure.any():
                 ends = spans[level]
                 for x, y in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
@@ -203,7 +214,12 @@ def _forest(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "print", "node")))
+            prints = batch.column("print")
+            if pa.types.is_list(prints.type):
+                prints = prints.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            else:
+                prints = prints.to_numpy(zero_copy_only=False)
+            held.append((batch.column("bucket").to_numpy(zero_copy_only=False), prints, batch.column("node").to_numpy(zero_copy_only=False)))
             if sum(len(x[0]) for x in held) >= INDEX_ROWS:
                 whole = tuple(map(np.concatenate, zip(*held, strict=True)))
                 cut = int(np.flatnonzero(whole[0] == whole[0][-1])[0])
@@ -257,6 +273,53 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot_
     return found.select("bucket", "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(distance), "u long, v long")
 
 
+def _groups(named: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, print and component_id of each row of (doc_id, prints, node); `linked` gives the links of all nodes."""
+    nodes = common.written(named.groupBy("node").agg(F.min("prints").alias("prints"), F.min("doc_id").alias("first_doc")), "nodes")
+    roots = connected_components(linked(nodes))
+    grouped = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    group = common.written(grouped.join(least, "root").select("node", "component_id"), "groups")
+    return named.join(group, "node").select("doc_id", F.col("prints")[0].alias("print"), "component_id")
+
+
+def _sampled(rows: DataFrame, width: int, tables: int, sampled: int, bucket: Column, seed: int) -> DataFrame:
+    """Each row once for each table, with the bucket of the table's places in `print` (array of `width` words)."""
+    draw = np.random.default_rng(seed)
+    dealt = []
+    for _ in range(tables):
+        places = draw.choice(64 * width, sampled, replace=False).tolist()
+        masks = [sum(1 << p % 64 for p in places if p // 64 == k) for k in range(width)]
+        dealt.append(F.array(*[F.col("print")[k].bitwiseAND(F.lit(_signed(m)).cast("long")) for k, m in enumerate(masks)]))
+    return rows.select("*", F.posexplode(F.array(*dealt)).alias("t", "b")).withColumn("bucket", F.xxhash64(bucket, "t", "b")).drop("t", "b")
+
+
+def wide_links(nodes: DataFrame, width: int, distance: int, tables: int, sampled: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Links (u, v) that connect nodes (node, prints) whose whole prints are within `distance` bits and meet in a table.
+
+    A bucket with over `hot_bucket` prints is dealt anew over as many tables of other places.
+    """
+    rows = nodes.select("node", F.col("prints").alias("print"))
+    dealt = _sampled(rows, width, tables, sampled, F.lit(0), SEED)
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > hot_bucket)
+    hot = common.written(sizes.select("bucket"), "hot_buckets")
+    found = dealt
+    if not hot.isEmpty():
+        again = dealt.join(hot, "bucket", "left_semi")
+        found = dealt.join(hot, "bucket", "left_anti").unionByName(_sampled(again, width, tables, sampled, F.col("bucket"), SEED + 1))
+    return found.select("bucket", "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(distance), "u long, v long")
+
+
+def wide_near_duplicates(docs: DataFrame, words: int = 5, width: int = WIDE_WORDS, distance: int = WIDE_DISTANCE, tables: int = TABLES, sampled: int = SAMPLED, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """doc_id and component_id as near_duplicates() gives them, by fingerprints of `width` words compared as a whole.
+
+    The defaults link shingles of five words at a Jaccard similarity of 0.8 or more in about 92 of
+    100 cases just there and nearly always above 0.85; below it, 4 of 10 pairs at 0.7 and 2 of 1,000 at 0.5.
+    """
+    prints = common.written(fingerprints(docs, words, width), "prints")
+    return _groups(prints.withColumn("node", F.xxhash64("prints")), lambda nodes: wide_links(nodes, width, distance, tables, sampled, hot_bucket))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, rounds: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """doc_id, print (signed) and component_id (the smallest doc_id reachable by links) of each row.
 
@@ -267,12 +330,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     prints = common.written(fingerprints(docs, words, rounds), "prints")
     node = F.col("prints")[0] if rounds == 1 else F.xxhash64("prints")
     named = prints.withColumn("node", node)
-    nodes = common.written(named.groupBy("node").agg(F.min("prints").alias("prints"), F.min("doc_id").alias("first_doc")), "nodes")
-    roots = connected_components(links(nodes, distance, blocks, hot_bucket))
-    grouped = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    group = common.written(grouped.join(least, "root").select("node", "component_id"), "groups")
-    return named.join(group, "node").select("doc_id", F.col("prints")[0].alias("print"), "component_id")
+    return _groups(named, lambda nodes: links(nodes, distance, blocks, hot_bucket))
 
 
 def hex_print(print_: Column | str = "print") -> Column:

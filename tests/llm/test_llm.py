@@ -162,6 +162,29 @@ def test_repeated_passage_is_found(spark):
     assert {r.doc_id for r in rows} == {1, 2} and all(r.length > 200 for r in rows)
 
 
+def _shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_wide_simhash_links_at_similarity_of_a_document_pair(spark):
+    draw = np.random.default_rng(5)
+    texts, expected = {}, {}
+    for k in range(0, 600, 3):
+        words = [f"w{x}" for x in draw.integers(0, 5000, 300)]
+        changed = list(words)
+        while len(_shingles(" ".join(words)) & _shingles(" ".join(changed))) / len(_shingles(" ".join(words)) | _shingles(" ".join(changed))) > 0.86:
+            changed[draw.integers(0, 300)] = f"x{draw.integers(0, 5000)}"
+        half = words[:150] + [f"y{x}" for x in draw.integers(0, 5000, 150)]
+        texts |= {k: " ".join(words), k + 1: " ".join(changed), k + 2: " ".join(half)}
+        expected |= {k: k, k + 1: k, k + 2: k + 2}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for hot in (simhash.HOT_BUCKET, 1):
+        got = {r.doc_id: r.component_id for r in simhash.wide_near_duplicates(docs, hot_bucket=hot).collect()}
+        missed = [k for k in got if k % 3 == 1 and got[k] != expected[k]]
+        assert len(missed) <= 12 and all(got[k] == expected[k] for k in got if k % 3 != 1)
+
+
 def test_simhash_groups_against_brute_force(spark):
     texts = {k: prose(k // 3, 60 + k % 3 * (k % 2)) for k in range(90)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
