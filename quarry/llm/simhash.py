@@ -40,6 +40,8 @@ _COUNTED = 1 << 14
 #: Wide fingerprints: words of 64 bits, differing bits, tables and places a table. At a Jaccard similarity of
 #: 0.8 bits differ with probability 0.152: 39 of 256 (deviation 5.7), and 40 tables of 14 places find 98 %.
 WIDE_WORDS, WIDE_DISTANCE, TABLES, SAMPLED = 4, 48, 40, 14
+#: Wide fingerprints in a bucket from which it is dealt anew; unrelated ones are compared in about two seconds.
+WIDE_HOT = 4_000
 
 
 def fingerprint(body: bytes, words: int = WORDS, rounds: int = 1) -> list[int]:
@@ -294,7 +296,7 @@ def _sampled(rows: DataFrame, width: int, tables: int, sampled: int, bucket: Col
     return rows.select("*", F.posexplode(F.array(*dealt)).alias("t", "b")).withColumn("bucket", F.xxhash64(bucket, "t", "b")).drop("t", "b")
 
 
-def wide_links(nodes: DataFrame, width: int, distance: int, tables: int, sampled: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def wide_links(nodes: DataFrame, width: int, distance: int, tables: int, sampled: int, hot_bucket: int = WIDE_HOT) -> DataFrame:
     """Links (u, v) that connect nodes (node, prints) whose whole prints are within `distance` bits and meet in a table.
 
     A bucket with over `hot_bucket` prints is dealt anew over as many tables of other places.
@@ -310,11 +312,12 @@ def wide_links(nodes: DataFrame, width: int, distance: int, tables: int, sampled
     return found.select("bucket", "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(distance), "u long, v long")
 
 
-def wide_near_duplicates(docs: DataFrame, words: int = 5, width: int = WIDE_WORDS, distance: int = WIDE_DISTANCE, tables: int = TABLES, sampled: int = SAMPLED, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def wide_near_duplicates(docs: DataFrame, words: int = 5, width: int = WIDE_WORDS, distance: int = WIDE_DISTANCE, tables: int = TABLES, sampled: int = SAMPLED, hot_bucket: int = WIDE_HOT) -> DataFrame:
     """doc_id and component_id as near_duplicates() gives them, by fingerprints of `width` words compared as a whole.
 
-    The defaults link shingles of five words at a Jaccard similarity of 0.8 or more in about 92 of
-    100 cases just there and nearly always above 0.85; below it, 4 of 10 pairs at 0.7 and 2 of 1,000 at 0.5.
+    Measured with the defaults on 200 pairs each of 300 words, shingles of five words: linked are all at a
+    Jaccard similarity of 0.9, 99 % at 0.85, 90 % at 0.8, 44 % at 0.7, 6 % at 0.6 and 0.5 % at 0.5.
+    Null ids, repeated rows and texts without words are treated as in near_duplicates().
     """
     prints = common.written(fingerprints(docs, words, width), "prints")
     return _groups(prints.withColumn("node", F.xxhash64("prints")), lambda nodes: wide_links(nodes, width, distance, tables, sampled, hot_bucket))
