@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register their queries on import.
-MODULES: tuple[str, ...] = ("quarry.plans.core", "quarry.plans.analytics", "quarry.plans.structure")
+MODULES: tuple[str, ...] = ("quarry.plans.core", "quarry.plans.analytics", "quarry.plans.structure", "quarry.plans.ranking")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
