@@ -8,10 +8,6 @@ differences of their shared bits: a pair of groups beyond the distance goes as a
 
 A bucket gives out no pairs but a spanning forest: links to the least member of each local
 component. Components over all buckets are then found by star operations on written tables.
-
-Fingerprints of several words (`wide_near_duplicates`) differ in too many bits for blocks at a
-Jaccard similarity of 0.8, so their buckets are tables of sampled bits: each table deals by
-`sampled` places, and a link is missed only if every table holds a differing place.
 """
 
 from __future__ import annotations
@@ -25,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import common
+from quarry.llm import common, shingle_join
 from quarry.llm.components import connected_components
 
 WORDS, DISTANCE, BLOCKS, SEED = 4, 4, 6, 42
@@ -37,11 +33,6 @@ HOT_BUCKET = 20_000
 INDEX_ROWS, PAIRS = 40_000, 1 << 17
 #: Shingles whose bits are counted at once.
 _COUNTED = 1 << 14
-#: Wide fingerprints: words of 64 bits, differing bits, tables and places a table. At a Jaccard similarity of
-#: 0.8 bits differ with probability 0.152: 39 of 256 (deviation 5.7), and 40 tables of 14 places find 98 %.
-WIDE_WORDS, WIDE_DISTANCE, TABLES, SAMPLED = 4, 48, 40, 14
-#: Wide fingerprints in a bucket from which it is dealt anew; unrelated ones are compared in about two seconds.
-WIDE_HOT = 4_000
 
 
 def fingerprint(body: bytes, words: int = WORDS, rounds: int = 1) -> list[int]:
@@ -285,42 +276,16 @@ def _groups(named: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataF
     return named.join(group, "node").select("doc_id", F.col("prints")[0].alias("print"), "component_id")
 
 
-def _sampled(rows: DataFrame, width: int, tables: int, sampled: int, bucket: Column, seed: int) -> DataFrame:
-    """Each row once for each table, with the bucket of the table's places in `print` (array of `width` words)."""
-    draw = np.random.default_rng(seed)
-    dealt = []
-    for _ in range(tables):
-        places = draw.choice(64 * width, sampled, replace=False).tolist()
-        masks = [sum(1 << p % 64 for p in places if p // 64 == k) for k in range(width)]
-        dealt.append(F.array(*[F.col("print")[k].bitwiseAND(F.lit(_signed(m)).cast("long")) for k, m in enumerate(masks)]))
-    return rows.select("*", F.posexplode(F.array(*dealt)).alias("t", "b")).withColumn("bucket", F.xxhash64(bucket, "t", "b")).drop("t", "b")
-
-
-def wide_links(nodes: DataFrame, width: int, distance: int, tables: int, sampled: int, hot_bucket: int = WIDE_HOT) -> DataFrame:
-    """Links (u, v) that connect nodes (node, prints) whose whole prints are within `distance` bits and meet in a table.
-
-    A bucket with over `hot_bucket` prints is dealt anew over as many tables of other places.
-    """
-    rows = nodes.select("node", F.col("prints").alias("print"))
-    dealt = _sampled(rows, width, tables, sampled, F.lit(0), SEED)
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > hot_bucket)
-    hot = common.written(sizes.select("bucket"), "hot_buckets")
-    found = dealt
-    if not hot.isEmpty():
-        again = dealt.join(hot, "bucket", "left_semi")
-        found = dealt.join(hot, "bucket", "left_anti").unionByName(_sampled(again, width, tables, sampled, F.col("bucket"), SEED + 1))
-    return found.select("bucket", "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(distance), "u long, v long")
-
-
-def wide_near_duplicates(docs: DataFrame, words: int = 5, width: int = WIDE_WORDS, distance: int = WIDE_DISTANCE, tables: int = TABLES, sampled: int = SAMPLED, hot_bucket: int = WIDE_HOT) -> DataFrame:
-    """doc_id and component_id as near_duplicates() gives them, by fingerprints of `width` words compared as a whole.
+def wide_near_duplicates(docs: DataFrame, words: int = shingle_join.WORDS, hot_bucket: int = shingle_join.BLOCK) -> DataFrame:
+    """doc_id and component_id as near_duplicates() gives them, by the exact Jaccard similarity of distinct shingles.
 
-    Measured with the defaults on 200 pairs each of 300 words, shingles of five words: linked are all at a
-    Jaccard similarity of 0.9, 99 % at 0.85, 90 % at 0.8, 44 % at 0.7, 6 % at 0.6 and 0.5 % at 0.5.
-    Null ids, repeated rows and texts without words are treated as in near_duplicates().
+    No fingerprint decides here: shingle_join finds and verifies each pair of 0.8 or more. Buckets
+    of over `hot_bucket` texts are dealt by pairs of blocks. Null ids, repeated rows and texts
+    without words are treated as in near_duplicates().
     """
-    prints = common.written(fingerprints(docs, words, width), "prints")
-    return _groups(prints.withColumn("node", F.xxhash64("prints")), lambda nodes: wide_links(nodes, width, distance, tables, sampled, hot_bucket))
+    found = common.written(shingle_join.groups(docs, words, hot_bucket), "groups")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "root").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, rounds: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:

@@ -185,6 +185,34 @@ def test_wide_simhash_links_at_similarity_of_a_document_pair(spark):
         assert len(missed) <= 12 and all(got[k] == expected[k] for k in got if k % 3 != 1)
 
 
+def _jaccard_groups(texts):
+    sets, root = {k: _shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(root)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_dedup_links_at_exact_jaccard_only(spark):
+    draw, texts = random.Random(11), {}
+    for k in range(0, 240, 2):  # pairs on both sides of 0.8
+        words = prose(500 + k, 80).split()
+        changed = list(words)
+        for at in draw.sample(range(80), draw.randrange(1, 5)):
+            changed[at] = f"other{at}"
+        texts |= {k: " ".join(words), k + 1: " ".join(changed)}
+    line = "this one line stands in very many of them\n"
+    texts |= {k: line * 40 + prose(900 + k, 100) for k in range(240, 270)}  # near by weight, not by set
+    star = prose(7, 60).split()
+    texts |= {k: " ".join([*star[: k % 40], f"new{k}", *star[k % 40 + 1 :]]) for k in range(270, 310)}  # one large bucket
+    want = _jaccard_groups(texts)
+    assert 30 < sum(want[k + 1] == k for k in range(0, 240, 2)) < 110
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for hot in (4_000, 3):
+        assert {r.doc_id: r.component_id for r in simhash.wide_near_duplicates(docs, hot_bucket=hot).collect()} == want
+
+
 def test_simhash_groups_against_brute_force(spark):
     texts = {k: prose(k // 3, 60 + k % 3 * (k % 2)) for k in range(90)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
