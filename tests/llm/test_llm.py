@@ -76,6 +76,12 @@ def test_pipeline_keeps_columns(spark, odd, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
 
 
+def test_near_dedup_keeps_texts_that_share_or_lack_an_id(spark):
+    rows = [(None, "a " + prose(1, 40)), (None, "b " + prose(2, 40)), (7, prose(3, 40)), (7, prose(4, 40)), (7, prose(4, 40)), (3, prose(4, 40)), (None, prose(3, 40))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in (rows[0], rows[1], rows[2], rows[5]))
+
+
 def test_sum_of_squares_against_plain_rule():
     lengths = np.array([random.Random(5).randrange(1, 60) for _ in range(400)])
     gaps, where, got = Counter(), [], packing.sum_of_squares(lengths, 60)
