@@ -4,7 +4,8 @@ Byte n-grams of a text are hashed to rows of an embedding; their mean goes throu
 and a softmax. SGD in numpy trains both layers on a bounded sample of labelled rows. For scoring,
 the two layers are multiplied into one table of class scores per n-gram, so that a whole text
 costs a gather and a sum. A held-back part of the sample sets a temperature, so that scores are
-probabilities, and the score below which a prediction is rejected.
+probabilities, and two bounds below which a prediction is rejected: one of the probability, and one
+of the share of n-grams that training saw, as a softmax over few languages is sure of any text.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 SIZES, BUCKETS, DIMENSIONS = (3, 4), 1 << 16, 16
-#: The bounds of the training sample: about so many rows of each language, of at most so many languages.
-ROWS_PER_LANGUAGE, LANGUAGES = 500, 64
+#: The bound of the training sample: about so many rows of each language.
+ROWS_PER_LANGUAGE = 500
 EPOCHS, RATE = 6, 8.0
-#: Share of right predictions of the held-back sample that the rejection may cost, and the most it may ask for.
-REJECTED_SHARE, MOST_ASKED = 0.001, 0.35
+#: Share of right predictions of the held-back sample that each rejection may cost, and the slack under that quantile.
+REJECTED_SHARE, SLACK = 0.001, 0.9
 #: Bytes that are scored at once.
 _SLAB = 1 << 20
 
@@ -53,25 +54,25 @@ def features(body: bytes) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages; scores: BUCKETS x languages; the score below which a prediction is rejected."""
+    """languages; scores: BUCKETS x languages, and whether training saw the bucket; the bounds of rejection."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    least_seen: float = 0.0
 
-    def logits(self, body: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+    def predict(self, body: bytes) -> tuple[str, float, bool]:
+        """The best language, its probability, and whether it is rejected."""
+        total, n = np.zeros(len(self.languages) + 1), 0
         for f in features(body):
             total += self.scores[f].sum(0, dtype=np.float64)
             n += len(f)
-        return total / max(n, 1) + self.bias
-
-    def predict(self, body: bytes) -> tuple[str, float]:
-        p = _softmax(self.logits(body) / self.temperature)
+        total /= max(n, 1)
+        p = _softmax((total[:-1] + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        return self.languages[best], float(p[best]), bool(p[best] < self.least or total[-1] < self.least_seen)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -91,27 +92,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["lang", "place", "ids", "counts"])
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7) -> Model | None:
+def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7, languages: int | None = None) -> Model | None:
     """A model of labelled rows (doc_id, text, lang); rows without a language or letters teach nothing.
 
-    The sample is fixed by a hash of doc_id: about `rows_per_language` rows of each of the
-    LANGUAGES most frequent languages. None where nothing can be learned.
+    The sample is fixed by a hash of doc_id: about `rows_per_language` rows of each language, or of
+    the `languages` most frequent ones. A language takes 256 KB of the model, which each worker
+    holds. None where nothing can be learned.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    per = (per if languages is None else per.limit(languages)).collect()
     if not per:
         return None
-    languages = sorted(r["lang"] for r in per)
-    shares = {r["lang"]: min(1.0, rows_per_language / r["n"]) for r in per}
+    names = sorted(r["lang"] for r in per)
+    number = {name: k for k, name in enumerate(names)}
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_per_language / r["n"])) for r in per], "lang string, share double")
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in shares.items()])
-    sample = rows.where(place < share * (1 << 30)).select("lang", F.col("text").cast("binary").alias("body"), F.xxhash64("doc_id", "text").alias("place")).mapInArrow(_counted, "lang string, place long, ids array<int>, counts array<long>").collect()
+    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share") * (1 << 30)).select("lang", F.col("text").cast("binary").alias("body"), F.xxhash64("doc_id", "text").alias("place")).mapInArrow(_counted, "lang string, place long, ids array<int>, counts array<long>").collect()
     sample.sort(key=lambda r: r["place"])
-    xs = [(languages.index(r["lang"]), np.array(r["ids"]), np.array(r["counts"], np.float32)) for r in sample]
+    xs = [(number[r["lang"]], np.array(r["ids"]), np.array(r["counts"], np.float32)) for r in sample]
     held, taught = xs[::5] if len(xs) >= 50 else xs, [x for k, x in enumerate(xs) if k % 5 or len(xs) < 50]
     rng = np.random.default_rng(seed)
     embedding = (rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
-    linear, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    linear, bias = np.zeros((DIMENSIONS, len(names)), np.float32), np.zeros(len(names), np.float32)
     steps, step = EPOCHS * len(taught), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(taught)):
@@ -126,13 +129,17 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed:
             bias -= np.float32(rate * 0.001) * error
             embedding[ids] -= np.float32(rate) * weight[:, None] * back
             step += 1
-    model = Model(languages, embedding @ linear, bias)
+    seen = np.zeros((BUCKETS, 1), np.float32)
+    for _, ids, _ in taught:
+        seen[ids] = 1
+    model = Model(names, np.hstack([embedding @ linear, seen]), bias)
     return _calibrated(model, held)
 
 
 def _calibrated(model: Model, held: list[tuple]) -> Model:
-    """Sets the temperature of least log loss and the score under which predictions are rejected."""
-    logits = np.array([(c / c.sum()) @ model.scores[ids] + model.bias for _, ids, c in held], np.float64)
+    """Sets the temperature of least log loss and the bounds under which predictions are rejected."""
+    means = np.array([(c / c.sum()) @ model.scores[ids] for _, ids, c in held], np.float64)
+    logits, seen = means[:, :-1] + model.bias, means[:, -1]
     y = np.array([x[0] for x in held])
 
     def loss(t: float) -> float:
@@ -140,9 +147,9 @@ def _calibrated(model: Model, held: list[tuple]) -> Model:
 
     model.temperature = min((math.exp(x) for x in np.linspace(-4, 3, 57)), key=loss)
     p = _softmax(logits / model.temperature)
-    right = np.sort(p.max(1)[p.argmax(1) == y])
-    if len(right):
-        model.least = float(min(MOST_ASKED, right[int(REJECTED_SHARE * len(right))] * 0.9))
+    right = p.argmax(1) == y
+    if right.any():
+        model.least, model.least_seen = (float(np.sort(x[right])[int(REJECTED_SHARE * right.sum())] * SLACK) for x in (p.max(1), seen))
     return model
 
 
@@ -155,8 +162,7 @@ def _predict(shared):
                 if model is None or text is None or not _LETTER.search(text):
                     out.append((UNDETERMINED, 0.0, True))
                     continue
-                lang, score = model.predict(text.encode("utf-8", "replace"))
-                out.append((lang, score, score < model.least))
+                out.append(model.predict(text.encode("utf-8", "replace")))
             lang, score, rejected = (pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))
             kept = [k for k in batch.schema.names if k != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), lang, score, rejected], names=[*kept, "lang_pred", "score", "rejected"])
@@ -173,7 +179,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each row, by its whole text.
 
     lang_pred is `und` (score 0, rejected) where the text is null or has no letter, or nothing was
-    learned; otherwise a learned language, rejected where its calibrated score is under the model's.
+    learned; otherwise a learned language, rejected where its calibrated score or its share of seen
+    n-grams is under the model's.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -308,3 +308,21 @@ def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = lang_id.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.max("score").alias("most")).first()
     assert rows.right > 0.97 and 0 <= rows.most <= 1
+
+
+def test_language_id_rejects_scripts_and_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(4)
+    alphabets = ["абвгдежзиклмнопрстуфхцчшя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是在不了有和人这中大为上个国我以要他", "abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz"]
+    noise = [" ".join("".join(draw.choice(a) for _ in range(draw.randrange(2, 9))) for _ in range(60)) for a in alphabets for _ in range(40)]
+    for known in (docs, docs.where("lang in ('en', 'fr')"), docs.where("lang = 'en'")):
+        model = lang_id.learned(known)
+        assert all(sum(model.predict(t.encode())[2] for t in noise[k : k + 40]) >= 38 for k in range(0, 200, 40))
+        good = lang_id.identify(known.where(lang_id.held_out() & F.col("text").rlike(r"\p{L}")), model)
+        assert good.agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.03
+
+
+def test_language_id_learns_rare_languages(spark):
+    rows = [(k, " ".join(chr(0x4E00 + 60 * (k % 70) + j % 60) * 3 for j in range(k, k + 30)), f"l{k % 70:02}") for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(lang_id.train(docs).languages) == 70 and len(lang_id.train(docs, languages=3).languages) == 3
