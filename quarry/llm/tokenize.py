@@ -19,7 +19,8 @@ class WordEncoder:
 
     The tokenizers served here (split by words with the space before them, or without white space)
     never join what is before a single space with the space, so words encode as they do within the
-    text. Texts with runs of white space that hold a space are encoded whole.
+    text. Texts with runs of white space that hold a space, or with an added token of the tokenizer,
+    are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -27,7 +28,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
         self._type = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
@@ -50,7 +51,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts = [None if _RUN.search(t) else t.split(" ") for t in texts]
+        parts = [None if _RUN.search(t) or any(a in t for a in self._added) else t.split(" ") for t in texts]
         for at in range(0, len(parts), 64):
             self._learn({w for p in parts[at : at + 64] if p for w in p[1:]})
             for k, (t, p) in enumerate(zip(texts[at : at + 64], parts[at : at + 64], strict=True), at):

@@ -124,8 +124,7 @@ def test_words_encode_as_in_their_text():
 
     for path in (BYTE_BPE, WORD_BPE):
         plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
-        for text in ("a  b", " a b ", "x \n y", "\n\nfoo  bar", "a b c   d", "<|endoftext|> x", "", "  ", "É ñ's don't I'LL 12345", "a\x1cb \x1c c", "é ́x", "日本 語", "ΑΣ ΣΑΣ"):
+        for text in ("a  b", " a b ", "x \n y", "\n\nfoo  bar", "a b c   d", "<|endoftext|> x", "x <|endoftext|> y", "a b<|endoftext|>c <|startoftext|>", "<|endoftext| >", "", "  ", "É ñ's don't I'LL 12345", "a\x1cb \x1c c", "é ́x", "日本 語", "ΑΣ ΣΑΣ"):
             assert encoder(path).encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
