@@ -88,8 +88,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in features(body):
                 total += np.bincount(f, minlength=BUCKETS)
             ids.append(np.flatnonzero(total))
-            counts.append(total[ids[-1]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["lang", "place", "ids", "counts"])
+            counts.append(total[ids[-1]].astype(np.float32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "place", "ids", "counts"])
 
 
 def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7, languages: int | None = None) -> Model | None:
@@ -108,9 +108,9 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed:
     number = {name: k for k, name in enumerate(names)}
     shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_per_language / r["n"])) for r in per], "lang string, share double")
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share") * (1 << 30)).select("lang", F.col("text").cast("binary").alias("body"), F.xxhash64("doc_id", "text").alias("place")).mapInArrow(_counted, "lang string, place long, ids array<int>, counts array<long>").collect()
-    sample.sort(key=lambda r: r["place"])
-    xs = [(number[r["lang"]], np.array(r["ids"]), np.array(r["counts"], np.float32)) for r in sample]
+    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share") * (1 << 30)).select("lang", F.col("text").cast("binary").alias("body"), F.xxhash64("doc_id", "text").alias("place")).mapInArrow(_counted, "lang string, place long, ids array<int>, counts array<float>").toArrow()
+    sample = sample.sort_by("place")
+    xs = [(number[y], ids.values.to_numpy(), counts.values.to_numpy()) for y, ids, counts in zip(sample.column("lang").to_pylist(), sample.column("ids"), sample.column("counts"), strict=True)]
     held, taught = xs[::5] if len(xs) >= 50 else xs, [x for k, x in enumerate(xs) if k % 5 or len(xs) < 50]
     rng = np.random.default_rng(seed)
     embedding = (rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
