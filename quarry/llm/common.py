@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder that executors share (a URI, or a local path)."""
+    return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+
+def write_file(files: pafs.FileSystem, path: str, data: bytes) -> None:
+    """Writes a file under another name first, so that a task that runs again never leaves half of it."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as out:
+        out.write(data)
+    files.move(own, path)
+
+
+def read_file(files: pafs.FileSystem, path: str) -> bytes:
+    with files.open_input_stream(path) as source:
+        return source.read()
+
+
 def write_table(df: DataFrame, name: str) -> str:
     """Writes a table to the shared folder and returns its path; a reader's lineage starts there."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
@@ -54,6 +75,38 @@ def delete_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Written tables that are deleted again: `written(df, name)` as above, `delete(table)`, and all that is left at the end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = write_table(df, name)
+        table = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (path, table)
+        return table
+
+    def delete(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete_table(self._spark, self._paths.pop(id(table))[0])
+
+    def close(self) -> None:
+        for path, _ in self._paths.values():
+            delete_table(self._spark, path)
+        self._paths = {}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A Scratch whose tables live as long as the block: what leaves it has to be written elsewhere."""
+    held = Scratch(spark)
+    try:
+        yield held
+    finally:
+        held.close()
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -7,14 +7,16 @@ document or another; strings are judged on the input, and overlaps count.
    hash in it. Equal strings have equal anchors at equal places, so it is enough to compare
    strings of one anchor. The strings of one anchor occurrence form a segment, and each string of
    a document is in exactly one segment.
-2. Equal segments are counted; a segment that occurs twice is repeated whole. Only distinct
-   segments that share an anchor have to be compared byte by byte.
+2. Anchors are counted, and those that occur once are left behind. Equal segments of the others
+   are counted; a segment that occurs twice is repeated whole. Only distinct segments that share an
+   anchor, and with another one half of the other bytes on one side of it, have to be compared.
 3. Those segments, grouped by anchor in blocks of bounded size, go through the column-wise
    construction: each round inserts one symbol of every string into the block's transform and
-   updates the common prefixes of neighbouring suffixes. (Symbols are 8 bytes; a segment counts as
-   8 strings, from each of its first 8 bytes on, so that suffixes begin at every byte.) A suffix whose common prefix with a
-   neighbour reaches `length` is a repeated string. Blocks are streams of rows between stages
-   (Spark's shuffle and the tables in the shared folder are the sequential external files).
+   updates the common prefixes of neighbouring suffixes. (Symbols are 40 bytes; a segment counts as
+   40 strings, from each of its first 40 bytes on, so that suffixes begin at every byte.) A suffix
+   whose common prefix with a neighbour reaches `length` is a repeated string. Blocks are streams
+   of rows between stages (Spark's shuffle and the tables in the shared folder are the sequential
+   external files).
 4. An anchor with very many distinct segments is dealt anew: its strings get narrower, longer
    keys (189 common bytes, then all 200), on which nearly all of them fall apart or become equal.
 """
@@ -39,7 +41,7 @@ GRAM = 32
 #: Positions that are hashed at once.
 SLAB = 1 << 18
 #: Bytes of segments that one transform holds.
-BLOCK_BYTES = 150_000
+BLOCK_BYTES = 60_000
 #: Distinct segments of an anchor from which its strings are dealt anew, and over how many neighbouring strings.
 HOT_SEGMENTS, HOT_WIDTHS = 4096, (12, 1)
 
@@ -133,14 +135,18 @@ def _symbols(segments: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
 
     Returns the rank (from 1) of the symbol at each byte of the joined segments, and per string its
     segment, first byte and number of symbols. The suffixes of all these strings begin at every
-    byte, and two of them share 200 bytes just when they share 200/width symbols.
+    byte, and two of them share 200 bytes just when they share 200/width symbols. Symbols are
+    ranked by a 64-bit hash: any order of them will do.
     """
     data = np.frombuffer(b"".join(segments), np.uint8)
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     begins = np.cumsum(lengths) - lengths
+    part = next(k for k in (8, 4, 2, 1) if width % k == 0)
+    short = np.append(gram_hashes(data, part), np.zeros(part - 1, np.uint64)) if len(data) >= part else np.zeros(len(data), np.uint64)
     value = np.zeros(len(data), np.uint64)
-    for k in range(width):
-        value[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (width - 1 - k))
+    for k in range(0, min(width, len(data)), part):
+        value[: len(data) - k] = (value[: len(data) - k] ^ short[k:]) * _MULTIPLIERS[0]
+    value ^= value >> np.uint64(29)
     distinct, rank = np.unique(value, return_inverse=True)
     rank = (rank + 1).astype(np.uint16 if len(distinct) < 65_535 else np.uint32)
     segment = np.repeat(np.arange(len(segments)), width)
@@ -206,7 +212,7 @@ def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, cap: int) ->
 
 def repeated_suffixes(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, which strings of `length` bytes in it occur again in the collection."""
-    width = next(w for w in (8, 5, 4, 3, 2, 1) if length % w == 0)
+    width = next(w for w in (40, 25, 20, 16, 10, 8, 5, 4, 3, 2, 1) if length % w == 0)
     cap = length // width
     rank, segment, first, count = _symbols(segments, width)
     bwt, lcp = bwt_lcp(rank, first, count, width, cap)
@@ -261,15 +267,32 @@ def _fetch(length: int):
     return run
 
 
-def _compare(length: int, block_bytes: int):
+def _can_match(rows: list[tuple], length: int) -> list[tuple]:
+    """Those of an anchor's rows that agree with another on the bytes left or right of the anchor.
+
+    Strings that are equal hold the anchor and length - GRAM more bytes, so at least half of these
+    on one side of it.
+    """
+    half = (length - GRAM) // 2
+    seen: dict[tuple, int] = {}
+    keys = []
+    for r in rows:
+        body, shift = r[-1], r[-2]
+        left, right = body[max(shift - half, 0) : shift], body[shift + GRAM : shift + GRAM + half]
+        keys.append([(side, x) for side, x in ((0, left), (1, right)) if len(x) == half])
+        for k in keys[-1]:
+            seen[k] = seen.get(k, 0) + 1
+    return [r for r, ks in zip(rows, keys, strict=True) if any(seen[k] > 1 for k in ks)]
+
+
+def _compare(length: int, block_bytes: int, anchored: bool):
     """Runs blocks of whole anchors through the transform; returns ranges of segments that occur once."""
 
     def answer(rows: list[tuple]) -> Iterator[tuple]:
-        if sum(r[2] == 1 for r in rows) == 0 or len(rows) < 2:
-            return
-        for r, found in zip(rows, repeated_suffixes([r[-1] for r in rows], length), strict=True):
-            if r[2] == 1 and found.any():
-                yield (r[3], r[4], [{"a": r[5] + a, "b": r[5] + b} for a, b in _ranges(found, length)])
+        if len(rows) > 1:
+            for r, found in zip(rows, repeated_suffixes([r[-1] for r in rows], length), strict=True):
+                if r[2] == 1 and found.any():
+                    yield (r[3], r[4], [{"a": r[5] + a, "b": r[5] + b} for a, b in _ranges(found, length)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(found: list[tuple]) -> pa.RecordBatch:
@@ -278,16 +301,29 @@ def _compare(length: int, block_bytes: int):
                 names=["doc_id", "doc_hash", "spans"],
             )
 
-        rows: list[tuple] = []
+        block: list[tuple] = []
+        own: list[tuple] = []
         held = 0
+
+        def close() -> None:
+            nonlocal held
+            rows = _can_match(own, length) if anchored else own
+            if len(rows) > 1 and any(r[2] == 1 for r in rows):
+                block.extend(rows)
+                held += sum(len(r[-1]) for r in rows)
+            own.clear()
+
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "segment", "copies", "doc_id", "doc_hash", "first", "body")), strict=True):
-                if held >= block_bytes and row[0] != rows[-1][0]:
-                    yield pack(list(answer(rows)))
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[-1])
-        yield pack(list(answer(rows)))
+            for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "segment", "copies", "doc_id", "doc_hash", "first", "shift", "body")), strict=True):
+                if own and row[0] != own[-1][0]:
+                    close()
+                    if held >= block_bytes:
+                        yield pack(list(answer(block)))
+                        block, held = [], 0
+                if not own or row[1] != own[-1][1]:  # equal rows of a document fetch a segment again
+                    own.append(row)
+        close()
+        yield pack(list(answer(block)))
 
     return run
 
@@ -314,14 +350,13 @@ def _narrow(length: int, width: int):
     return run
 
 
-def _count_segments(occurrences: DataFrame) -> DataFrame:
-    """Distinct segments with their copies and one occurrence."""
-    place = F.struct("doc_id", "doc_hash", "first", "strings", "shift")
-    return occurrences.groupBy("anchor", "segment").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
+def _covered(length: int):
+    """The bytes that the strings of a segment cover, as one range."""
+    return F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("strings") + length - 1).alias("b"))).alias("spans")
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Spans (a, b) of bytes that repeated strings cover, collected per (doc_id, doc_hash).
+    """Spans (a, b) of bytes that repeated strings cover, collected per (doc_id, doc_hash), as a written table.
 
     docs: doc_id and text; null texts count as empty and have no spans. Rows that repeat a doc_id
     and its text are further occurrences of the text: all of it repeats. Spans of a document may
@@ -330,46 +365,46 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_
     if not 2 * GRAM <= length <= 250:
         raise ValueError("length must be from 64 to 250")
     bodies = docs.select("doc_id", F.xxhash64(common.text_or_empty()).alias("doc_hash"), common.text_or_empty().cast("binary").alias("body"))
-    spark = docs.sparkSession
-    occurrences = common.written(bodies.where(F.length("body") >= length).mapInArrow(_occurrences(length), OCCURRENCE), "occurrences")
-    segments = common.written(_count_segments(occurrences.withColumn("copies", F.lit(1).cast("long"))), "segments")
-    shared = segments.groupBy("anchor").agg(F.count("*").alias("distinct_segments")).where("distinct_segments > 1")
-    asked = (
-        segments.join(shared, "anchor")
-        .select("anchor", "segment", "copies", "distinct_segments", "at.*")
-        .groupBy("doc_id", "doc_hash")
-        .agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "strings", "shift")).alias("asked"))
-    )
-    fetched = common.written(
-        bodies.alias("d")
-        .join(asked.alias("q"), F.col("d.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("d.doc_hash") == F.col("q.doc_hash")))
-        .select("d.doc_id", "d.doc_hash", "d.body", "q.asked")
-        .mapInArrow(_fetch(length), SEGMENT + ", body binary"),
-        "fetched",
-    )
-    whole = occurrences.join(segments.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "doc_hash", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("strings") + length - 1).alias("b"))).alias("spans"))
-    found = [whole]
-    columns = [c.split()[0] for c in SEGMENT.split(", ")] + ["body"]
-    spans = "doc_id long, doc_hash long, spans array<struct<a:int,b:int>>"
-    rest = fetched
-    for width in (*HOT_WIDTHS, 0):
-        sizes = rest.groupBy("anchor").agg(F.count("*").alias("distinct_segments"))
-        hot = sizes.where(F.col("distinct_segments") > hot_segments).select("anchor") if width else None
-        any_hot = width and not hot.isEmpty()
-        cool = rest.join(sizes.where(F.col("distinct_segments") <= hot_segments).select("anchor"), "anchor") if any_hot else rest
-        found.append(cool.select(*columns).repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_compare(length, block_bytes), spans))
-        if not any_hot:
-            break
-        narrow = common.written(rest.join(hot, "anchor", "left_semi").select(*columns).mapInArrow(_narrow(length, width), SEGMENT + ", body binary"), "narrow")
-        counted = narrow.groupBy("anchor", "segment").agg(F.sum("copies").alias("copies"), F.min_by(F.struct(*columns[3:]), F.struct("doc_id", "first")).alias("at")).select("anchor", "segment", "copies", "at.*")
-        counted = common.written(counted, "counted")
-        found.append(narrow.where("copies = 1").select("anchor", "segment", "doc_id", "doc_hash", "first", "strings").join(counted.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "doc_hash", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("strings") + length - 1).alias("b"))).alias("spans")))
-        several = counted.groupBy("anchor").agg(F.count("*").alias("distinct_segments")).where("distinct_segments > 1").select("anchor")
-        rest = counted.join(several, "anchor", "left_semi")
-    all_spans = found[0]
-    for x in found[1:]:
-        all_spans = all_spans.unionByName(x)
-    return all_spans.groupBy("doc_id", "doc_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    with common.scratch(docs.sparkSession) as written:
+        occurrences = written(bodies.where(F.length("body") >= length).mapInArrow(_occurrences(length), OCCURRENCE), "occurrences")
+        # anchors that occur once are counted alone and leave their places behind
+        anchors = occurrences.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("several")).where("n > 1").select("anchor", "several")
+        met = written(occurrences.join(anchors, "anchor"), "met")
+        written.delete(occurrences)
+        place = F.struct("doc_id", "doc_hash", "first", "strings", "shift")
+        segments = written(met.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(place).alias("at"), F.first("several").alias("several")), "segments")
+        asked = segments.where("several").select("anchor", "segment", "copies", "at.*").groupBy("doc_id", "doc_hash").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "strings", "shift")).alias("asked"))
+        fetched = written(
+            bodies.alias("d")
+            .join(asked.alias("q"), F.col("d.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("d.doc_hash") == F.col("q.doc_hash")))
+            .select("d.doc_id", "d.doc_hash", "d.body", "q.asked")
+            .mapInArrow(_fetch(length), SEGMENT + ", body binary"),
+            "fetched",
+        )
+        whole = met.join(segments.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "doc_hash", _covered(length))
+        found = [whole]
+        columns = [c.split()[0] for c in SEGMENT.split(", ")] + ["body"]
+        spans = "doc_id long, doc_hash long, spans array<struct<a:int,b:int>>"
+        rest, anchored = fetched, True
+        for width in (*HOT_WIDTHS, 0):
+            sizes = rest.groupBy("anchor").agg(F.count("*").alias("distinct_segments"))
+            hot = sizes.where(F.col("distinct_segments") > hot_segments).select("anchor") if width else None
+            any_hot = width and not hot.isEmpty()
+            cool = rest.join(sizes.where(F.col("distinct_segments") <= hot_segments).select("anchor"), "anchor") if any_hot else rest
+            found.append(cool.select(*columns).repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_compare(length, block_bytes, anchored), spans))
+            if not any_hot:
+                break
+            narrow = written(rest.join(hot, "anchor", "left_semi").select(*columns).mapInArrow(_narrow(length, width), SEGMENT + ", body binary"), "narrow")
+            counted = narrow.groupBy("anchor", "segment").agg(F.sum("copies").alias("copies"), F.min_by(F.struct(*columns[3:]), F.struct("doc_id", "first")).alias("at")).select("anchor", "segment", "copies", "at.*")
+            counted = written(counted, "counted")
+            found.append(narrow.where("copies = 1").select("anchor", "segment", "doc_id", "doc_hash", "first", "strings").join(counted.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "doc_hash", _covered(length)))
+            several = counted.groupBy("anchor").agg(F.count("*").alias("distinct_segments")).where("distinct_segments > 1").select("anchor")
+            rest, anchored = counted.join(several, "anchor", "left_semi"), False
+        all_spans = found[0]
+        for x in found[1:]:
+            all_spans = all_spans.unionByName(x)
+        # a set: rows that repeat a document have the same spans
+        return common.written(all_spans.groupBy("doc_id", "doc_hash").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
 
 
 def _unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -388,7 +423,8 @@ def _cut(as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans_out, kept = [], [], [], []
-            for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("row").field("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                body = (text or "").encode()
                 united = _unite([(x["a"], x["b"]) for x in spans or ()])
                 parts, at = [], 0
                 for a, b in united:
@@ -400,7 +436,7 @@ def _cut(as_text: bool):
                 sizes.append(len(body))
                 removed.append(sum(b - a for a, b in united))
                 spans_out.append([{"a": a, "b": b} for a, b in united])
-            names = [k for k in batch.schema.names if k not in ("body", "spans")]
+            names = [k for k in batch.schema.names if k != "spans"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_out, spans_type), pa.array(kept, pa.string() if as_text else pa.binary())],
                 names=[*names, "n_bytes", "n_removed", "removed_spans", "kept"],
@@ -415,14 +451,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
     Adds n_bytes, n_removed, removed_spans (array of a, b in bytes of the input) and kept (binary:
     the remaining bytes; with as_text a string, without characters that a cut left in part).
     Replaces columns of docs with these names. A null text has n_bytes 0 and keeps nothing.
-    Empty tables give empty results; texts shorter than `length` are kept.
+    Empty tables give empty results; texts shorter than `length` are kept. Rows that repeat a doc_id
+    and its text, and texts with a null doc_id, are occurrences as any other.
     """
     added = ("n_bytes", "n_removed", "removed_spans", "kept")
     base = docs.drop(*added)
     others = [c for c in base.columns]
-    packed = base.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("doc_hash"), common.text_or_empty().cast("binary").alias("body"))
+    packed = base.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("doc_hash"))
     spans = find_repeats(docs, length, **limits)
-    joined = packed.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.doc_hash") == F.col("s.doc_hash")), "left").select("d.row", "d.body", "s.spans")
+    joined = packed.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.doc_hash") == F.col("s.doc_hash")), "left").select("d.row", "s.spans")
     schema = T.StructType([*joined.select("row").schema, *T.StructType.fromDDL("n_bytes long, n_removed long, removed_spans array<struct<a:int,b:int>>, kept " + ("string" if as_text else "binary"))])
     return joined.mapInArrow(_cut(as_text), schema).select("row.*", *added)
 

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +36,6 @@ _FOOTER = struct.Struct("<IBI")
 _LEVEL = 3
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder that executors share (a URI, or a local path)."""
-    return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
-
-
 class Writer:
     """Writes documents to one file."""
 
@@ -141,7 +135,7 @@ MANIFEST = "part int, path string, docs long, tokens long"
 def _write(folder: str, tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        files, at = file_system(folder)
+        files, at = common.file_system(folder)
         path, own = f"{at}/part-{part:06d}.zst", f"{at}/.writing-{part:06d}-{uuid.uuid4().hex}"
         out = writer = None
         for batch in batches:
@@ -181,7 +175,7 @@ ROW = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = file_system(folder)
+        files, _ = common.file_system(folder)
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 with files.open_input_file(path) as source:
@@ -202,7 +196,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
 
 def _fetch(folder: str, wanted: set[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = file_system(folder)
+        files, _ = common.file_system(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with files.open_input_file(path) as source:
