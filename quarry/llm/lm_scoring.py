@@ -1,44 +1,64 @@
-"""LM scoring with a hashed maximum-entropy model.
-
-log P(word | history) = log P(class | history) + log P(word | class). The class factor is a softmax
-over CLASSES word classes whose logits sum rows of a hashed weight table: the previous word, the
-classes of the previous two words (n-gram features), and the words two and three back (skip
-features). The word factor is the smoothed count of the word within its class. A word's class is
-its ending: the heaviest endings have classes of their own, all others share one.
-
-1. Blocks of documents are reduced to a dictionary of words and token numbers.
-2. Word counts of all training documents are summed by key, joined back to the blocks'
-   dictionaries, and each block is encoded: classes, hashed words, and the sums that need counts.
-3. Each task runs sparse mini-batch updates over its part of the encoded corpus; tables are
-   averaged by their tokens, which is summed per slice of the table.
-4. All documents are scored in sparse numpy batches with the averaged table, whose size is fixed.
-
-Words are known by 64-bit hashes.
+"""LM scoring with a hashed maximum-entropy model and a class-factored softmax.
+
+log P(word | history) = log P(class | history) + the sum of log P(digit | class, digits before it,
+history) + log P(word | leaf). A word's class is the number of base-16 digits that its share of the
+training tokens needs, so a class of t has at most 16**t words. Its digits, at most DEPTH of them,
+come from the hash of its ending and then of the word; they lead to a leaf, which is mostly one
+word in the classes up to DEPTH. Words that share a leaf are told apart by their counts. Each
+factor is a softmax of 16 outcomes whose logits are the log counts of the outcomes and one row of a
+hashed weight table for each of three features: the word before (bigram), the one before that
+(skip), and the endings of both (trigram).
+
+1. Tasks reduce their documents to blocks in the shared folder: a dictionary of word hashes, and
+   token numbers. Only dictionaries are shuffled, never tokens.
+2. Each word's training count is summed over the dictionaries and put beside each block.
+3. Training tasks run sparse mini-batch updates over their blocks, one drawn factor a token. Each
+   row of the table is then averaged by its own updates. `rounds` rounds share the tokens out and
+   begin with the average of the round before.
+4. All blocks are scored in sparse numpy batches with the averaged table.
+
+The table has about 2,048 rows for each cube root of a training token, so it grows with the corpus
+(64 MB at 120 million tokens, 256 MB at 7 billion); a worker holds it whole. A training task has so
+many tokens that what tasks send grows with the tokens alone. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-CLASSES, WORD_ROWS, SMOOTHING = 64, 4096, 0.1
-#: Classes of a history: those of words, and one for before the text.
-_HISTORY = CLASSES + 1
-ROWS = 3 * WORD_ROWS + _HISTORY * _HISTORY
-#: Rows of the weight table that are averaged together, tokens of an update, and its rate.
-SLICE, BATCH, RATE = 512, 4096, 0.5
-#: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+SMOOTHING = 0.1
+#: Digits of a word at most, and outcomes of a factor.
+DEPTH, WAYS = 3, 16
+#: Classes; class 0 are words that training doesn't know.
+CLASSES = WAYS
+#: Tokens of an update and its rate; rounds of training.
+BATCH, RATE, ROUNDS = 8192, 0.2, 2
+_PLACE = BATCH.bit_length()
+#: Tokens of a training task for each row of the weight table, about.
+TASK_TOKENS = 12
+#: Bytes of text in a block, and rows of the weight table that are averaged together.
+BLOCK_BYTES, SLICE = 12 << 20, 4096
+#: Tokens that are scored at once.
+SCORED = 1 << 15
 #: The end of a text; no word holds white space.
 END = b"\n"
+_ONES = np.ones(WAYS, np.float32)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+#: Nodes of a class before those of its next depth: the sum of 16**k.
+_BEFORE = [(WAYS**d - 1) // (WAYS - 1) for d in range(DEPTH + 1)]
+#: Nodes and leaves of a class.
+_NODES, _LEAVES = _BEFORE[DEPTH], WAYS**DEPTH
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -46,222 +66,353 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _ending(word: bytes) -> int:
-    return int.from_bytes(word[-3:], "big")
+_SIZES = struct.Struct("<QQQ")
 
 
-BLOCK = "block string, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, words array<long>, endings array<int>, counts array<long>"
+def _write_block(files, path: str, docs: np.ndarray, words: np.ndarray, endings: np.ndarray, tokens: np.ndarray) -> None:
+    raw = _SIZES.pack(len(docs), len(words), len(tokens)) + docs.tobytes() + words.tobytes() + endings.tobytes() + tokens.tobytes()
+    common.write_file(files, path, zstandard.ZstdCompressor(level=1).compress(raw))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number = TaskContext.get().partitionId(), 0
-    types = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+#: id, whether it is null, whether the document is held out, tokens.
+_DOC = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("size", "<i8")])
 
-    def block(docs: list[tuple]) -> pa.RecordBatch:
-        known: dict[bytes, int] = {END: 0}
-        parts, sizes = [], []
-        for *_, body in docs:
-            words = body.lower().split()
-            words.append(END)
-            parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
-            sizes.append(len(words))
-        counts = np.zeros(len(known), np.int64)
-        for (_, held, _), ids in zip(docs, parts, strict=True):
-            if not held:
-                counts += np.bincount(ids, minlength=len(known))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known)).view(np.int64)
-        endings = np.fromiter(map(_ending, known), np.int32, len(known))
-        row = (f"{part}-{number}", [d[0] for d in docs], [d[1] for d in docs], sizes, np.concatenate(parts).tobytes(), hashes, endings, counts)
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
-    docs, size = [], 0
-    for batch in batches:
-        for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            docs.append(doc)
-            size += len(doc[2])
-            if size >= BLOCK_BYTES:
-                yield block(docs)
-                docs, size, number = [], 0, number + 1
-    if docs:
-        yield block(docs)
-
-
-ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary, hashed binary"
-
-
-def _encode(class_of: dict[int, int], class_tokens: np.ndarray, class_words: np.ndarray, tokens: int, distinct: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for block in left.to_pylist():
-            words = np.array(block["words"], np.int64)
-            count = np.zeros(len(words), np.int64)
-            count[right.column("at").to_numpy()] = right.column("c").to_numpy()
-            kind = np.array([class_of.get(e, CLASSES - 1) for e in block["endings"]], np.uint8)
-            base = np.log10((count + SMOOTHING) / (tokens + SMOOTHING * (distinct + 1)))
-            inside = np.log10((count + SMOOTHING) / (class_tokens[kind] + SMOOTHING * (class_words[kind] + 1)))
-            hashed = (words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 12)).astype(np.uint16)
-            ids = np.frombuffer(block["tokens"], np.uint32)
-            ends = np.cumsum(block["sizes"])
-            for doc_id, held, a, b in zip(block["doc_ids"], block["held"], [0, *ends.tolist()], ends.tolist(), strict=False):
-                t = ids[a:b]
-                out.append((doc_id, held, b - a, int((count[t] > 0).sum()), float(base[t].sum()), float(inside[t].sum()), kind[t].tobytes(), hashed[t].tobytes()))
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in ENCODED.split(", ")])
+class Block:
+    """Documents, words and their endings, token numbers, and the words' training counts."""
+
+    def __init__(self, files, path: str) -> None:
+        raw = zstandard.ZstdDecompressor().decompress(common.read_file(files, path))
+        docs, words, tokens = _SIZES.unpack_from(raw)
+        at = _SIZES.size
+        self.docs = np.frombuffer(raw, _DOC, docs, at)
+        self.words = np.frombuffer(raw, np.uint64, words, at + docs * _DOC.itemsize)
+        self.endings = np.frombuffer(raw, np.uint32, words, at + docs * _DOC.itemsize + words * 8)
+        self.tokens = np.frombuffer(raw, np.uint32, tokens, at + docs * _DOC.itemsize + words * 12)
+        self.ends = np.cumsum(self.docs["size"])
+        self.counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(common.read_file(files, path + ".counts")), np.int64)
+
+
+def word_hashes(words: list[bytes], endings: np.ndarray) -> np.ndarray:
+    """64 bits that know a word: 8 of its ending's hash, then 56 of its own."""
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ending = endings.astype(np.uint64) * _MIX[0] >> np.uint64(56)
+    return ending << np.uint64(56) | own >> np.uint64(8)
+
+
+ENTRY = "block long, at int, word long, n long, tokens long"
+
+
+def _blocks(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        files, at = common.file_system(folder)
+        files.create_dir(at, recursive=True)
+
+        def block(docs: list[tuple]) -> pa.RecordBatch:
+            known: dict[bytes, int] = {END: 0}
+            parts = []
+            for *_, body in docs:
+                words = body.lower().split()
+                words.append(END)
+                parts.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.uint32, len(words)))
+            counts = np.zeros(len(known), np.int64)
+            tokens = np.concatenate(parts)
+            taught = [p for (_, held, _), p in zip(docs, parts, strict=True) if not held]
+            if taught:
+                counts += np.bincount(np.concatenate(taught), minlength=len(known))
+            endings = np.fromiter((int.from_bytes(w[-3:], "big") for w in known), np.uint32, len(known))
+            hashes = word_hashes(list(known), endings)
+            heads = np.array([(d or 0, d is None, held, len(p)) for (d, held, _), p in zip(docs, parts, strict=True)], _DOC)
+            own = part << 24 | number
+            _write_block(files, f"{at}/{own}", heads, hashes, endings, tokens)
+            n = len(known)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, own)), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts), pa.array(np.append(len(tokens), np.zeros(n - 1, np.int64)))], names=["block", "at", "word", "n", "tokens"])
+
+        docs, size = [], 0
+        for batch in batches:
+            for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs.append(doc)
+                size += len(doc[2])
+                if size >= BLOCK_BYTES:
+                    yield block(docs)
+                    docs, size, number = [], 0, number + 1
+        if docs:
+            yield block(docs)
 
     return run
 
 
-def encoded(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
-    """The written corpus of class and hashed-word numbers, class token counts, training tokens and distinct words."""
-    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held"), common.text_or_empty().cast("binary").alias("body"))
-    path = common.write_table(rows.mapInArrow(_blocks, BLOCK), "lm-blocks")
-    blocks = docs.sparkSession.read.parquet(path)
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("at", "w")).select("block", "at", "w.words", "w.endings", "w.counts")
-    counted = entries.where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.min("endings").alias("endings"))
-    vocabulary = common.written(counted, "lm-vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    heavy = vocabulary.groupBy("endings").agg(F.sum("c").alias("n"), F.count("*").alias("v")).orderBy(F.desc("n"), "endings").limit(CLASSES - 1).collect()
-    class_of = {r["endings"]: k for k, r in enumerate(heavy)}
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, r in enumerate(heavy):
-        class_tokens[k], class_words[k] = r["n"], r["v"]
-    class_tokens[-1], class_words[-1] = total["n"] - class_tokens.sum(), total["v"] - class_words.sum()
-    known = entries.select("block", "at", "words").join(vocabulary.select("words", "c"), "words").select("block", "at", "c")
-    run = _encode(class_of, class_tokens, class_words, total["n"], total["v"])
-    again = docs.sparkSession.read.schema(blocks.schema).parquet(path)
-    out = common.written(again.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, ENCODED), "lm-encoded")
-    common.delete_table(docs.sparkSession, path)
-    return out, class_tokens, total["n"], total["v"]
-
-
-def feature_rows(kind: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token of a text: one column per feature."""
-    n = len(kind)
-    word = np.zeros((3, n), np.int64)
-    for back in range(1, min(4, n)):
-        word[back - 1, back:] = hashed[:-back]
-    last = np.full((2, n), CLASSES, np.int64)
-    for back in range(1, min(3, n)):
-        last[back - 1, back:] = kind[:-back]
-    return np.stack([word[0], WORD_ROWS + word[1], 2 * WORD_ROWS + word[2], 3 * WORD_ROWS + last[0] * _HISTORY + last[1]], 1)
-
-
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[:, 0]] + bias
-    for k in range(1, rows.shape[1]):
-        x += weights[rows[:, k]]
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+def classes_of(counts: np.ndarray, total: int) -> np.ndarray:
+    """Class of each training count: the least t >= 1 with count * 16**t >= total; 0 for none."""
+    with np.errstate(divide="ignore"):
+        t = np.ceil(np.log2(max(total, 1) / np.maximum(counts, 1)) / 4 - 1e-9)
+    return np.where(counts > 0, np.clip(t, 1, CLASSES - 1), 0).astype(np.int64)
+
+
+def codes_of(words: np.ndarray) -> np.ndarray:
+    """The digits of each word as one number of DEPTH digits."""
+    return (words >> np.uint64(64 - 4 * DEPTH)).astype(np.int64)
+
+
+def _leaf(kind: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The leaf of each word, as a number over all classes."""
+    short = 4 * (DEPTH - np.minimum(kind, DEPTH))
+    return kind * _LEAVES + (code >> short << short)
+
+
+LEAF = "leaf int, n long, words long"
+
+
+def _counted(folder: str, total: int):
+    """Puts the words' counts beside their block; returns the block's part of the leaves' counts."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        files, at = common.file_system(folder)
+        own, place = entries.column("block")[0].as_py(), entries.column("at").to_numpy()
+        order = np.argsort(place)
+        sums, n, word = (entries.column(k).to_numpy()[order] for k in ("total", "n", "word"))
+        common.write_file(files, f"{at}/{own}.counts", zstandard.ZstdCompressor(level=1).compress(sums.tobytes()))
+        first = entries.column("first").to_numpy(zero_copy_only=False)[order]
+        leaf = _leaf(classes_of(sums, total), codes_of(word.view(np.uint64)))[sums > 0]
+        leaves, which = np.unique(leaf, return_inverse=True)
+        return pa.table([pa.array(leaves.astype(np.int32)), pa.array(np.bincount(which, n[sums > 0], len(leaves)).astype(np.int64)), pa.array(np.bincount(which, first[sums > 0], len(leaves)).astype(np.int64))], names=["leaf", "n", "words"])
+
+    return run
+
+
+class Prior:
+    """Log shares of the outcomes of each node, and the leaves' counts."""
+
+    def __init__(self, leaf: np.ndarray, n: np.ndarray) -> None:
+        self.leaves = np.zeros((CLASSES, _LEAVES))
+        self.leaves.reshape(-1)[leaf] = n
+        kinds = self.leaves.sum(1)
+        kinds[0] = SMOOTHING
+        parts = [kinds[None]]
+        for kind in range(CLASSES):
+            for depth in range(DEPTH):
+                parts.append(self.leaves[kind].reshape(WAYS**depth, WAYS, -1).sum(2))
+        n = np.concatenate(parts)
+        n = (n + 1e-9) / (n + 1e-9).sum(1, keepdims=True)
+        self.log = np.log(n).astype(np.float32)
+
+
+def _factors(kind: np.ndarray, code: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The node and the outcome of factor `level` of each token; factor 0 is the class."""
+    depth = np.maximum(level - 1, 0)
+    node = 1 + kind * _NODES + np.take(_BEFORE, depth) + (code >> 4 * (DEPTH - depth))
+    outcome = code >> 4 * (DEPTH - 1 - depth) & WAYS - 1
+    whole = level == 0
+    return np.where(whole, 0, node), np.where(whole, kind, outcome)
+
+
+class Tokens:
+    """A block's tokens with what their factors and features need."""
+
+    def __init__(self, block: Block, total: int) -> None:
+        word_kind = classes_of(block.counts, total)
+        word_code = codes_of(block.words)
+        self.kind, self.code = word_kind.astype(np.int8)[block.tokens], word_code.astype(np.int16)[block.tokens]
+        begins = block.ends - block.docs["size"]
+        found = []
+        for x in (block.words, block.endings.astype(np.uint64) + np.uint64(1)):
+            # an end token, the dictionary's first word, stands before each text, twice
+            x = np.concatenate((x[:1], x[:1], x[block.tokens])) * _MIX[0]
+            before = x[:-2].copy()
+            before[begins] = x[0]
+            found += [x[1:-1], before]
+        word, skipped, ending, second = found
+        self.features = [_mixed(f) for f in (word, skipped + _MIX[3], ending * _MIX[3] ^ second)]
+
+    def rows(self, at: np.ndarray, node: np.ndarray, bits: int) -> list[np.ndarray]:
+        """The rows of the weight table for each feature of these tokens at these nodes."""
+        salt, shift = node.astype(np.uint64) * _MIX[1], np.uint64(64 - bits)
+        return [(((f.take(at) ^ salt) * _MIX[2]) >> shift).view(np.int64) for f in self.features]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return x ^ x >> np.uint64(32)
+
+
+def _logits(weights: np.ndarray, prior: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The logits of each factor's outcomes; they begin at log probabilities, so their exponentials are finite."""
+    x = prior.take(node, 0)
+    for r in rows:
+        x += weights.take(r, 0)
     return x
 
 
-def update(weights: np.ndarray, scale: np.ndarray, bias: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> None:
-    """One mini-batch of sparse gradient updates; scale holds each row's squared gradients so far."""
-    error = np.exp(_log_softmax(weights, bias, rows))
-    error[np.arange(len(kind)), kind] -= 1
-    for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        which = rows[order, k]
-        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-        gradient = np.add.reduceat(error[order], first)
-        which = which[first]
-        scale[which] += (gradient * gradient).mean(1)
-        weights[which] -= np.float32(RATE) * gradient / np.sqrt(scale[which] + np.float32(1.0))[:, None]
+def log_probabilities(weights: np.ndarray, prior: np.ndarray, node: np.ndarray, rows: list[np.ndarray], outcome: np.ndarray) -> np.ndarray:
+    """The log probability of each factor's outcome."""
+    x = _logits(weights, prior, node, rows)
+    return x[np.arange(len(outcome)), outcome] - np.log(np.exp(x) @ _ONES)
 
 
-SLICES = "slice int, tokens long, rows binary"
+def update(weights: np.ndarray, scale: np.ndarray, times: np.ndarray, prior: np.ndarray, node: np.ndarray, rows: list[np.ndarray], outcome: np.ndarray) -> None:
+    """One mini-batch of sparse gradient updates; scale holds each row's squared gradients, times its tokens so far."""
+    error = np.exp(_logits(weights, prior, node, rows))
+    error /= (error @ _ONES)[:, None]
+    place = np.arange(len(outcome))
+    error[place, outcome] -= 1
+    for r in rows:
+        ordered = np.sort(r << _PLACE | place)
+        order, which = ordered & (1 << _PLACE) - 1, ordered >> _PLACE
+        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        gradient = np.add.reduceat(error.take(order, 0), first)
+        which = which.take(first)
+        scale[which] += (gradient * gradient) @ _ONES / WAYS
+        times[which] += np.diff(np.append(first, len(r)))
+        gradient *= (np.float32(-RATE) / np.sqrt(scale.take(which) + np.float32(1.0)))[:, None]
+        weights[which] = weights.take(which, 0) + gradient
 
 
-def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for classes, hashed in zip(batch.column("classes").to_pylist(), batch.column("hashed").to_pylist(), strict=True):
-            yield np.frombuffer(classes, np.uint8), np.frombuffer(hashed, np.uint16)
+SLICES = "slice int, times binary, rows binary"
 
 
-def _train(start: np.ndarray | None, bias: np.ndarray):
+def _train(folder: str, total: int, bits: int, shared_prior, shared_weights, round_: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros((ROWS, CLASSES), np.float32) if start is None else start.copy()
-        scale = np.zeros(ROWS, np.float32)
-        tokens, held, size = 0, [], 0
-
-        def learn() -> None:
-            rows, kind = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            for at in range(0, len(kind), BATCH):
-                update(weights, scale, bias, rows[at : at + BATCH], kind[at : at + BATCH])
-
-        for kind, hashed in _corpus(batches):
-            held.append((feature_rows(kind, hashed), kind))
-            size += len(kind)
-            tokens += len(kind)
-            if size >= 8 * BATCH:
-                learn()
-                held, size = [], 0
-        if held:
-            learn()
-        if tokens:
-            for k, at in enumerate(range(0, ROWS, SLICE)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens], pa.int64()), pa.array([weights[at : at + SLICE].tobytes()], pa.binary())], names=["slice", "tokens", "rows"])
+        files, at = common.file_system(folder)
+        prior = shared_prior.value.log
+        weights = np.zeros((1 << bits, WAYS), np.float32) if shared_weights is None else shared_weights.value.astype(np.float32)
+        scale, times = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for own in batch.column("block").to_pylist():
+                block = Block(files, f"{at}/{own}")
+                tokens = Tokens(block, total)
+                taught = np.flatnonzero(np.repeat(~block.docs["held"], block.docs["size"]))[round_::rounds]
+                draw = np.random.default_rng([own, round_])
+                for begin in range(0, len(taught), BATCH):
+                    some = taught[begin : begin + BATCH]
+                    kind = tokens.kind[some].astype(np.int64)
+                    level = (draw.random(len(some), np.float32) * (1 + np.minimum(kind, DEPTH))).astype(np.int64)
+                    node, outcome = _factors(kind, tokens.code[some].astype(np.int64), level)
+                    update(weights, scale, times, prior, node, tokens.rows(some, node, bits), outcome)
+        for k, at in enumerate(range(0, 1 << bits, SLICE)):
+            part = times[at : at + SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([weights[at : at + SLICE].astype(np.float16).tobytes()], pa.binary())], names=["slice", "times", "rows"])
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The mean of each slice by tokens; holds one sum per slice."""
-    sums: dict[int, list] = {}
+    """The mean of each row by its updates, for slices that come one after another."""
+
+    def out(k: int, times: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        mean = (total / np.maximum(times, 1)[:, None]).astype(np.float16)
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([times.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["slice", "times", "rows"])
+
+    at, times, total = None, None, None
     for batch in batches:
-        for k, tokens, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            part = np.frombuffer(rows, np.float32).astype(np.float64) * tokens
-            if k in sums:
-                sums[k][0] += tokens
-                sums[k][1] += part
+        for k, t, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            t = np.frombuffer(t, np.int32).astype(np.int64)
+            part = np.frombuffer(rows, np.float16).reshape(-1, WAYS).astype(np.float64) * t[:, None]
+            if k == at:
+                times, total = times + t, total + part
             else:
-                sums[k] = [tokens, part]
-    for k, (tokens, total) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], names=["slice", "tokens", "rows"])
-
-
-def train(corpus: DataFrame, class_tokens: np.ndarray, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The weight table and the classes' bias, from the rows that aren't held out."""
-    bias = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES)).astype(np.float32)
-    taught = corpus.where("not held_out").select("classes", "hashed")
-    weights = None
-    for _ in range(rounds):
-        slices = taught.mapInArrow(_train(weights, bias), SLICES).repartition("slice").mapInArrow(_average, SLICES).collect()
-        weights = np.zeros((ROWS, CLASSES), np.float32)
-        for r in slices:
-            at = r["slice"] * SLICE
-            weights[at : at + SLICE] = np.frombuffer(r["rows"], np.float32).reshape(-1, CLASSES)
-    return weights, bias
-
-
-def _score(shared):
+                if at is not None:
+                    yield out(at, times, total)
+                at, times, total = k, t, part
+    if at is not None:
+        yield out(at, times, total)
+
+
+class Model:
+    """The counted corpus in its folder, the prior and the weight table."""
+
+    def __init__(self, folder: str, blocks: DataFrame, total: int, distinct: int, prior: Prior, weights: np.ndarray) -> None:
+        self.folder, self.blocks, self.total, self.distinct, self.prior, self.weights = folder, blocks, total, distinct, prior, weights
+
+
+def table_bits(total: int) -> int:
+    """Log2 of the rows of the weight table for so many training tokens."""
+    return 11 + round(np.log2(max(total, 1)) / 3)
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Counts and trains over the documents that aren't held out."""
+    spark = docs.sparkSession
+    folder = common.fresh_path(spark, "lm-blocks")
+    bodies = docs.select(F.col("doc_id").cast("long"), held_out().alias("held"), common.text_or_empty().cast("binary").alias("body"))
+    entries = common.written(bodies.mapInArrow(_blocks(folder), ENTRY), "lm-entries")
+    blocks = common.written(entries.where("at = 0").select("block", "tokens").orderBy("block"), "lm-manifest")
+    total = entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # a word has one entry a block at most
+    same_word = Window.partitionBy("word")
+    sums = entries.select("block", "at", "word", "n", F.sum("n").over(same_word).alias("total"), (F.min("block").over(same_word) == F.col("block")).cast("int").alias("first"))
+    leaves = sums.groupBy("block").applyInArrow(_counted(folder, total), LEAF)
+    leaves = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+    prior = Prior(leaves.column("leaf").to_numpy(), leaves.column("n").to_numpy())
+    distinct, bits, weights = int(leaves.column("words").to_numpy().sum()), table_bits(total), np.zeros((1 << table_bits(total), WAYS), np.float16)
+    tasks = common.row_blocks(total, TASK_TOKENS << bits)
+    shared_prior = spark.sparkContext.broadcast(prior)
+    for k in range(rounds if total else 0):
+        shared = spark.sparkContext.broadcast(weights) if k else None
+        dealt = blocks.repartition(tasks, F.xxhash64("block")).sortWithinPartitions("block").select("block")
+        slices = dealt.mapInArrow(_train(folder, total, bits, shared_prior, shared, k, rounds), SLICES).repartition(F.col("slice")).sortWithinPartitions("slice")
+        found = slices.mapInArrow(_average, SLICES).toArrow()
+        weights = weights.copy()
+        for at, rows in zip(found.column("slice").to_pylist(), found.column("rows").to_pylist(), strict=True):
+            weights[at * SLICE : (at + 1) * SLICE] = np.frombuffer(rows, np.float16).reshape(-1, WAYS)
+        if shared is not None:
+            shared.destroy()
+    shared_prior.destroy()
+    return Model(folder, blocks, total, distinct, prior, weights)
+
+
+SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def score_block(block: Block, prior: Prior, weights: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known tokens, base score and score (log10) of each document."""
+    bits = len(weights).bit_length() - 1
+    tokens = Tokens(block, total)
+    kinds, codes = classes_of(block.counts, total), codes_of(block.words)
+    base = np.log10((block.counts + SMOOTHING) / (total + SMOOTHING * (distinct + 1)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inside = np.where(block.counts > 0, np.log(block.counts / prior.leaves.reshape(-1)[_leaf(kinds, codes)]), 0.0)
+    found = inside[block.tokens]
+    for begin in range(0, len(found), SCORED):
+        at = np.arange(begin, min(begin + SCORED, len(found)))
+        kind, code = tokens.kind[at].astype(np.int64), tokens.code[at].astype(np.int64)
+        deep = np.minimum(kind, DEPTH)
+        for level in range(DEPTH + 1):
+            if level:
+                more = deep >= level
+                at, kind, code, deep = at[more], kind[more], code[more], deep[more]
+            node, outcome = _factors(kind, code, np.full(len(at), level))
+            found[at] += log_probabilities(weights, prior.log, node, tokens.rows(at, node, bits), outcome)
+    begins = block.ends - block.docs["size"]
+    known = np.add.reduceat((block.counts > 0)[block.tokens].astype(np.int64), begins)
+    return known, np.add.reduceat(base[block.tokens], begins), np.add.reduceat(found, begins) / np.log(10)
+
+
+def _score(folder: str, shared, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        files, at = common.file_system(folder)
+        prior, half = shared.value
+        weights = half.astype(np.float32)
         for batch in batches:
-            found = []
-            for kind, hashed in _corpus(iter([batch])):
-                total = 0.0
-                for at in range(0, len(kind), 1 << 15):
-                    begin = max(0, at - 3)
-                    part = slice(begin, at + (1 << 15))
-                    rows = feature_rows(kind[part], hashed[part])[at - begin :]
-                    own = kind[at : at + (1 << 15)]
-                    total += float(_log_softmax(weights, bias, rows)[np.arange(len(own)), own].sum(dtype=np.float64))
-                found.append(total / np.log(10))
-            kept = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
-            score = np.array(found) + batch.column("word_score").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(score, pa.float64())], names=[*kept, "score"])
+            for own in batch.column("block").to_pylist():
+                block = Block(files, f"{at}/{own}")
+                known, base, score = score_block(block, prior, weights, total, distinct)
+                docs = block.docs
+                yield pa.RecordBatch.from_arrays([pa.array(docs["id"].copy(), mask=docs["null"].copy()), pa.array(docs["held"].copy()), pa.array(docs["size"].copy()), pa.array(known), pa.array(base), pa.array(score)], names=[c.split()[0] for c in SCORE.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
-    A null text is its end token alone. Without training documents, all words are unknown and
-    classes are equally likely.
+    A null text is its end token alone; rows are scored one by one, so repeated rows, and rows with
+    a null doc_id (which are never held out), have a row each. Without training documents, all
+    words are unknown and have probability 1.
     """
-    corpus, class_tokens, tokens, _ = encoded(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(train(corpus, class_tokens, rounds))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return corpus.mapInArrow(_score(shared), schema).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model = train(docs, rounds)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.prior, model.weights))
+    tasks = common.row_blocks(model.blocks.count(), 1)
+    rows = model.blocks.select("block").repartition(tasks).mapInArrow(_score(model.folder, shared, model.total, model.distinct), SCORE)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

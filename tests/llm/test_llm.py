@@ -275,8 +275,98 @@ def test_lm_base_and_normalisation(spark):
         assert r.train_tokens == n and r.n_tokens == len(words[r.doc_id]) and r.n_known == sum(c[w] > 0 for w in words[r.doc_id])
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words[r.doc_id]))
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
-    p = np.exp(lm_scoring._log_softmax(np.random.default_rng(1).normal(size=(lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32), np.zeros(lm_scoring.CLASSES, np.float32), np.array([[1, 5000, 9000, 13000]])))
-    assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_probabilities_of_all_words_sum_to_one():
+    draw = np.random.default_rng(2)
+    words = draw.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    counts = np.minimum(draw.zipf(1.3, 3000), 100_000).astype(np.int64)
+    total = int(counts.sum())
+    kinds, codes = lm_scoring.classes_of(counts, total), lm_scoring.codes_of(words)
+    assert all(counts[k] * 16**t >= total and (t == 1 or counts[k] * 16 ** (t - 1) < total) for k, t in enumerate(kinds.tolist()))
+    leaf, which = np.unique(lm_scoring._leaf(kinds, codes), return_inverse=True)
+    prior = lm_scoring.Prior(leaf, np.bincount(which, counts))
+    weights = draw.normal(size=(1 << 12, 16)).astype(np.float32)
+    history = [np.full(3001, x) for x in draw.integers(0, 1 << 63, 3, dtype=np.uint64)]
+    tokens = lm_scoring.Tokens.__new__(lm_scoring.Tokens)
+    tokens.features = history
+    log_p = np.append(np.log(counts / prior.leaves.reshape(-1)[lm_scoring._leaf(kinds, codes)]), 0.0)
+    kinds, codes = np.append(kinds, 0), np.append(codes, 0)  # and the class of unknown words
+    for level in range(lm_scoring.DEPTH + 1):
+        at = np.flatnonzero((np.minimum(kinds, lm_scoring.DEPTH) >= level) | (level == 0))
+        node, outcome = lm_scoring._factors(kinds[at], codes[at], np.full(len(at), level))
+        log_p[at] += lm_scoring.log_probabilities(weights, prior.log, node, tokens.rows(at, node, 12), outcome)
+    assert np.exp(log_p).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_update_goes_down_the_gradient():
+    draw = np.random.default_rng(3)
+    weights, prior = draw.normal(size=(64, 16)).astype(np.float32), np.log(np.full((4, 16), 1 / 16)).astype(np.float32)
+    node, rows, outcome = np.array([1, 2, 1]), [np.array([3, 9, 3])], np.array([5, 0, 7])
+
+    def loss(w):
+        return -lm_scoring.log_probabilities(w, prior, node, rows, outcome).sum()
+
+    numeric = np.zeros((64, 16))
+    for i in (3, 9):
+        for j in range(16):
+            moved = weights.astype(np.float64).copy()
+            moved[i, j] += 1e-3
+            numeric[i, j] = (loss(moved) - loss(weights.astype(np.float64))) / 1e-3
+    after, times = weights.copy(), np.zeros(64, np.int32)
+    lm_scoring.update(after, np.zeros(64, np.float32), times, prior, node, rows, outcome)
+    step = (after - weights).astype(np.float64)
+    assert times[3] == 2 and times[9] == 1 and times.sum() == 3
+    for i in (3, 9):
+        scale = lm_scoring.RATE / np.sqrt((numeric[i] ** 2).mean() + 1)
+        assert np.allclose(step[i], -scale * numeric[i], atol=1e-3)
+    assert not step[[k for k in range(64) if k not in (3, 9)]].any()
+
+
+def test_lm_scores_against_a_plain_version(spark):
+    docs = spark.createDataFrame([(k, prose(k % 7, 30) if k % 11 else None) for k in range(40)] + [(None, "a  A\tb"), (3, prose(3, 30))], "doc_id long, text string")
+    model = lm_scoring.train(docs)
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in lm_scoring.score_documents(docs).collect())
+    words = {}
+    for r in docs.collect():
+        for w in (r.text or "").encode().lower().split() + [b"\n"]:
+            words.setdefault(w, 0)
+            words[w] += r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10 > 0
+    known = {w: (lm_scoring.word_hashes([w], np.array([int.from_bytes(w[-3:], "big")], np.uint32))[0], c) for w, c in words.items()}
+    weights, bits = model.weights.astype(np.float32), len(model.weights).bit_length() - 1
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        return (x ^ x >> 32) & mask
+
+    def one(w, back):
+        h, c = known[w]
+        if not c:
+            kind, digits, left = 0, [], 0.0
+        else:
+            kind = next(t for t in range(1, 16) if c * 16**t >= model.total)
+            digits = [int(h) >> 60 & 15, int(h) >> 56 & 15, int(h) >> 52 & 15][:kind]
+            same = sum(d for g, d in known.values() if d and next(t for t in range(1, 16) if d * 16**t >= model.total) == kind and [int(g) >> 60 & 15, int(g) >> 56 & 15, int(g) >> 52 & 15][:kind] == digits)
+            left = math.log(c / same)
+        m = [int(x) for x in lm_scoring._MIX]
+        a, b = (int(known[x][0]) * m[0] & mask for x in back)
+        ea, eb = ((int.from_bytes(x[-3:], "big") + 1) * m[0] & mask for x in back)
+        features = [mixed(a), mixed((b + m[3]) & mask), mixed((ea * m[3] & mask) ^ eb)]
+        node, before = 0, 0
+        for k, outcome in enumerate([kind, *digits]):
+            if k:
+                node = 1 + kind * 273 + (0, 1, 17)[k - 1] + before
+                before = before * 16 + outcome
+            rows = [((f ^ (node * m[1] & mask)) * m[2] & mask) >> (64 - bits) for f in features]
+            x = model.prior.log[node].astype(float) + sum(weights[r].astype(float) for r in rows)
+            left += x[outcome] - math.log(np.exp(x).sum())
+        return left
+
+    want = []
+    for r in docs.collect():
+        ws = [b"\n", b"\n", *(r.text or "").encode().lower().split(), b"\n"]
+        want.append((str(r.doc_id), round(sum(one(ws[k], (ws[k - 1], ws[k - 2])) for k in range(2, len(ws))) / math.log(10), 4)))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([x for _, x in got], [x for _, x in sorted(want)], atol=0.02)
 
 
 def test_sharding_moves_only_into_changed_subtrees(spark):
