@@ -369,16 +369,54 @@ def test_lm_scores_against_a_plain_version(spark):
     assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([x for _, x in got], [x for _, x in sorted(want)], atol=0.02)
 
 
-def test_sharding_moves_only_into_changed_subtrees(spark):
-    docs = spark.createDataFrame([(k, "x" * (k % 9)) for k in range(4000)], "doc_id long, text string")
+def test_sharding_columns_and_laws(spark):
+    texts = {k: None if k % 50 == 0 else "é" * (k % 9) for k in range(4000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = sharding.shard_documents(docs).collect()
     assert all(r.grown_shard in (r.shard, 16) for r in rows) and 100 < sum(r.grown_shard == 16 for r in rows) < 400
+    assert all(r.size == 1 + len((texts[r.doc_id] or "").encode()) and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.law == "key" for r in rows)
+    assert all(r.region == r.shard // 8 and r.rack == r.shard // 4 for r in rows)
     for s in range(16):
-        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots))) and 170 < len(slots) < 340
+
+
+def test_sharding_grows_into_the_new_shard_only(spark):
+    docs = spark.createDataFrame([(k,) for k in range(3000)], "doc_id long")
+    for n in (1, 3, 7, 8, 23):
+        tree = sharding.even_tree(n)
+        twice = sharding.grown(sharding.grown(tree))
+        frames = docs
+        for name, t in (("a", tree), ("b", sharding.grown(tree)), ("c", twice)):
+            frames = sharding.with_shard(frames, ["doc_id"], t, name)
+        rows = frames.collect()
+        assert {r.b for r in rows if r.a != r.b} == {n} and {r.c for r in rows if r.b != r.c} == {n + 1}
+        assert abs(sum(r.b == n for r in rows) - 3000 / (n + 1)) < 6 * (3000 / (n + 1)) ** 0.5
+
+
+def test_sharding_confines_moves_to_changed_subtrees(spark):
+    docs = spark.createDataFrame([(k, "x") for k in range(6000)], "doc_id long, k0 string")
     tree = sharding.even_tree(16)
-    heavier = [[[(s, 3.0 if s == 5 else w) for s, w in rack] for rack in region] for region in tree]
+    heavier = [[[(s, 4.0 if s == 5 else w) for s, w in rack] for rack in region] for region in tree]
     both = sharding.with_shard(sharding.with_shard(docs, ["doc_id"], tree, "a"), ["doc_id"], heavier, "b").collect()
-    assert {r.b for r in both if r.a != r.b} == {5}
+    moved = [(r.a, r.b) for r in both if r.a != r.b]
+    assert moved and all(b // 8 == 0 for a, b in moved if a // 8 != b // 8)  # between regions: into that of 5
+    assert all(b // 4 == 1 for a, b in moved if a // 8 == b // 8 and a // 4 != b // 4)  # between racks of one region: into that of 5
+    assert all(b == 5 for a, b in moved if a // 4 == b // 4)
+    assert {a // 8 for a, b in moved} == {0, 1}
+    light = [[[(s, 0.0 if s in (2, 12, 13, 14, 15) else w) for s, w in rack] for rack in region] for region in tree]
+    assert not {r.shard for r in sharding.with_shard(docs, ["doc_id"], light).collect()} & {2, 12, 13, 14, 15}
+    with pytest.raises(ValueError, match="positive"):
+        sharding.with_shard(docs, ["doc_id"], [[[(0, 0.0)]], []])
+
+
+def test_sharding_of_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, "a", 1, 2, 3, 4), (None, "a", 1, 2, 3, 4), (7, "b", 1, 2, 3, 4), (7, "c", 1, 2, 3, 4)], "doc_id long, text string, piece int, row int, k0 int, at int")
+    got = sharding.with_slot(sharding.with_shard(docs, ["doc_id"], sharding.even_tree(16)), "shard", ["doc_id", "text"], slot_rows=1).collect()
+    assert len({r.shard for r in got if r.doc_id is None}) == len({r.shard for r in got if r.doc_id == 7}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert got[0].asDict().keys() == {*docs.columns, "shard", "slot"} and {(r.piece, r.row, r.k0, r.at) for r in got} == {(1, 2, 3, 4)}
 
 
 def test_suffix_dedup_against_brute_force(spark):
