@@ -27,17 +27,23 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of an edge (u, v: long): the least node that can be reached.
+    """(node, root) for each node of an edge (u, v: long), as a table: the least node that can be reached.
 
-    Each round's edges are written to the shared folder; only a count and a checksum of them
-    reach the driver. Self loops are ignored; an empty graph gives no rows.
+    Each round's edges are written to the shared folder in place of the last; only a count and a
+    checksum of them reach the driver. Self loops are ignored; an empty graph gives no rows.
     """
-    now = common.written(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    state = _summary(now)
+    now = common.write_table(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    spark = edges.sparkSession
+
+    def read(path: str) -> DataFrame:
+        return spark.read.schema("u long, v long").parquet(path)
+
+    state = _summary(read(now))
     while state[0]:
-        now = common.written(_star(_star(now, small=False), small=True), "edges")
-        after = _summary(now)
+        before, now = now, common.write_table(_star(_star(read(now), small=False), small=True), "edges")
+        common.delete_table(spark, before)
+        after = _summary(read(now))
         if after == state:
             break
         state = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return read(now).select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import common, shingle_join
+from quarry.llm import common
 from quarry.llm.components import connected_components
 
 WORDS, DISTANCE, BLOCKS, SEED = 4, 4, 6, 42
@@ -56,14 +56,19 @@ def fingerprint(body: bytes, words: int = WORDS, rounds: int = 1) -> list[int]:
             h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), _COUNTED):
-            part = h[at : at + _COUNTED]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+        out.append(majority(h))
     return out
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _COUNTED):
+        part = h[at : at + _COUNTED]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def _fingerprints(words: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,18 +281,6 @@ def _groups(named: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataF
     return named.join(group, "node").select("doc_id", F.col("prints")[0].alias("print"), "component_id")
 
 
-def wide_near_duplicates(docs: DataFrame, words: int = shingle_join.WORDS, hot_bucket: int = shingle_join.BLOCK) -> DataFrame:
-    """doc_id and component_id as near_duplicates() gives them, by the exact Jaccard similarity of distinct shingles.
-
-    No fingerprint decides here: shingle_join finds and verifies each pair of 0.8 or more. Buckets
-    of over `hot_bucket` texts are dealt by pairs of blocks. Null ids, repeated rows and texts
-    without words are treated as in near_duplicates().
-    """
-    found = common.written(shingle_join.groups(docs, words, hot_bucket), "groups")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select("doc_id", "component_id")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, rounds: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """doc_id, print (signed) and component_id (the smallest doc_id reachable by links) of each row.
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import chunk_dedup, components, decontaminate, lang_id, lm_scoring, packing, sharding, simhash, suffix_dedup, token_store, transport_stream
+from quarry.llm import chunk_dedup, components, decontaminate, lang_id, lm_scoring, packing, sharding, shingle_join, simhash, suffix_dedup, token_store, transport_stream
 from quarry.llm.tokenize import encoder
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -184,8 +184,8 @@ def test_wide_simhash_links_at_similarity_of_a_document_pair(spark):
         texts |= {k: " ".join(words), k + 1: " ".join(changed), k + 2: " ".join(half)}
         expected |= {k: k, k + 1: k, k + 2: k + 2}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for hot in (simhash.HOT_BUCKET, 1):
-        got = {r.doc_id: r.component_id for r in simhash.wide_near_duplicates(docs, hot_bucket=hot).collect()}
+    for block in (shingle_join.BLOCK, 1):
+        got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs, block=block).collect()}
         missed = [k for k in got if k % 3 == 1 and got[k] != expected[k]]
         assert len(missed) <= 12 and all(got[k] == expected[k] for k in got if k % 3 != 1)
 
@@ -214,8 +214,8 @@ def test_near_dedup_links_at_exact_jaccard_only(spark):
     want = _jaccard_groups(texts)
     assert 30 < sum(want[k + 1] == k for k in range(0, 240, 2)) < 110
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for hot in (4_000, 3):
-        assert {r.doc_id: r.component_id for r in simhash.wide_near_duplicates(docs, hot_bucket=hot).collect()} == want
+    for block in (shingle_join.BLOCK, 3):
+        assert {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs, block=block).collect()} == want
 
 
 def test_simhash_groups_against_brute_force(spark):
