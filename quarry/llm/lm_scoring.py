@@ -49,8 +49,8 @@ _PLACE = BATCH.bit_length()
 TASK_TOKENS = 12
 #: Bytes of text in a block, and rows of the weight table that are averaged together.
 BLOCK_BYTES, SLICE = 12 << 20, 4096
-#: Tokens that are scored at once.
-SCORED = 1 << 15
+#: Tokens whose features are held at once.
+WINDOW = 1 << 17
 #: The end of a text; no word holds white space.
 END = b"\n"
 _ONES = np.ones(WAYS, np.float32)
@@ -69,6 +69,17 @@ def held_out(doc_id: str = "doc_id"):
 _SIZES = struct.Struct("<QQQ")
 
 
+def word_hashes(words: list[bytes], endings: np.ndarray) -> np.ndarray:
+    """64 bits that know a word: 8 of its ending's hash, then 56 of its own."""
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ending = endings.astype(np.uint64) * _MIX[0] >> np.uint64(56)
+    return ending << np.uint64(56) | own >> np.uint64(8)
+
+
+_END_ENDING = np.full(1, int.from_bytes(END, "big"), np.uint64)
+_END_WORD = word_hashes([END], _END_ENDING)
+
+
 def _write_block(files, path: str, docs: np.ndarray, words: np.ndarray, endings: np.ndarray, tokens: np.ndarray) -> None:
     raw = _SIZES.pack(len(docs), len(words), len(tokens)) + docs.tobytes() + words.tobytes() + endings.tobytes() + tokens.tobytes()
     common.write_file(files, path, zstandard.ZstdCompressor(level=1).compress(raw))
@@ -91,16 +102,16 @@ class Block:
         self.tokens = np.frombuffer(raw, np.uint32, tokens, at + docs * _DOC.itemsize + words * 12)
         self.ends = np.cumsum(self.docs["size"])
         self.counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(common.read_file(files, path + ".counts")), np.int64)
+        self._factors: tuple[np.ndarray, np.ndarray] | None = None
 
-
-def word_hashes(words: list[bytes], endings: np.ndarray) -> np.ndarray:
-    """64 bits that know a word: 8 of its ending's hash, then 56 of its own."""
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    ending = endings.astype(np.uint64) * _MIX[0] >> np.uint64(56)
-    return ending << np.uint64(56) | own >> np.uint64(8)
+    def factors(self, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Class and code of each word of the dictionary."""
+        if self._factors is None:
+            self._factors = classes_of(self.counts, total), codes_of(self.words)
+        return self._factors
 
 
-ENTRY = "block long, at int, word long, n long, tokens long"
+ENTRY = "block long, word long, n long"
 
 
 def _blocks(folder: str):
@@ -123,11 +134,14 @@ def _blocks(folder: str):
                 counts += np.bincount(np.concatenate(taught), minlength=len(known))
             endings = np.fromiter((int.from_bytes(w[-3:], "big") for w in known), np.uint32, len(known))
             hashes = word_hashes(list(known), endings)
+            order = np.argsort(hashes.view(np.int64))  # a dictionary's words come in order of their hashes
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            hashes, endings = hashes[order], endings[order]
             heads = np.array([(d or 0, d is None, held, len(p)) for (d, held, _), p in zip(docs, parts, strict=True)], _DOC)
             own = part << 24 | number
-            _write_block(files, f"{at}/{own}", heads, hashes, endings, tokens)
-            n = len(known)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, own)), pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts), pa.array(np.append(len(tokens), np.zeros(n - 1, np.int64)))], names=["block", "at", "word", "n", "tokens"])
+            _write_block(files, f"{at}/{own}", heads, hashes, endings, place[tokens])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), own)), pa.array(hashes.view(np.int64)), pa.array(counts[order])], names=["block", "word", "n"])
 
         docs, size = [], 0
         for batch in batches:
@@ -165,18 +179,21 @@ LEAF = "leaf int, n long, words long"
 
 
 def _counted(folder: str, total: int):
-    """Puts the words' counts beside their block; returns the block's part of the leaves' counts."""
+    """Puts the words' counts beside their block; returns the leaves' counts of words that have this as their first block.
+
+    A count is negative in a block that isn't the word's first.
+    """
 
     def run(entries: pa.Table) -> pa.Table:
         files, at = common.file_system(folder)
-        own, place = entries.column("block")[0].as_py(), entries.column("at").to_numpy()
-        order = np.argsort(place)
-        sums, n, word = (entries.column(k).to_numpy()[order] for k in ("total", "n", "word"))
-        common.write_file(files, f"{at}/{own}.counts", zstandard.ZstdCompressor(level=1).compress(sums.tobytes()))
-        first = entries.column("first").to_numpy(zero_copy_only=False)[order]
-        leaf = _leaf(classes_of(sums, total), codes_of(word.view(np.uint64)))[sums > 0]
-        leaves, which = np.unique(leaf, return_inverse=True)
-        return pa.table([pa.array(leaves.astype(np.int32)), pa.array(np.bincount(which, n[sums > 0], len(leaves)).astype(np.int64)), pa.array(np.bincount(which, first[sums > 0], len(leaves)).astype(np.int64))], names=["leaf", "n", "words"])
+        own = entries.column("block")[0].as_py()
+        word, signed = entries.column("word").to_numpy(), entries.column("total").to_numpy()
+        order = np.argsort(word)
+        common.write_file(files, f"{at}/{own}.counts", zstandard.ZstdCompressor(level=1).compress(np.abs(signed[order]).tobytes()))
+        first = signed > 0
+        counts = signed[first]
+        leaves, which = np.unique(_leaf(classes_of(counts, total), codes_of(word[first].view(np.uint64))), return_inverse=True)
+        return pa.table([pa.array(leaves.astype(np.int32)), pa.array(np.bincount(which, counts, len(leaves)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(leaves)).astype(np.int64))], names=["leaf", "n", "words"])
 
     return run
 
@@ -208,19 +225,21 @@ def _factors(kind: np.ndarray, code: np.ndarray, level: np.ndarray) -> tuple[np.
 
 
 class Tokens:
-    """A block's tokens with what their factors and features need."""
+    """Tokens begin..end of a block, with what their factors and features need."""
 
-    def __init__(self, block: Block, total: int) -> None:
-        word_kind = classes_of(block.counts, total)
-        word_code = codes_of(block.words)
-        self.kind, self.code = word_kind.astype(np.int8)[block.tokens], word_code.astype(np.int16)[block.tokens]
+    def __init__(self, block: Block, total: int, begin: int = 0, end: int | None = None) -> None:
+        ids = block.tokens[max(begin - 2, 0) : end]
+        lead = begin - max(begin - 2, 0)
+        kinds, codes = block.factors(total)
+        self.kind, self.code = kinds.take(ids[lead:]), codes.take(ids[lead:])
         begins = block.ends - block.docs["size"]
+        begins = begins[np.searchsorted(begins, begin) : np.searchsorted(begins, begin + len(ids) - lead)] - begin
         found = []
-        for x in (block.words, block.endings.astype(np.uint64) + np.uint64(1)):
-            # an end token, the dictionary's first word, stands before each text, twice
-            x = np.concatenate((x[:1], x[:1], x[block.tokens])) * _MIX[0]
+        for x, outside in ((block.words, _END_WORD), (block.endings.astype(np.uint64), _END_ENDING)):
+            # an end token stands before each text, twice
+            x = np.concatenate((np.full(2 - lead, outside, np.uint64), x.take(ids))) * _MIX[0]
             before = x[:-2].copy()
-            before[begins] = x[0]
+            before[begins] = outside * _MIX[0]
             found += [x[1:-1], before]
         word, skipped, ending, second = found
         self.features = [_mixed(f) for f in (word, skipped + _MIX[3], ending * _MIX[3] ^ second)]
@@ -280,14 +299,17 @@ def _train(folder: str, total: int, bits: int, shared_prior, shared_weights, rou
             for own in batch.column("block").to_pylist():
                 block = Block(files, f"{at}/{own}")
                 tokens = Tokens(block, total)
-                taught = np.flatnonzero(np.repeat(~block.docs["held"], block.docs["size"]))[round_::rounds]
+                held = np.repeat(block.docs["held"], block.docs["size"])
                 draw = np.random.default_rng([own, round_])
-                for begin in range(0, len(taught), BATCH):
-                    some = taught[begin : begin + BATCH]
-                    kind = tokens.kind[some].astype(np.int64)
-                    level = (draw.random(len(some), np.float32) * (1 + np.minimum(kind, DEPTH))).astype(np.int64)
-                    node, outcome = _factors(kind, tokens.code[some].astype(np.int64), level)
-                    update(weights, scale, times, prior, node, tokens.rows(some, node, bits), outcome)
+                for begin in range(0, len(held), WINDOW):
+                    tokens = Tokens(block, total, begin, begin + WINDOW)
+                    taught = np.flatnonzero(~held[begin : begin + WINDOW])[round_::rounds]
+                    for at_ in range(0, len(taught), BATCH):
+                        some = taught[at_ : at_ + BATCH]
+                        kind = tokens.kind.take(some)
+                        level = (draw.random(len(some), np.float32) * (1 + np.minimum(kind, DEPTH))).astype(np.int64)
+                        node, outcome = _factors(kind, tokens.code.take(some), level)
+                        update(weights, scale, times, prior, node, tokens.rows(some, node, bits), outcome)
         for k, at in enumerate(range(0, 1 << bits, SLICE)):
             part = times[at : at + SLICE]
             if part.any():
@@ -335,14 +357,16 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
     folder = common.fresh_path(spark, "lm-blocks")
     bodies = docs.select(F.col("doc_id").cast("long"), held_out().alias("held"), common.text_or_empty().cast("binary").alias("body"))
-    entries = common.written(bodies.mapInArrow(_blocks(folder), ENTRY), "lm-entries")
-    blocks = common.written(entries.where("at = 0").select("block", "tokens").orderBy("block"), "lm-manifest")
-    total = entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # a word has one entry a block at most
-    same_word = Window.partitionBy("word")
-    sums = entries.select("block", "at", "word", "n", F.sum("n").over(same_word).alias("total"), (F.min("block").over(same_word) == F.col("block")).cast("int").alias("first"))
-    leaves = sums.groupBy("block").applyInArrow(_counted(folder, total), LEAF)
-    leaves = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+    with common.scratch(spark) as written:
+        entries = written(bodies.mapInArrow(_blocks(folder), ENTRY), "lm-entries")
+        blocks = common.written(entries.select("block").distinct(), "lm-manifest")
+        total = entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        # a word has one entry a block at most
+        same_word = Window.partitionBy("word")
+        sign = F.when(F.min("block").over(same_word) == F.col("block"), 1).otherwise(-1)
+        sums = entries.select("block", "word", (F.sum("n").over(same_word) * sign).alias("total"))
+        leaves = sums.groupBy("block").applyInArrow(_counted(folder, total), LEAF)
+        leaves = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
     prior = Prior(leaves.column("leaf").to_numpy(), leaves.column("n").to_numpy())
     distinct, bits, weights = int(leaves.column("words").to_numpy().sum()), table_bits(total), np.zeros((1 << table_bits(total), WAYS), np.float16)
     tasks = common.row_blocks(total, TASK_TOKENS << bits)
@@ -367,22 +391,19 @@ SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 def score_block(block: Block, prior: Prior, weights: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known tokens, base score and score (log10) of each document."""
     bits = len(weights).bit_length() - 1
-    tokens = Tokens(block, total)
-    kinds, codes = classes_of(block.counts, total), codes_of(block.words)
     base = np.log10((block.counts + SMOOTHING) / (total + SMOOTHING * (distinct + 1)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        inside = np.where(block.counts > 0, np.log(block.counts / prior.leaves.reshape(-1)[_leaf(kinds, codes)]), 0.0)
-    found = inside[block.tokens]
-    for begin in range(0, len(found), SCORED):
-        at = np.arange(begin, min(begin + SCORED, len(found)))
-        kind, code = tokens.kind[at].astype(np.int64), tokens.code[at].astype(np.int64)
-        deep = np.minimum(kind, DEPTH)
+    leaf = prior.leaves.reshape(-1).take(_leaf(*block.factors(total)))
+    inside = np.log(np.maximum(block.counts, 1) / np.where(block.counts > 0, leaf, 1))
+    found = inside.take(block.tokens)
+    for begin in range(0, len(found), WINDOW):
+        tokens = Tokens(block, total, begin, begin + WINDOW)
+        at, kind, code = np.arange(len(tokens.kind)), tokens.kind, tokens.code
         for level in range(DEPTH + 1):
             if level:
-                more = deep >= level
-                at, kind, code, deep = at[more], kind[more], code[more], deep[more]
+                more = np.flatnonzero(kind >= level)
+                at, kind, code = at.take(more), kind.take(more), code.take(more)
             node, outcome = _factors(kind, code, np.full(len(at), level))
-            found[at] += log_probabilities(weights, prior.log, node, tokens.rows(at, node, bits), outcome)
+            found[begin + at] += log_probabilities(weights, prior.log, node, tokens.rows(at, node, bits), outcome)
     begins = block.ends - block.docs["size"]
     known = np.add.reduceat((block.counts > 0)[block.tokens].astype(np.int64), begins)
     return known, np.add.reduceat(base[block.tokens], begins), np.add.reduceat(found, begins) / np.log(10)

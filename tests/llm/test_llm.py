@@ -350,7 +350,7 @@ def test_lm_scores_against_a_plain_version(spark):
             left = math.log(c / same)
         m = [int(x) for x in lm_scoring._MIX]
         a, b = (int(known[x][0]) * m[0] & mask for x in back)
-        ea, eb = ((int.from_bytes(x[-3:], "big") + 1) * m[0] & mask for x in back)
+        ea, eb = (int.from_bytes(x[-3:], "big") * m[0] & mask for x in back)
         features = [mixed(a), mixed((b + m[3]) & mask), mixed((ea * m[3] & mask) ^ eb)]
         node, before = 0, 0
         for k, outcome in enumerate([kind, *digits]):
