@@ -107,6 +107,17 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         held.close()
 
 
+def join_by_share(rows: DataFrame, known: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined to known, which has a row for each key and in `n` how often the key is in rows (of `total`).
+
+    Keys with over a thousandth of the rows, of which there are fewer than 1,000, are broadcast, so
+    that none of them puts its rows into one task; all others are joined by shuffles.
+    """
+    hot, cold = known.where(F.col(n) * 1000 > total), known.where(F.col(n) * 1000 <= total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

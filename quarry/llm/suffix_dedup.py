@@ -368,9 +368,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_
     with common.scratch(docs.sparkSession) as written:
         occurrences = written(bodies.where(F.length("body") >= length).mapInArrow(_occurrences(length), OCCURRENCE), "occurrences")
         # anchors that occur once are counted alone and leave their places behind
-        anchors = occurrences.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("several")).where("n > 1").select("anchor", "several")
-        met = written(occurrences.join(anchors, "anchor"), "met")
-        written.delete(occurrences)
+        anchors = occurrences.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("several")).where("n > 1")
+        anchors = written(anchors, "anchors")
+        met = written(common.join_by_share(occurrences, anchors, ["anchor"], "n", occurrences.count()).drop("n"), "met")
+        written.delete(occurrences, anchors)
         place = F.struct("doc_id", "doc_hash", "first", "strings", "shift")
         segments = written(met.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(place).alias("at"), F.first("several").alias("several")), "segments")
         asked = segments.where("several").select("anchor", "segment", "copies", "at.*").groupBy("doc_id", "doc_hash").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "strings", "shift")).alias("asked"))
@@ -381,7 +382,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_
             .mapInArrow(_fetch(length), SEGMENT + ", body binary"),
             "fetched",
         )
-        whole = met.join(segments.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("doc_id", "doc_hash", _covered(length))
+        repeated = segments.where("copies > 1").select("anchor", "segment", "copies")
+        whole = common.join_by_share(met, repeated, ["anchor", "segment"], "copies", met.count()).select("doc_id", "doc_hash", _covered(length))
         found = [whole]
         columns = [c.split()[0] for c in SEGMENT.split(", ")] + ["body"]
         spans = "doc_id long, doc_hash long, spans array<struct<a:int,b:int>>"
