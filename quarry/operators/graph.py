@@ -1,48 +1,306 @@
-"""Graph operators over edge frames (src, dst). Each level is a join; depth bounds the levels."""
+"""Graph operators over edge frames (src, dst, type). Each level is a join; depth bounds the levels.
+
+Levels are written tables in the shared folder, so plans stay short and a lost executor costs no
+level; the edges are read once per level and not built anew.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.written import settled
+
+
+def _directed(edges: DataFrame, direction: str) -> DataFrame:
+    """(at, next, src, dst, type): the steps that edges allow out, in, or both ways."""
+    kind = F.col("type") if "type" in edges.columns else F.lit(None).cast("string")
+    out = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), "src", "dst", kind.alias("type"))
+    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), "src", "dst", kind.alias("type"))
+    return {"out": out, "in": back, "both": out.unionByName(back.where("src <> dst"))}[direction].distinct()
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
 
 def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(seed, node, depth): least number of hops to each node within `depth`; seeds are at 0."""
     frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"))
+    steps = settled(edges.select("src", "dst"), "steps")
     seen = frontier
     for level in range(1, depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level))
+        step = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = settled(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def chain(seeds: DataFrame, edges: DataFrame, depth: int = 2, direction: str = "out") -> DataFrame:
+    """(seed, src, dst, type, depth, path): the edges of a breadth-first walk from each seed.
+
+    Each node is expanded once, at its least depth; of its ways there, the least path is kept.
+    """
+    steps = settled(_directed(edges, direction), "steps")
+    frontier = seeds.select(F.col("node").alias("seed"), "node", F.array("node").alias("path"))
+    seen, found = frontier.select("seed", "node"), None
+    for level in range(1, depth + 1):
+        taken = frontier.join(steps, frontier["node"] == steps["at"]).select("seed", "src", "dst", "type", "next", F.lit(level).alias("depth"), F.concat("path", F.array("next")).alias("path"))
+        taken = settled(taken, "chain")
+        found = taken if found is None else found.unionByName(taken)
+        new = taken.groupBy("seed", F.col("next").alias("node")).agg(F.min("path").alias("path"))
+        frontier = settled(new.join(seen, ["seed", "node"], "left_anti"), "frontier")
+        seen = seen.unionByName(frontier.select("seed", "node"))
+    return found.drop("next")
+
+
+def walk(seed: DataFrame, edges: DataFrame, depth: int = 3, direction: str = "both") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, depth), edges (src, dst, type) and cycles (cycle) within `depth` hops of the nodes of seed.
+
+    A step back onto its own path closes a cycle and is not followed; each node is followed once,
+    at its least depth and by its least path.
+    """
+    steps = settled(_directed(edges, direction), "steps")
+    frontier = seed.select("node", F.array("node").alias("path"))
+    nodes = frontier.select("node", F.lit(0).alias("depth"))
+    kept, cycles = [], []
+    for level in range(1, depth + 1):
+        taken = settled(frontier.join(steps, frontier["node"] == steps["at"]).select("path", "next", "src", "dst", "type"), "walk")
+        closing = F.array_contains("path", F.col("next"))
+        cycles.append(taken.where(closing).select(F.concat("path", F.array("next")).alias("cycle")))
+        going = taken.where(~closing)
+        kept.append(going.select("src", "dst", "type"))
+        new = going.groupBy(F.col("next").alias("node")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+        frontier = settled(new.join(nodes, "node", "left_anti"), "frontier")
+        nodes = nodes.unionByName(frontier.select("node", F.lit(level).alias("depth")))
+    return nodes, _all(kept).distinct(), _all(cycles).distinct()
+
+
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def ego(seed: DataFrame, edges: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, depth) within `depth` hops either way, and the edges of the hops (each once)."""
+    nodes, kept, _ = walk(seed, edges, depth)
+    return nodes, kept
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, most: int = 5) -> DataFrame:
+    """(path, types, hops): one row with the least of the shortest directed paths of at most `most` hops, or none.
+
+    types holds the least edge type of each hop. The walk ends with the level that meets the target.
+    """
+    steps = settled(edges.groupBy("src", "dst").agg(F.min("type").alias("type")), "steps")
+    spark = edges.sparkSession
+    frontier = spark.createDataFrame([(source, [source], [])], "node string, path array<string>, types array<string>")
+    seen = frontier.select("node")
+    for hops in range(most + 1):
+        hit = frontier.where(F.col("node") == target)
+        if not hit.isEmpty():
+            return hit.orderBy("path").limit(1).select("path", "types", F.lit(hops).alias("hops"))
+        if hops == most:
+            break
+        taken = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("types", F.array("type")).alias("types"))
+        best = taken.groupBy("node").agg(F.min(F.struct("path", "types")).alias("b")).select("node", "b.path", "b.types")
+        frontier = settled(best.join(seen, "node", "left_anti"), "frontier")
+        seen = seen.unionByName(frontier.select("node"))
+    return frontier.limit(0).select("path", "types", F.lit(0).alias("hops"))
+
+
 def simple_paths(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(path, hops): all paths without a repeated node, of 1..depth hops, from the nodes of start."""
     now = start.select(F.array("node").alias("path"))
-    out = None
+    steps, out = settled(edges.select("src", "dst").distinct(), "steps"), None
     for hops in range(1, depth + 1):
         last = F.element_at("path", -1)
-        now = now.join(edges, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        now = settled(now.join(steps, last == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")), "paths")
         part = now.withColumn("hops", F.lit(hops))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """(cycle, hops): simple cycles of at most `depth` hops, once each: they begin at their least node."""
-    starts = edges.select(F.col("src").alias("node")).distinct()
-    loops = edges.where("src = dst").select(F.array("src", "dst").alias("cycle"), F.lit(1).alias("hops")).distinct()
-    paths = simple_paths(starts, edges, depth - 1).where(F.element_at("path", 1) == F.array_min("path"))
-    closed = paths.join(edges, (F.element_at("path", -1) == F.col("src")) & (F.element_at("path", 1) == F.col("dst")))
-    return loops.unionByName(closed.select(F.concat("path", F.array("dst")).alias("cycle"), (F.col("hops") + 1).alias("hops"))).distinct()
+def paths_between(edges: DataFrame, source: str, target: str, depth: int = 5) -> DataFrame:
+    """(path, hops): all simple paths of at most `depth` hops from one node to another."""
+    start = edges.sparkSession.createDataFrame([(source,)], "node string")
+    return simple_paths(start, edges, depth).where(F.element_at("path", -1) == target)
+
+
+def cycles(edges: DataFrame, depth: int, types: Sequence[str] | None = None) -> DataFrame:
+    """(cycle, hops): simple cycles of at most `depth` hops over edges of the types, once each: they begin at their least node."""
+    if types is not None:
+        edges = edges.where(F.col("type").isin(*types))
+    steps = settled(edges.select("src", "dst").distinct(), "steps")
+    loops = steps.where("src = dst").select(F.array("src", "dst").alias("cycle"), F.lit(1).alias("hops"))
+    now, out = steps.select(F.col("src").alias("node")).distinct().select(F.array("node").alias("path")), loops
+    for hops in range(2, depth + 1):
+        # a path never goes below its first node, so each cycle is walked once
+        going = now.join(steps, F.element_at("path", -1) == F.col("src")).where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
+        now = settled(going.select(F.concat("path", F.array("dst")).alias("path")), "paths")
+        closed = now.join(steps, (F.element_at("path", -1) == F.col("src")) & (F.element_at("path", 1) == F.col("dst")))
+        out = out.unionByName(closed.select(F.concat("path", F.array("dst")).alias("cycle"), F.lit(hops).alias("hops")))
+    return out
+
+
+#: Edge types that make a dependency.
+DEPENDENCIES = ("imports", "uses", "depends_on", "requires")
+
+
+def adjacency(edges: DataFrame, types: Sequence[str] = DEPENDENCIES, reverse: bool = False) -> DataFrame:
+    """(node, others): the sorted distinct dependencies of each node, or with reverse its dependents."""
+    kept = edges.where(F.col("type").isin(*types))
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return kept.groupBy(F.col(a).alias("node")).agg(F.array_sort(F.collect_set(b)).alias("others"))
+
+
+def closure(edges: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(seed, node, depth): all that seeds reach, themselves left out unless a cycle leads back; as many levels as it takes.
+
+    Cycles end by themselves: a pair is followed once. Fails after `most` levels.
+    """
+    steps = settled(edges.select("src", "dst").distinct(), "steps")
+    frontier = seeds.select(F.col("node").alias("seed"), "node")
+    seen = None
+    for level in range(1, most + 1):
+        step = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        new = step if seen is None else step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        new = settled(new.withColumn("depth", F.lit(level)), "closure")
+        if new.isEmpty():
+            return new if seen is None else seen
+        seen = new if seen is None else settled(seen.unionByName(new), "closed") if level % 8 == 0 else seen.unionByName(new)
+        frontier = new.select("seed", "node")
+    raise ValueError(f"the closure has over {most} levels")
+
+
+def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(src, dst, closes): whether an edge from src to dst would close a cycle, for candidates (src, dst)."""
+    back = closure(edges, candidates.select(F.col("dst").alias("node")).distinct()).select(F.col("seed").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("found"))
+    return candidates.join(back, ["src", "dst"], "left").select("src", "dst", (F.coalesce("found", F.lit(False)) | (F.col("src") == F.col("dst"))).alias("closes"))
+
+
+def longest_depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): hops of the longest chain from a root (a node without incoming edges); for graphs without cycles.
+
+    Nodes that no root reaches have no row. A graph whose longest chain would exceed its number of
+    nodes has a cycle, which is an error.
+    """
+    steps = settled(edges.select("src", "dst").distinct(), "steps")
+    ends = steps.select(F.col("dst").alias("node")).distinct()
+    total = steps.select("src").unionByName(steps.select(F.col("dst").alias("src"))).distinct().count()
+    now = steps.select(F.col("src").alias("node")).distinct().join(ends, "node", "left_anti")
+    found, level = None, 0
+    while True:
+        here = settled(now.withColumn("depth", F.lit(level)), "depths")
+        if here.isEmpty():
+            break
+        if level >= total:
+            raise ValueError("the graph has a cycle")
+        found = here if found is None else found.unionByName(here)
+        now = here.join(steps, here["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+        level += 1
+    empty = steps.select(F.col("src").alias("node"), F.lit(0).alias("depth")).limit(0)
+    return (empty if found is None else found).groupBy("node").agg(F.max("depth").alias("depth"))
+
+
+def label_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over undirected edges, however far.
+
+    Labels go to all neighbours and then on to the label's own label, so that long chains shorten
+    by doubling, until no label changes. Hot nodes only cost partial minima.
+    """
+    both = settled(undirected(edges), "both")
+    labels = settled(both.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component")), "labels")
+    while True:
+        mine = labels.select(F.col("node").alias("dst"), F.col("component").alias("near"))
+        offered = both.join(mine, "dst").groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
+        # the old label hears of the better one too, so whole groups move at once
+        heard = labels.join(offered, "node").select("node", "component", F.least("component", "near").alias("best"))
+        told = heard.groupBy(F.col("component").alias("node")).agg(F.min("best").alias("told"))
+        moved = heard.join(told, "node", "left").select("node", "component", F.least("best", F.coalesce("told", "best")).alias("best"))
+        up = moved.select(F.col("node").alias("best"), F.col("best").alias("next"))
+        new = settled(moved.join(up, "best", "left").select("node", F.least("best", F.coalesce("next", "best")).alias("component"), (F.least("best", F.coalesce("next", "best")) != F.col("component")).alias("changed")), "labels")
+        labels = new.select("node", "component")
+        if new.where("changed").isEmpty():
+            return labels
+
+
+def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(components, isolated): connected components among the nodes, and how many of them are single nodes without edges."""
+    labels = label_components(edges)
+    alone = nodes.select("node").distinct().join(labels.select("node"), "node", "left_anti").agg(F.count("*").alias("isolated"))
+    return labels.agg(F.count_distinct("component").alias("n")).join(F.broadcast(alone)).select((F.col("n") + F.col("isolated")).alias("components"), "isolated")
+
+
+def expanded_context(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(node, depth): the seeds and what is within `depth` hops either way, each at its first depth."""
+    return reach(seeds, undirected(edges), depth).groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def systems(anchors: DataFrame, edges: DataFrame, depth: int = 5, least: int = 3) -> DataFrame:
+    """(anchor, node, depth): regions around anchors (node, place), of at least `least` nodes.
+
+    All regions grow one hop a level at once; a node belongs to the region that reaches it first,
+    and of several to that of the anchor with the least place.
+    """
+    steps = settled(undirected(edges), "steps")
+    owned = settled(anchors.groupBy("node").agg(F.min("place").alias("place")).select("node", "place", F.lit(0).alias("depth")), "owned")
+    for level in range(1, depth + 1):
+        edge = owned.where(F.col("depth") == level - 1)
+        claims = edge.join(steps, edge["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("place"))
+        new = claims.join(owned.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        owned = settled(owned.unionByName(new), "owned")
+    large = owned.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("place")
+    names = anchors.groupBy("place").agg(F.min("node").alias("anchor"))
+    return owned.join(large, "place").join(names, "place").select("anchor", "node", "depth")
+
+
+def pipelines(callables: DataFrame, edges: DataFrame, depth: int = 10, least: int = 3) -> DataFrame:
+    """(entry, stage, node, is_exit): what is called from each callable (node) that nothing calls, in first-seen order.
+
+    Stages are ordered by depth and name; the last three are exits. Entries with fewer than `least` stages have no rows.
+    """
+    calls = edges.where("type = 'calls'").select("src", "dst")
+    entries = callables.select("node").distinct().join(calls.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    seen = reach(entries, calls, depth)
+    staged = seen.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("stages")).where(F.size("stages") >= least)
+    return staged.select(F.col("seed").alias("entry"), F.size("stages").alias("n"), F.posexplode("stages").alias("stage", "s")).select("entry", "stage", "s.node", (F.col("stage") >= F.col("n") - 3).alias("is_exit"))
+
+
+def derived_edges(owners: DataFrame, owner: str, member: str, type_: str, place: str | None = None) -> DataFrame:
+    """(src, dst, type, place): an edge from each member to its owner, as systems, pipelines and patterns give them."""
+    return owners.select(F.col(member).alias("src"), F.col(owner).alias("dst"), F.lit(type_).alias("type"), (F.col(place) if place else F.lit(None).cast("int")).alias("place"))
+
+
+def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group, n, cohesion, coupling) of groups of nodes (group, node).
+
+    Cohesion: edges within the group over n (n - 1). Coupling: edges across its border over all edges.
+    """
+    ends = edges.select("src", "dst")
+    total = F.broadcast(edges.agg(F.count("*").alias("total")))
+    a, b = members.select("group", F.col("node").alias("src")), members.select("group", F.col("node").alias("dst"))
+    inside = ends.join(a, "src").join(b, ["dst", "group"]).groupBy("group").agg(F.count("*").alias("inside"))
+    touching = ends.join(a, "src").groupBy("group").agg(F.count("*").alias("n")).unionByName(ends.join(b, "dst").groupBy("group").agg(F.count("*").alias("n"))).groupBy("group").agg(F.sum("n").alias("ends"))
+    sizes = members.groupBy("group").agg(F.count_distinct("node").alias("n"))
+    joined = sizes.join(inside, "group", "left").join(touching, "group", "left").join(total)
+    within = F.coalesce("inside", F.lit(0))
+    return joined.select("group", "n", F.when(F.col("n") > 1, within / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("cohesion"), F.when(F.col("total") > 0, (F.coalesce("ends", F.lit(0)) - 2 * within) / F.col("total")).otherwise(0.0).alias("coupling"))
+
+
+def flow_complexity(edges: DataFrame, depth: int = 5) -> DataFrame:
+    """One row (cycles, depth, branching): cycles of at most `depth` hops, the longest of the shortest ways from roots, mean edges out."""
+    out = edges.groupBy("src").agg(F.count_distinct("dst").alias("n")).agg(F.coalesce(F.avg("n"), F.lit(0.0)).alias("branching"))
+    roots = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    deep = closure(edges, roots).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+    found = cycles(edges, depth).agg(F.count("*").alias("cycles"))
+    return found.join(F.broadcast(deep)).join(F.broadcast(out)).select("cycles", "depth", "branching")
 
 
-def label_components(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, component): the least node reachable over undirected edges within `rounds` doublings."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    labels = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "node")
-    for _ in range(rounds):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        labels = labels.join(near, labels["node"] == near["src"]).select("node", F.least("component", "near").alias("component"))
-    return labels
+def first_of(column: Column, *order: Column) -> Column:
+    """The column's value of the first row in an order, as an aggregate."""
+    return F.min_by(column, F.struct(*order))

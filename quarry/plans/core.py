@@ -137,9 +137,13 @@ def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUPPLY = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supplies' AS type FROM lineitem)"
 
 
-@query("edges_with_inverses", f"WITH {_SUPPLY} SELECT src, dst, type, false AS is_inverse FROM e UNION ALL SELECT dst, src, 'supplied_by', true FROM e")
+_KINDS = "CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'R' THEN 'contains' ELSE 'in_namespace' END"
+
+
+@query("edges_with_inverses", f"WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, {_KINDS} AS type FROM lineitem) SELECT src, dst, type, false AS is_inverse, NULL::varchar AS original_type FROM e UNION ALL SELECT dst, src, CASE type WHEN 'calls' THEN 'called_by' ELSE 'namespace_contains' END, true, type FROM e WHERE type <> 'contains'")
 def edges_with_inverses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.with_inverses(_supply(spark, sf_dir))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.expr(_KINDS).alias("type"))
+    return edges.with_inverses(rows.distinct())
 
 
 @query("reach_two_hops", f"WITH {_SUPPLY}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), h1 AS (SELECT DISTINCT dst AS node FROM b WHERE src = 's1'), h2 AS (SELECT DISTINCT b.dst AS node FROM h1 JOIN b ON h1.node = b.src) SELECT 's1' AS seed, node, min(depth) AS depth FROM (SELECT 's1' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node")
@@ -152,14 +156,17 @@ def reach_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("components_of_trade", "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.other = b.a) SELECT node, min(other) AS component FROM r GROUP BY node")
 def components_of_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    return graph.label_components(e, 3)
+    return graph.label_components(e)
 
 
-@query("evidence_aggregation", """WITH e AS (SELECT l_suppkey AS supp, l_partkey AS part, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'R' THEN 2 ELSE 1 END AS precedence, round(1 - l_discount * 5, 2) AS confidence, l_linenumber AS age_days FROM lineitem),
-    t AS (SELECT supp, part, max(precedence) AS precedence, count(*) AS pieces, min(age_days) AS age FROM e GROUP BY supp, part), b AS (SELECT e.supp, e.part, max(confidence) AS base FROM e JOIN t ON e.supp = t.supp AND e.part = t.part AND e.precedence = t.precedence GROUP BY e.supp, e.part)
-    SELECT t.supp, t.part, pieces, precedence, round(least(1.0, (base + least(0.1, 0.02 * (pieces - 1)) + CASE precedence WHEN 3 THEN 0.1 WHEN 2 THEN 0.05 ELSE 0.02 END) * pow(0.99::double, age::double)), 3) AS confidence FROM t JOIN b ON t.supp = b.supp AND t.part = b.part""")
+@query(
+    "evidence_aggregation",
+    """WITH e AS (SELECT l_suppkey AS supp, l_partkey AS part, CASE l_returnflag WHEN 'A' THEN 4 WHEN 'R' THEN 3 ELSE 2 END AS precedence, round(1 - l_discount * 5, 2) AS confidence, l_linenumber AS age_days FROM lineitem),
+    t AS (SELECT supp, part, max(precedence) AS precedence, count(*) AS pieces, avg(age_days) AS age, min(confidence) AS lowest, max(confidence) AS highest, greatest(0, 1 - var_pop(confidence)) AS consensus FROM e GROUP BY supp, part), b AS (SELECT e.supp, e.part, max(confidence) AS base FROM e JOIN t ON e.supp = t.supp AND e.part = t.part AND e.precedence = t.precedence GROUP BY e.supp, e.part)
+    SELECT t.supp, t.part, pieces, precedence, floor(least(1.0::double, (base + least(0.1::double, 0.02::double * (pieces - 1)) + CASE precedence WHEN 4 THEN 0.1::double WHEN 3 THEN 0.05::double ELSE 0.02::double END) * greatest(0, 1 - 0.01::double * age)) * 1000 + 0.5) / 1000 AS confidence, lowest, highest, round(consensus, 6) AS consensus FROM t JOIN b ON t.supp = b.supp AND t.part = b.part""",
+)
 def evidence_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    precedence = F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "R", 2).otherwise(1)
+    precedence = F.when(F.col("l_returnflag") == "A", 4).when(F.col("l_returnflag") == "R", 3).otherwise(2)
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("part"), precedence.alias("precedence"), F.round(1 - F.col("l_discount") * 5, 2).alias("confidence"), F.col("l_linenumber").alias("age_days"))
     return edges.aggregate_evidence(rows, ["supp", "part"])
 

@@ -14,7 +14,11 @@ def settled(df: DataFrame, name: str = "round") -> DataFrame:
     The folder is spark.checkpoint.dir; where it is unset (one local machine) a temporary one stands in.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

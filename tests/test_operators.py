@@ -24,14 +24,16 @@ def test_boolean_query_precedence_and_errors(spark):
 
 
 def test_evidence_of_two_sources(spark):
-    rows = spark.createDataFrame([("a", "b", 3, 0.8, 0), ("a", "b", 2, 0.9, 0)], "src string, dst string, precedence int, confidence double, age_days int")
-    assert edges.aggregate_evidence(rows, ["src", "dst"]).first().confidence == pytest.approx(0.92)
+    rows = spark.createDataFrame([("a", "b", 4, 0.8, 0), ("a", "b", 3, 0.9, 0), ("c", "d", 2, 0.5, 10), ("c", "d", 2, 0.3, 30), ("x", "y", 4, 0.9, 200)], "src string, dst string, precedence int, confidence double, age_days int")
+    got = {r.src: r for r in edges.aggregate_evidence(rows, ["src", "dst"]).collect()}
+    assert (got["a"].confidence, got["a"].consensus, got["a"].lowest, got["a"].highest, got["a"].pieces) == (0.92, 0.9975, 0.8, 0.9, 2)
+    assert got["c"].confidence == 0.432 and got["x"].confidence == 0  # (.5 + .02 + .02) * .8; 200 days take all
 
 
 def test_cycles_and_components(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("z", "z")], "src string, dst string")
     assert sorted(">".join(r.cycle) for r in graph.cycles(e, 4).collect()) == ["a>b>c>a", "z>z"]
-    labels = {r.node: r.component for r in graph.label_components(e, 3).collect()}
+    labels = {r.node: r.component for r in graph.label_components(e).collect()}
     assert labels == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x", "z": "z"}
 
 
