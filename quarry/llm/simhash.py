@@ -30,7 +30,7 @@ FAN = 8
 #: Fingerprints in a bucket from which it is dealt anew by pairs of blocks of its other bits.
 HOT_BUCKET = 20_000
 #: Rows that one index holds, and pairs of nodes that are compared at once.
-INDEX_ROWS, PAIRS = 40_000, 1 << 17
+INDEX_ROWS, PAIRS = 40_000, 1 << 15
 #: Shingles whose bits are counted at once.
 _COUNTED = 1 << 14
 
