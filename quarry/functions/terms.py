@@ -53,6 +53,10 @@ def keywords(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     return F.array_distinct(words_of_text(text, 2, stop_words))
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 _SECTIONS = ("User Query:", "System Context:", "Topics:")
 
 
@@ -61,8 +65,8 @@ def query_sections(text: Column) -> Column:
 
     def section(title: str) -> Column:
         others = "|".join(re.escape(t) for t in _SECTIONS)
-        return F.trim(F.regexp_extract(text, rf"(?s){re.escape(title)}(.*?)(?={others}|$)", 1))
+        return _trimmed(F.regexp_extract(text, rf"(?s){re.escape(title)}(.*?)(?={others}|$)", 1))
 
-    query = F.when(F.contains(text, F.lit(_SECTIONS[0])), section(_SECTIONS[0])).otherwise(F.trim(text))
-    topics = F.filter(F.transform(F.split(section(_SECTIONS[2]), ","), F.trim), lambda t: t != "")
+    query = F.when(F.contains(text, F.lit(_SECTIONS[0])), section(_SECTIONS[0])).otherwise(_trimmed(text))
+    topics = F.filter(F.transform(F.split(section(_SECTIONS[2]), ","), _trimmed), lambda t: t != "")
     return F.struct(query.alias("query"), section(_SECTIONS[1]).alias("context"), topics.alias("topics"))

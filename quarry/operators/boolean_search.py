@@ -62,7 +62,7 @@ def compile_query(query: str, columns: list[str]) -> Column:
     def negated() -> Column:
         if peek() and peek().upper() == "NOT":
             take()
-            return ~negated()
+            return ~primary()
         return primary()
 
     def primary() -> Column:
@@ -73,7 +73,7 @@ def compile_query(query: str, columns: list[str]) -> Column:
                 raise QueryError("missing closing parenthesis")
             take()
             return out
-        if token == ")" or token.upper() in ("AND", "OR"):
+        if token == ")" or token.upper() in ("AND", "OR", "NOT"):
             raise QueryError(f"unexpected {token}")
         term = token.strip('"').lower()
         hit = F.lit(False)

@@ -129,7 +129,7 @@ def related_concepts(items: DataFrame, query: str, most: int = 15, common: Seque
     asked = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in query.lower()).split()]
     named = F.filter(terms.identifier_parts(F.coalesce("name", F.lit(""))), lambda w: ~terms.is_common(w, common))
     content = F.filter(F.slice(terms.words_of_text(F.coalesce("content", F.lit(""))), 1, 50), lambda w: ~terms.is_common(w, common, 4))
-    tags = F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), terms.words_of_text))
+    tags = F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: terms.words_of_text(t)))
     path = terms.path_concepts(F.coalesce("path", F.lit("")), common)
     voted = F.concat(*[F.transform(words, lambda w, v=v: F.struct(w.alias("concept"), F.lit(v).alias("weight"))) for words, v in ((named, 1.0), (content, 0.5), (tags, 2.0), (path, 0.5))])
     votes = items.select(F.explode(voted).alias("v")).select("v.*")
