@@ -245,6 +245,10 @@ def expired_tags(tags: Column, changed: Column, old: Column) -> Column:
     return F.filter(tags, lambda t: ~((changed & (kind(t) == "auto")) | (old & (kind(t) == "contextual"))))
 
 
+def _matches(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def work_context(tags: Column, text: Column, files: Column, words: dict[str, Sequence[str]], patterns: dict[str, str]) -> Column:
     """struct(type, confidence) of a task: backend, frontend or full-stack.
 
@@ -257,7 +261,7 @@ def work_context(tags: Column, text: Column, files: Column, words: dict[str, Seq
         s = F.when(F.array_contains(low, side) | F.array_contains(low, f"{side}-only"), 10).otherwise(0) + F.when(F.array_contains(low, "full-stack"), 5).otherwise(0)
         for w in words[side]:
             s += F.when(F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(w)), 2).otherwise(0)
-        score[side] = s + 3 * F.size(F.filter(F.coalesce(files, F.array().cast("array<string>")), lambda f, side=side: f.rlike(patterns[side])))
+        score[side] = s + 3 * F.size(F.filter(F.coalesce(files, F.array().cast("array<string>")), _matches(patterns[side])))
     total = score["backend"] + score["frontend"]
     b, f = score["backend"] / total, score["frontend"] / total
     kind = F.when(total == 0, "full-stack").when(b > 0.7, "backend").when(f > 0.7, "frontend").otherwise("full-stack")

@@ -121,6 +121,10 @@ def suggested_terms(items: DataFrame, query: str, most: int = 10) -> DataFrame:
     return named.orderBy(F.desc("n"), F.desc("score"), "term").limit(most)
 
 
+def _voted(words: Column, weight: float) -> Column:
+    return F.transform(words, lambda w: F.struct(w.alias("concept"), F.lit(weight).alias("weight")))
+
+
 def related_concepts(items: DataFrame, query: str, most: int = 15, common: Sequence[str] = terms.STOP_WORDS) -> DataFrame:
     """(concept, weight): words of items (name, content, tags, path) by weight.
 
@@ -131,7 +135,7 @@ def related_concepts(items: DataFrame, query: str, most: int = 15, common: Seque
     content = F.filter(F.slice(terms.words_of_text(F.coalesce("content", F.lit(""))), 1, 50), lambda w: ~terms.is_common(w, common, 4))
     tags = F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: terms.words_of_text(t)))
     path = terms.path_concepts(F.coalesce("path", F.lit("")), common)
-    voted = F.concat(*[F.transform(words, lambda w, v=v: F.struct(w.alias("concept"), F.lit(v).alias("weight"))) for words, v in ((named, 1.0), (content, 0.5), (tags, 2.0), (path, 0.5))])
+    voted = F.concat(*[_voted(words, v) for words, v in ((named, 1.0), (content, 0.5), (tags, 2.0), (path, 0.5))])
     votes = items.select(F.explode(voted).alias("v")).select("v.*")
     if asked:
         votes = votes.where(~F.col("concept").isin(*asked))

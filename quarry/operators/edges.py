@@ -167,8 +167,8 @@ def richest(items: DataFrame, keys: list[str], texts: list[str], order: list[str
     if metadata is None:
         return items.groupBy(*keys).agg(best).select("row.*")
     entries = items.select(*keys, F.explode(F.map_entries(metadata)).alias("e"), F.struct(size.alias("size"), *order).alias("rank"))
-    merged = entries.groupBy(*keys, F.col("e.key").alias("key")).agg(F.max_by("e.value", "rank").alias("value"))
-    maps = merged.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("merged"))
+    merged = entries.groupBy(*keys, F.col("e.key").alias("_entry")).agg(F.max_by("e.value", "rank").alias("_value"))
+    maps = merged.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_entry", "_value")))).alias("merged"))
     kept = items.groupBy(*keys).agg(best).select("row.*")
     return kept.join(maps, keys, "left").withColumn(metadata, F.coalesce("merged", metadata)).select(*items.columns)
 

@@ -57,8 +57,8 @@ def resolve_targets(edges: DataFrame, components: DataFrame) -> DataFrame:
     The specifier is dst without RESOLVE:. junk is skipped. A bare name of a TypeScript or
     JavaScript source is an npm module, of its language's standard library a stdlib module, else
     external; a namespace is a composer module. A path is looked up relative to the source's
-    folder, as it is, with the source's usual extensions, and as an index; then the imported name
-    (or the last part of the target), first in the path's file and not a file itself; else unresolved.
+    folder, as it is, with the usual extensions, and as an index (a file before its components); then
+    the imported name, or the last part of the target (a file after others); else unresolved.
     """
     source = components.select(F.col("id").alias("src"), F.col("path").alias("src_path"), F.lower("language").alias("lang"))
     rows = edges.join(source, "src", "left").withColumn("spec", sanitised(F.regexp_replace("dst", "^RESOLVE:", "")))
@@ -134,6 +134,11 @@ def import_targets(edges: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("target", target).select(*edges.columns, "class", "is_stdlib", "target")
 
 
+def _typed(names: Column, field: str, kind: str) -> Column:
+    """Names (without a leading backslash) as structs with a type."""
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(F.regexp_replace(n, r"^\\", "").alias(field), F.lit(kind).alias("type")))
+
+
 def call_edges(components: DataFrame) -> DataFrame:
     """(src, dst, type, confidence): a component calls each other one of its file whose name (2 or more letters) stands before a parenthesis in its code.
 
@@ -146,7 +151,7 @@ def call_edges(components: DataFrame) -> DataFrame:
 
 def inheritance_edges(components: DataFrame) -> DataFrame:
     """(src, dst, type) of components (id, name, extends, implements arrays): to the first component of the name, else RESOLVE:name."""
-    asked = components.select(F.col("id").alias("src"), F.explode(F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda n, c=c: F.struct(n.alias("name"), F.lit(c).alias("type"))) for c in ("extends", "implements")])).alias("x"))
+    asked = components.select(F.col("id").alias("src"), F.explode(F.concat(*[_typed(F.col(c), "name", c) for c in ("extends", "implements")])).alias("x"))
     known = first_by(components, "name", "dst")
     return asked.select("src", "x.name", "x.type").join(known, "name", "left").select("src", F.coalesce("dst", F.concat(F.lit("RESOLVE:"), "name")).alias("dst"), "type")
 
@@ -164,7 +169,7 @@ def class_bases(components: DataFrame, skip: Sequence[str] = ("object",)) -> Dat
 
 def qualified_edges(components: DataFrame, uses: Mapping[str, str]) -> DataFrame:
     """(src, dst, type) of components (id, fqn, and arrays of names): each array's names to the component of that full name, else UNRESOLVED:."""
-    arrays = [F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda n, kind=kind: F.struct(F.regexp_replace(n, r"^\\", "").alias("fqn"), F.lit(kind).alias("type"))) for column, kind in uses.items()]
+    arrays = [_typed(F.col(column), "fqn", kind) for column, kind in uses.items()]
     asked = components.select(F.col("id").alias("src"), F.explode(F.concat(*arrays)).alias("x")).select("src", "x.*")
     known = components.groupBy(F.regexp_replace("fqn", r"^\\", "").alias("fqn")).agg(F.min("id").alias("dst"))
     return asked.join(known, "fqn", "left").select("src", F.coalesce("dst", F.concat(F.lit("UNRESOLVED:"), "fqn")).alias("dst"), "type")

@@ -167,6 +167,10 @@ class Factors:
     custom: Mapping[str, tuple[Column, float]] = field(default_factory=dict)
 
 
+def _holding(texts: Column, term: str) -> Column:
+    return F.filter(texts, lambda x: F.contains(x, F.lit(term)))
+
+
 def factor_columns(query: str, f: Factors, vector: Column | None = None) -> dict[str, Column]:
     """The named score columns over items (similarity, embedding, name, type, content, description, documentation, tags, edges array of (type, weight), days, uses, popularity)."""
     low, asked = query.lower(), [t for t in query.lower().split() if t]
@@ -190,7 +194,7 @@ def factor_columns(query: str, f: Factors, vector: Column | None = None) -> dict
         score = F.lit(0.0)
         low_tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
         for t in asked:
-            score += F.aggregate(F.filter(low_tags, lambda g, t=t: F.contains(g, F.lit(t))), F.lit(0.0), lambda acc, g: acc + f.tags * by_kind(g, f.tag_weights, 1.0))
+            score += F.aggregate(_holding(low_tags, t), F.lit(0.0), lambda acc, g: acc + f.tags * by_kind(g, f.tag_weights, 1.0))
         out["tags"] = score
     if f.edges is not None:
         each, most = f.edges

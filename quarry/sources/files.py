@@ -62,7 +62,10 @@ def read_patterns(spark: SparkSession, files: Sequence[str]) -> list[str]:
 
 
 def listed(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, relative, size, modified) of all files below a folder; contents aren't read."""
+    """(path, relative, size, modified) of all files below a folder; contents aren't read.
+
+    Spark passes over files and folders whose names begin with . or _.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
