@@ -136,13 +136,43 @@ def _tables(packet: bytes, out: Stream) -> bytes | None:
     return section
 
 
+def _aligned(media: bytes) -> tuple[np.ndarray, int]:
+    """The packets of a stream and how many bytes belong to none.
+
+    Where a packet doesn't begin with the sync byte, reading goes on at the next sync byte that a
+    packet's length later has another one, or the end.
+    """
+    data = np.frombuffer(media, np.uint8)
+    whole = data[: len(data) // PACKET * PACKET].reshape(-1, PACKET)
+    if (whole[:, 0] == SYNC).all():
+        return whole, len(data) % PACKET
+    parts, at, lost = [], 0, 0
+    while len(data) - at >= PACKET:
+        rest = data[at : at + (len(data) - at) // PACKET * PACKET].reshape(-1, PACKET)
+        bad = np.flatnonzero(rest[:, 0] != SYNC)
+        good = int(bad[0]) if len(bad) else len(rest)
+        parts.append(rest[:good])
+        at += good * PACKET
+        if not len(bad):
+            break
+        marks = at + np.flatnonzero(data[at:] == SYNC)
+        follows = marks + PACKET
+        ok = np.flatnonzero((follows == len(data)) | ((follows < len(data)) & (data[np.minimum(follows, len(data) - 1)] == SYNC)))
+        if not len(ok):
+            break
+        lost += int(marks[ok[0]]) - at
+        at = int(marks[ok[0]])
+    return np.concatenate(parts) if parts else whole[:0], lost + len(data) - at
+
+
 def parse(media: bytes) -> Stream:
-    """Reads a transport stream. Bytes behind the last whole packet, and packets without sync, count as lost."""
-    out = Stream(packets=len(media) // PACKET, lost_bytes=len(media) % PACKET)
-    p = np.frombuffer(media, np.uint8, out.packets * PACKET).reshape(-1, PACKET)
-    good = p[:, 0] == SYNC
-    out.lost_bytes += int((~good).sum()) * PACKET
-    p = p[good]
+    """Reads a transport stream.
+
+    Bytes of no whole packet count as lost. A packet that repeats the one before it is legal once
+    and counts once; a counter may jump where a packet says so.
+    """
+    p, lost = _aligned(media)
+    out = Stream(packets=len(p), lost_bytes=lost)
     pid = (p[:, 1].astype(np.int64) & 0x1F) << 8 | p[:, 2]
     starts = (p[:, 1] & 0x40) > 0
     for k in np.flatnonzero((pid == PAT_PID) & starts).tolist():
@@ -165,9 +195,16 @@ def parse(media: bytes) -> Stream:
         return out
     p, starts = p[pid == elementary], starts[pid == elementary]
     has_field, has_payload = (p[:, 3] & 0x20) > 0, (p[:, 3] & 0x10) > 0
+    carrying = np.flatnonzero(has_payload)
+    again = np.zeros(len(p), bool)
+    if len(carrying) > 1:
+        again[carrying[1:]] = (p[carrying[1:]] == p[carrying[:-1]]).all(1)
+        again[carrying[2:]] &= ~again[carrying[1:-1]]
+    p, starts, has_field, has_payload = (x[~again] for x in (p, starts, has_field, has_payload))
+    allowed = has_field & (p[:, 4] > 0) & ((p[:, 5] & 0x80) > 0)
     counter = p[:, 3].astype(np.int64) & 15
     with_payload = counter[has_payload]
-    out.discontinuities = int(((np.diff(with_payload) - 1) % 16 != 0).sum())
+    out.discontinuities = int((((np.diff(with_payload) - 1) % 16 != 0) & ~allowed[has_payload][1:]).sum())
     begin = 4 + np.where(has_field, 1 + p[:, 4].astype(np.int64), 0)
     access = has_field & (p[:, 4] > 0) & ((p[:, 5] & 0x40) > 0)
     begin = np.where(has_payload, np.minimum(begin, PACKET), PACKET)
@@ -253,5 +290,8 @@ def units(media: DataFrame) -> DataFrame:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """Stores every text as a transport stream, reads it back, and describes what was read."""
-    return features(store(docs))
+    """Stores every text as a transport stream in the shared folder, reads it back, and describes what was read.
+
+    A null text is stored as an empty one; repeated rows and null ids are rows like any other.
+    """
+    return features(common.written(store(docs), "media"))
