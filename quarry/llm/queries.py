@@ -28,7 +28,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.repeated_runs(_table(spark, sf_dir))
+    return chunk_dedup.repeated_runs(_table(spark, sf_dir)).drop("doc_hash", "duplicates")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
