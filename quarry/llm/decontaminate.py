@@ -95,12 +95,19 @@ class Block:
         self.min_match = min_match
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
+        #: Items of too few tokens for a seed, by their tokens: they match equal documents alone.
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        self.item_seeds: list[np.ndarray] = []
         seeds, owners = [], []
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text)]
-            if len(ids) < min_match:
+            words = tokens(text)
+            if len(words) < min_match:
+                if words:
+                    self.short[tuple(words)].append(item_id)
                 continue
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             h = self.seeds(np.array(ids, np.int64))
+            self.item_seeds.append(h)
             seeds.append(h)
             owners.append(np.full(len(h), len(self.items)))
             self.items.append((item_id, ids))
@@ -118,11 +125,14 @@ class Block:
 
     def matches(self, text: str, coverage: float) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(item, tokens of the item, tokens covered, tiles, longest tile, coverage) of contaminating items."""
-        if not len(self.seed):
+        words = tokens(text)
+        if len(words) < self.min_match:
+            for item_id in self.short.get(tuple(words), ()):
+                yield item_id, len(words), len(words), 1, len(words), 1.0
             return
-        ids = np.fromiter(map(self.vocabulary.get, words := tokens(text), [-1] * len(words)), np.int64, len(words))
-        if len(ids) < self.min_match:
+        if not len(self.seed):
             return
+        ids = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
         h = self.seeds(ids)
         at = np.minimum(np.searchsorted(self.seed, h), len(self.seed) - 1)
         starts = np.flatnonzero(self.seed[at] == h)
@@ -137,6 +147,11 @@ class Block:
                 k += 1
         for owner, found in places.items():
             item_id, pattern = self.items[owner]
+            # tiles cover no more of the item than the seeds that it shares with the text
+            shared = np.isin(self.item_seeds[owner], h[found])
+            covers = np.convolve(shared, np.ones(self.min_match, int)) > 0
+            if np.count_nonzero(covers) < coverage * len(pattern):
+                continue
             # only what seeds cover can be in a tile; a gap of one token keeps runs apart
             near: list[int] = []
             last = -1
@@ -156,7 +171,7 @@ def _blocks(benchmark: DataFrame, min_match: int, block_tokens: int) -> Iterator
     size = 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         held.append((row["item_id"], row["text"]))
-        size += len(row["text"]) // 3
+        size += 1 + len(row["text"]) // 3
         if size >= block_tokens:
             yield Block(held, min_match)
             held, size = [], 0
@@ -181,8 +196,8 @@ def _hits(shared, coverage: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """A row for each document and benchmark item of which tiles cover at least `coverage`.
 
-    Null and empty texts have no rows, nor have items of fewer than `min_match` tokens. Repeated
-    rows give repeated hits.
+    Null and empty texts and texts without tokens have no rows. Items and documents of fewer than
+    `min_match` tokens match if all their tokens are equal. Repeated rows give repeated hits.
     """
     spark, out = docs.sparkSession, None
     for block in _blocks(benchmark, min_match, block_tokens):
