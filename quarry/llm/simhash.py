@@ -211,19 +211,24 @@ def _forest(distance: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             prints = batch.column("print")
             if pa.types.is_list(prints.type):
                 prints = prints.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             else:
                 prints = prints.to_numpy(zero_copy_only=False)
             held.append((batch.column("bucket").to_numpy(zero_copy_only=False), prints, batch.column("node").to_numpy(zero_copy_only=False)))
-            if sum(len(x[0]) for x in held) >= INDEX_ROWS:
+            size += batch.num_rows
+            # a bucket is put together once, when the next one begins
+            if size >= INDEX_ROWS and held[0][0][0] != held[-1][0][-1]:
                 whole = tuple(map(np.concatenate, zip(*held, strict=True)))
                 cut = int(np.flatnonzero(whole[0] == whole[0][-1])[0])
-                if cut:
-                    yield links(*(x[:cut] for x in whole))
+                yield links(*(x[:cut] for x in whole))
                 held = [tuple(x[cut:] for x in whole)]
+                size = len(held[0][0])
         if held:
             yield links(*map(np.concatenate, zip(*held, strict=True)))
 
