@@ -1,5 +1,6 @@
 """The ten operators: odd inputs, and brute-force versions on small fixtures."""
 
+import hashlib
 import io
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -60,9 +62,9 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
 
 
 def test_decontamination_of_odd_rows(spark, odd, benchmark):
-    assert sorted(r.doc_id for r in decontaminate.contaminated(odd, benchmark).collect()) == [5, 6, 7, 7]
+    assert sorted(r.doc_id for r in decontaminate.contaminated(odd, benchmark).collect()) == [5, 6, 7, 7, 8]
     left = decontaminate.decontaminate(odd, benchmark)
-    assert left.columns == odd.columns and left.count() == odd.count() - 4
+    assert left.columns == odd.columns and left.count() == odd.count() - 5
     assert decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0 and decontaminate.contaminated(odd.limit(0), benchmark).count() == 0
 
 
@@ -160,11 +162,111 @@ def test_chunks_resist_shifts():
     assert len(cut(body) & cut(b"something new " + body)) > 0.9 * len(cut(body))
 
 
-def test_repeated_passage_is_found(spark):
-    shared = prose(8, 60)
-    docs = spark.createDataFrame([(1, prose(20, 80) + shared), (2, shared + prose(21, 80)), (3, prose(22, 200))], "doc_id long, text string")
-    rows = chunk_dedup.repeated_runs(docs).collect()
-    assert {r.doc_id for r in rows} == {1, 2} and all(r.length > 200 for r in rows)
+def test_repeated_chunks_against_brute_force(spark):
+    shared, line = prose(8, 60), prose(9, 12)
+    texts = {k: prose(20 + k, 30) + (shared if k % 3 == 0 else "") + prose(80 + k, 20) + (line if k % 2 else "") for k in range(20)}
+    texts |= {50: texts[3], 51: None, 52: "", 53: "ab" * 300}
+    docs = spark.createDataFrame([*texts.items(), (3, texts[3]), (None, texts[6])], "doc_id long, text string")
+    rows = [*texts.items(), (None, texts[6])]
+    places = {}
+    for k, t in rows:
+        for a, b in chunk_dedup.chunks((t or "").encode()):
+            places.setdefault((t or "").encode()[a:b], []).append((k is not None, k or 0, a))
+    want, kept = [], {}
+    for k, t in rows:
+        body, run, spans = (t or "").encode(), [], []
+        for a, b in [*chunk_dedup.chunks(body), (len(body) + 1, len(body) + 1)]:
+            if body[a:b] and len(places[body[a:b]]) > 1:
+                run.append((a, b))
+                continue
+            size = sum(y - x for x, y in run)
+            if size >= chunk_dedup.LEAST_RUN:
+                firsts = [min(places[body[x:y]]) for x, y in run]
+                own = [f == (k is not None, k or 0, x) for f, (x, _) in zip(firsts, run, strict=True)]
+                want.append((str(k), run[0][0], size, len(run), sum(own)))
+                spans += [r for r, o in zip(run, own, strict=True) if not o]
+            run = []
+        left = b"".join(body[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(body)], strict=True))
+        kept[k] = None if t is None else left.decode()
+    got = chunk_dedup.repeated_runs(docs).collect()
+    assert sorted((str(r.doc_id), r.start, r.length, r.n_chunks, r.n_first) for r in got) == sorted(want)
+    assert {r.doc_id for r in got} >= {50, None, *range(0, 20, 3)} and all(sum(d.size for d in r.duplicates) <= r.length for r in got)
+    out = chunk_dedup.deduplicated(docs).collect()
+    assert len(out) == len(rows) + 1 and all(r.kept_text == kept[r.doc_id] for r in out)
+    assert all(r.removed_bytes == len((r.text or "").encode()) - len((r.kept_text or "").encode()) for r in out)
+
+
+def _plain_tiles(pattern, text, least):
+    """Greedy string tiling as published: mark the longest free matches, again and again."""
+    used_p, used_t, covered = set(), set(), 0
+    while True:
+        best, found = least, []
+        for p in range(len(pattern)):
+            for t in range(len(text)):
+                k = 0
+                while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and p + k not in used_p and t + k not in used_t:
+                    k += 1
+                if k > best:
+                    best, found = k, [(p, t)]
+                elif k == best:
+                    found.append((p, t))
+        if not found:
+            return covered
+        for p, t in found:
+            if not used_p & set(range(p, p + best)) and not used_t & set(range(t, t + best)):
+                used_p |= set(range(p, p + best))
+                used_t |= set(range(t, t + best))
+                covered += best
+
+
+def test_decontamination_against_plain_tiling(spark):
+    draw = random.Random(12)
+    items = {k: " ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(draw.randrange(4, 14))) for k in range(12)}
+    items |= {20: "Two words", 21: "!!", 22: None}
+    texts = {}
+    for k in range(60):
+        words = items[k % 12].split()
+        cut = draw.randrange(1, len(words))
+        texts[k] = " ".join([*("zz" for _ in range(draw.randrange(4))), *words[cut:], *(["yy"] * draw.randrange(3)), *words[: max(1, cut - draw.randrange(4))]])
+    texts |= {100: "two, WORDS!", 101: "two words more", 102: None, 103: ""}
+    want = set()
+    for d, t in texts.items():
+        for i, x in items.items():
+            a, b = decontaminate.tokens(x or ""), decontaminate.tokens(t or "")
+            if a and (min(len(a), len(b)) >= 4 and _plain_tiles(a, b, 4) >= 0.6 * len(a) or len(a) < 4 and a == b):
+                want.add((d, i))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for block in (decontaminate.BLOCK_TOKENS, 5):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_tokens=block).collect()}
+        assert got == want and (100, 20) in got and 10 < len(got)
+    left = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert left == set(texts) - {d for d, _ in want}
+
+
+def test_token_store_columns(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORD_BPE)
+    texts = {9: None, 3: "", 5: "x <|endoftext|> y", 1: prose(1, 3000), 7: "ÉÈ  ñ's\n", 2: prose(1, 10)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    start, want = 0, []
+    for k in sorted(texts):
+        ids = np.array([*plain.encode(texts[k] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in token_store.round_trip(docs, WORD_BPE).collect()) == want
+
+
+def test_fingerprint_against_plain_rule():
+    draw = random.Random(6)
+    for n in (0, 1, 3, 4, 5, 40):
+        text = " ".join(draw.choice(["Über", "ab", "AB", "c\x0bd", "日本"]) for _ in range(n))
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\x0b", " ").split(" ") if text else []
+        shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+        assert simhash.fingerprint(text.encode()) == [want]
 
 
 def _shingles(text):
@@ -261,8 +363,31 @@ def test_transport_stream_round_trip_and_faults():
     assert [u[0] for u in s.units] == [k * 3003 for k in range(5)] and [u[1] for u in s.units] == [True, False, False, False, True]
     gap = transport_stream.parse(media[: 188 * 10] + media[188 * 11 :])
     assert gap.discontinuities == 1
-    assert transport_stream.parse(media[:20] + bytes([media[20] ^ 255]) + media[21:]).bad_sections >= 0
+    broken = transport_stream.parse(media[:20] + bytes([media[20] ^ 255]) + media[21:])
+    assert broken.bad_sections == 1 and broken.units == [] and broken.programs == {}
     assert transport_stream.parse(b"").units == []
+    twice = transport_stream.parse(media[: 188 * 11] + media[188 * 10 :])
+    assert twice.payload == payload and twice.discontinuities == 0
+    thrice = transport_stream.parse(media[: 188 * 11] + media[188 * 10 : 188 * 11] + media[188 * 10 :])
+    assert thrice.discontinuities == 1
+    shifted = transport_stream.parse(media[: 188 * 6] + b"junk" + media[188 * 6 :])
+    assert shifted.payload == payload and shifted.lost_bytes == 4
+    cut = transport_stream.parse(media[: 188 * 6] + media[188 * 6 + 50 :])
+    assert cut.lost_bytes == 138 and cut.discontinuities == 1
+
+
+def test_transport_stream_columns(spark):
+    texts = {1: None, 2: "", 3: "abc", 4: "é" * 100, 5: prose(4, 3000), 6: prose(4, 3000), 7: "x" * 64}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in transport_stream.document_features(docs).collect()}
+    for k, t in texts.items():
+        body = (t or "").encode()
+        payload = body + b"\0" * (max(64, -(-len(body) // 64) * 64) - len(body))
+        media = transport_stream.multiplex(payload)
+        r = rows[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and "discontinuities=0;bad_sections=0;lost=0" in r.feature
+    assert rows[5].feature == rows[6].feature and rows[1].media_sha256 == rows[2].media_sha256
 
 
 def test_lm_base_and_normalisation(spark):
