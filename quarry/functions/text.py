@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,14 +52,12 @@ def name_match(name: Column, query: str) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Text of a page: no scripts or styles, line ends for br, p and div, no tags, basic entities decoded."""
+    """Text of a page: no scripts or styles, line ends for br, p and div, no tags, entities decoded."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
     out = F.regexp_replace(out, r"(?i)<br */?>", "\n")
     out = F.regexp_replace(out, r"(?i)</?(p|div)[^>]*>", "\n\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(F.regexp_replace(entities_decoded(out), r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def snippet(text: Column, term: str, around: int = 3, separator: str = "\n") -> Column:
@@ -71,3 +72,129 @@ def snippet(text: Column, term: str, around: int = 3, separator: str = "\n") ->
     body = F.array_join(F.slice(lines, first, line + around - first + 1), separator)
     reason = F.when(text.isNull(), "none").when(hit > 0, "match").otherwise("head")
     return F.struct(reason.alias("reason"), line.alias("line"), body.alias("snippet"))
+
+
+# Named characters, contractions in the order they are expanded, and abbreviations.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&amp;": "&"}
+CONTRACTIONS = {
+    "can't": "cannot",
+    "won't": "will not",
+    "n't": " not",
+    "'re": " are",
+    "'ve": " have",
+    "'ll": " will",
+    "'d": " would",
+    "'m": " am",
+    "it's": "it is",
+    "let's": "let us",
+    "that's": "that is",
+    "there's": "there is",
+    "here's": "here is",
+    "what's": "what is",
+    "where's": "where is",
+    "who's": "who is",
+    "how's": "how is",
+}
+ABBREVIATIONS = ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Sr.", "Jr.")
+# End of fixed values.
+
+
+def entities_decoded(text: Column) -> Column:
+    """Named characters decoded; &amp; last, so that nothing is decoded twice."""
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def cleaned(text: Column, urls: bool = True, emails: bool = False, html: bool = False, code: bool = False, replacements: Sequence[tuple[str, str]] = (), lower: bool = True, punctuation: bool = False, numbers: bool = False, spaces: bool = True, stop_words: Sequence[str] = ()) -> Column:
+    """A text with what is asked removed, in this order; null gives an empty text.
+
+    Compatibility forms of characters aren't folded: that needs a Python function (`compatible`).
+    """
+    out = F.coalesce(text, F.lit(""))
+    steps = [(urls, r"https?://\S+", ""), (emails, r"[\w.-]+@[\w.-]+\.\w+", ""), (html, "<[^>]*>", ""), (code, r"(?s)```.*?```", ""), (code, "`[^`]+`", ""), *[(True, p, r) for p, r in replacements]]
+    for wanted, pattern, replacement in steps:
+        out = F.regexp_replace(out, pattern, replacement) if wanted else out
+    out = F.lower(out) if lower else out
+    for wanted, pattern in ((punctuation, r"[^\w\s]|_"), (numbers, r"\d+")):
+        out = F.regexp_replace(out, pattern, " ") if wanted else out
+    out = stripped(F.regexp_replace(out, r"\s+", " ")) if spaces else out
+    if stop_words:
+        stop = F.array(*[F.lit(w) for w in stop_words])
+        out = F.array_join(F.filter(F.split(out, r"\s+"), lambda w: ~F.array_contains(stop, w)), " ")
+    return out
+
+
+@F.pandas_udf("string")
+def compatible(text: pd.Series) -> pd.Series:
+    """Texts in compatibility form (NFKD); nulls stay."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space on both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def spaces_normalised(text: Column, keep_lines: bool = True) -> Column:
+    if not keep_lines:
+        return stripped(F.regexp_replace(text, r"\s+", " "))
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: stripped(F.regexp_replace(x, r"\s+", " "))), "\n")
+
+
+def punctuation_cleaned(text: Column) -> Column:
+    """Without repeated marks, spaces before marks, and marks at the ends of lines; one space after an end before a small letter."""
+    out = F.regexp_replace(text, r"([.!?]){2,}", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s+([.!?,;:])", "$1"), r"([.!?])\s*([a-z])", "$1 $2")
+    return F.regexp_replace(out, r"(?m)[.!?,;:]+$", "")
+
+
+def contractions_expanded(text: Column) -> Column:
+    """Contractions written out, in any case, in their fixed order: n't goes before the words that hold it."""
+    for short, long in CONTRACTIONS.items():
+        text = F.regexp_replace(text, f"(?i){short}", long)
+    return text
+
+
+def tokens(text: Column, method: str = "word", least: int = 1, most: int | None = None, lower: bool = False, plain: bool = False, hyphens: bool = True, custom: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens by white space, words (with their hyphens), sentences (abbreviations don't end one), or a function of the caller's."""
+    t = F.coalesce(text, F.lit(""))
+    if method == "whitespace":
+        out = F.split(t, r"\s+")
+    elif method == "sentence":
+        for k, a in enumerate(ABBREVIATIONS):
+            t = F.replace(t, F.lit(a), F.lit(f"\u0001{k}\u0002"))
+        out = F.split(t, r"(?<=[.!?])\s+(?=[A-Z])")
+        for k, a in enumerate(ABBREVIATIONS):
+            out = _replaced(out, f"\u0001{k}\u0002", a)
+        out = F.transform(out, lambda x: stripped(x))
+    elif method == "custom":
+        if custom is None:
+            raise ValueError("the custom method needs a function")
+        out = custom(t)
+    elif method == "word":
+        out = F.regexp_extract_all(t, F.lit(r"(\w+(?:-\w+)*)" if hyphens else r"(\b\w+\b)"), F.lit(1))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    out = F.transform(out, lambda x: F.lower(x)) if lower else out
+    out = F.transform(out, lambda x: F.regexp_replace(x, r"[^\w-]", "")) if plain else out
+    return F.filter(out, lambda x: (F.length(x) > 0) & (F.length(x) >= least) & (F.lit(True) if most is None else F.length(x) <= most))
+
+
+def _replaced(texts: Column, mark: str, by: str) -> Column:
+    return F.transform(texts, lambda x: F.replace(x, F.lit(mark), F.lit(by)))
+
+
+def word_ngrams(words: Column, n: int) -> Column:
+    """Runs of n words, joined by spaces; fewer words give none."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    count = F.size(words) - n + 1
+    return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.array_join(F.slice(words, k, F.lit(n)), " ")))
+
+
+def token_count(text: Column, model: str = "gpt") -> Column:
+    """Estimated tokens: a quarter of the characters, 1.3 a word, or the characters."""
+    t = F.coalesce(text, F.lit(""))
+    counts = {"gpt": F.ceil(F.length(t) / 4), "bert": F.ceil(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) * 1.3), "char": F.length(t)}
+    return counts[model].cast("long")

@@ -32,9 +32,10 @@ _Q = "(SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)"
 )
 def slice_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _vectors(spark, sf_dir).join(_query_vector(spark, sf_dir)).withColumn("score", vec.cosine(F.col("v"), F.col("q"))).where("score >= 0.0")
-    w = Window.partitionBy("label")
-    z = F.coalesce((F.col("score") - F.avg("score").over(w)) / F.nullif(F.stddev_samp("score").over(w), F.lit(0.0)), F.lit(0.0))
-    ranked = scored.withColumn("z", z).orderBy(F.desc("score"), "vec_id").limit(20)
+    # mean and deviation of each type are one aggregate, so no type's rows meet in a task
+    stats = scored.groupBy("label").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
+    z = F.coalesce((F.col("score") - F.col("mean")) / F.nullif(F.coalesce("std", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    ranked = scored.join(stats, "label").withColumn("z", z).orderBy(F.desc("score"), "vec_id").limit(20)
     return ranked.select("vec_id", "label", F.round("score", 6).alias("score"), F.round(vec.squashed(F.col("z")), 6).alias("squashed"))
 
 
@@ -84,7 +85,12 @@ def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalised(F.col("text"))).alias("digest"))
 
 
-@query("html_text", r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<br */?>', chr(10), 'g'), '(?i)</?(p|div)[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS digest FROM pages""")
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<br */?>', chr(10), 'g'), '(?i)</?(p|div)[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _entity, _char in tx.ENTITIES.items():
+    _BARE = f"replace({_BARE}, '{_entity}', '{_char}')"
+
+
+@query("html_text", f"SELECT page_id, md5(regexp_replace(regexp_replace({_BARE}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS digest FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_text(F.col("html"))).alias("digest"))
 

@@ -363,3 +363,18 @@ def test_upkeep_batches(spark):
             raise RuntimeError("not yet")
 
     assert upkeep.with_retries(job) == 3
+
+
+def test_text_functions_by_hand(spark):
+    from quarry.functions import text as tx
+
+    assert _one(spark, tx.contractions_expanded(F.lit("I can't, won't, didn't; It's what they'll"))) == "I cannot, will not, did not; it is what they will"
+    assert _one(spark, tx.punctuation_cleaned(F.lit("Wait!!! what ,now .then\nend;"))) == "Wait! what,now. then\nend"
+    assert _one(spark, tx.tokens(F.lit("Dr. Who came. He left! ok"), "sentence")) == ["Dr. Who came.", "He left! ok"]
+    assert _one(spark, tx.tokens(F.lit("well-known a b2"), least=2)) == ["well-known", "b2"] and _one(spark, tx.tokens(F.lit("a-b"), hyphens=False)) == ["a", "b"]
+    assert _one(spark, tx.tokens(F.lit("x|y"), "custom", custom=lambda t: F.split(t, "[|]"))) == ["x", "y"]
+    assert _one(spark, tx.cleaned(F.lit("See https://x.y `code` 12 me@a.bc <b>Bold</b>"), emails=True, html=True, code=True, numbers=True, stop_words=["see"])) == "bold"
+    assert _one(spark, tx.compatible(F.lit("ﬁne ②"))) == "fine 2" and _one(spark, tx.entities_decoded(F.lit("&amp;lt; &copy;"))) == "&lt; ©"
+    assert _one(spark, tx.word_ngrams(F.array(F.lit("a")), 2)) == [] and _one(spark, tx.spaces_normalised(F.lit(" a  b \n c "))) == "a b\nc"
+    with pytest.raises(ValueError, match="at least 1"):
+        tx.word_ngrams(F.array(F.lit("a")), 0)
