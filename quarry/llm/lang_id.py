@@ -187,7 +187,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that `identify` doesn't reject, with all their columns."""
+    """The rows of docs that `identify` doesn't reject, with all their columns.
+
+    Null texts and texts without a letter go; rows that repeat an id or a text are decided one by one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")

@@ -161,12 +161,14 @@ def _write(folder: str, tokenizer: str, end: int):
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataFrame:
     """Writes the ids of all texts, in ascending doc_id order over the files, and returns the manifest.
 
-    Null doc_ids come first; rows of one doc_id come by text. Null texts have the end id alone. A
-    task that runs again replaces its file. The manifest has a row per file: part (ascending),
+    Null doc_ids come first; rows of one doc_id come by a hash of their texts, so that many of them
+    are dealt to several files. Null texts have the end id alone. A task that runs again replaces
+    its file. The manifest has a row per file: part (ascending),
     path, docs, tokens.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
-    sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).withColumn("place", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place").asc()]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return common.written(sorted_rows.mapInArrow(_write(folder, tokenizer, end), MANIFEST), "manifest")
 
 
