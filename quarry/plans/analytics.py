@@ -57,7 +57,7 @@ _sql("late_materialisation", "SELECT t.vec_id, t.label, d.lang, d.source FROM (S
 _sql("name_to_id_first_wins", "SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name")
 _sql("containment_edges", "SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'owns' ELSE 'contains' END AS type, c_custkey AS parent, o_orderkey AS child FROM customer JOIN orders ON c_custkey = o_custkey")
 _sql("range_containment", "SELECT p.p_partkey, b.low, b.high FROM part AS p JOIN (SELECT low, low + 4 AS high, (low + k) AS at FROM (SELECT DISTINCT p_size AS low FROM part) AS s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS ks) AS b ON p.p_size = b.at WHERE p.p_retailprice > 1500")
-_sql("smallest_enclosing_interval", "SELECT p_partkey, low, high FROM (SELECT p_partkey, low, high, row_number() OVER (PARTITION BY p_partkey ORDER BY high - low, low) AS n FROM part JOIN (SELECT p_size AS low, p_size + 1 + p_size % 7 AS high FROM part GROUP BY p_size) AS b ON p_size >= low AND p_size < high) AS r WHERE n = 1")
+_sql("smallest_enclosing_interval", "SELECT p_partkey, low, high FROM (SELECT p_partkey, low, high, row_number() OVER (PARTITION BY p_partkey ORDER BY high - low, low) AS n FROM part JOIN (SELECT low, high, low + k AS at FROM (SELECT p_size AS low, p_size + 1 + p_size % 7 AS high FROM part GROUP BY p_size) AS i CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) AS ks WHERE low + k < high) AS b ON p_size = b.at) AS r WHERE n = 1")
 _sql("cross_language_edges", "SELECT a.lang AS from_lang, b.lang AS to_lang, count(*) AS n FROM (SELECT source, lang FROM documents) AS a JOIN (SELECT DISTINCT source, lang FROM documents) AS b ON a.source = b.source WHERE a.lang <> b.lang GROUP BY a.lang, b.lang")
 _sql("rule_conflicts", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part AS a JOIN part AS b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey < b.p_partkey AND a.p_name <> b.p_name")
 _sql("bidirectional_links", "SELECT s_suppkey AS a, p_partkey AS b FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45 UNION SELECT s_suppkey, p_partkey FROM part JOIN supplier ON p_size = s_suppkey")
@@ -87,11 +87,11 @@ _sql("session_topics", "SELECT user_id, CAST(session AS bigint) AS session, coun
 _sql("running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far FROM events")
 
 # Hierarchies and dependency graphs.
-_sql("descendant_closure", "SELECT 'nation' AS kind, CAST(n_nationkey AS bigint) AS id, 1 AS depth FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'customer', c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'order', o_orderkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
-_sql("topological_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
-_sql("critical_path_effort", "SELECT o_custkey, count(*) AS steps, round(sum(o_totalprice), 2) AS effort FROM orders GROUP BY o_custkey")
-_sql("blocked_tasks", "SELECT o_orderkey FROM (SELECT o_orderkey, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) AS t WHERE before IS NOT NULL AND before <> 'F'")
-_sql("ancestors", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+_sql("members_of_region", "SELECT 'nation' AS kind, CAST(n_nationkey AS bigint) AS id, 1 AS depth FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'customer', c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'order', o_orderkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+_sql("order_places", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+_sql("effort_of_customers", "SELECT o_custkey, count(*) AS steps, round(sum(o_totalprice), 2) AS effort FROM orders GROUP BY o_custkey")
+_sql("orders_behind_open_ones", "SELECT o_orderkey FROM (SELECT o_orderkey, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) AS t WHERE before IS NOT NULL AND before <> 'F'")
+_sql("places_of_customers", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 
 # Upserts and incremental processing.
 _sql("upsert_last_wins", "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) AS t WHERE n = 1")

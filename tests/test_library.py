@@ -378,3 +378,17 @@ def test_text_functions_by_hand(spark):
     assert _one(spark, tx.word_ngrams(F.array(F.lit("a")), 2)) == [] and _one(spark, tx.spaces_normalised(F.lit(" a  b \n c "))) == "a b\nc"
     with pytest.raises(ValueError, match="at least 1"):
         tx.word_ngrams(F.array(F.lit("a")), 0)
+
+
+def test_bundles_snapshots_and_summaries(spark, tmp_path):
+    from quarry.operators import statistics as st
+
+    docs = spark.createDataFrame([("1", "guide"), ("2", "guide"), ("3", "api")], "doc_id string, section_type string")
+    both = exports.attached({"a": docs, "b": docs.where("doc_id = '3'")})
+    assert [(r.bundle_id, r.section_type, r.n) for r in exports.sections(both).collect()] == [("a", "guide", 2), ("a", "api", 1), ("b", "api", 1)]
+    exports.export_snapshot({"docs": docs}, str(tmp_path))
+    assert sorted(exports.import_snapshot(spark, str(tmp_path), {"docs": docs.schema})["docs"].collect()) == sorted(docs.collect())
+    statuses = spark.createDataFrame([("resolved",), ("resolved",), ("unresolved",)], "status string")
+    assert {r.status: r.n for r in references.status_summary(statuses).collect()} == {"resolved": 2, "unresolved": 1}
+    assert [_one(spark, st.confidence_bucket(F.lit(x))) for x in (0.2, 0.5, 0.95, 1.0)] == ["0.0-0.5", "0.5-0.6", "0.9-1.0", "0.9-1.0"]
+    assert _one(spark, context.item_priority(F.lit("class"), F.lit(True), F.lit(20))) == 30
