@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalised(text: Column) -> Column:
@@ -125,7 +126,7 @@ def cleaned(text: Column, urls: bool = True, emails: bool = False, html: bool =
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """Texts in compatibility form (NFKD); nulls stay."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
