@@ -82,7 +82,7 @@ _sql("token_budget_prefix", "SELECT doc_id, n_chars, running FROM (SELECT doc_id
 _sql("max_confidence_dedup", "SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS n FROM lineitem) AS t WHERE n = 1")
 _sql("top_evidence_per_edge", "SELECT l_suppkey, l_partkey, l_orderkey, n FROM (SELECT l_suppkey, l_partkey, l_orderkey, CAST(row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS int) AS n FROM lineitem) AS t WHERE n <= 2")
 _sql("previous_row_dependency", "SELECT conv_id, turn, previous_turn FROM (SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_turn FROM conversations) AS t WHERE role = 'assistant' AND previous_turn IS NOT NULL")
-_sql("topic_recency", "SELECT user_id, round(count(*) - date_diff(SECOND, max(ts), TIMESTAMP_NTZ '2025-01-01 00:00:00') / CAST(1000 AS double), 6) AS score FROM events GROUP BY user_id ORDER BY score DESC, user_id LIMIT 20", "SELECT user_id, round(count(*) - date_diff('second', max(ts), TIMESTAMP '2025-01-01 00:00:00') / CAST(1000 AS double), 6) AS score FROM events GROUP BY user_id ORDER BY score DESC, user_id LIMIT 20")
+_sql("topic_recency", "SELECT user_id, round(count(*) - date_diff(SECOND, date_trunc('SECOND', max(ts)), TIMESTAMP_NTZ '2025-01-01 00:00:00') / CAST(1000 AS double), 6) AS score FROM events GROUP BY user_id ORDER BY score DESC, user_id LIMIT 20", "SELECT user_id, round(count(*) - date_diff('second', date_trunc('second', max(ts)), TIMESTAMP '2025-01-01 00:00:00') / CAST(1000 AS double), 6) AS score FROM events GROUP BY user_id ORDER BY score DESC, user_id LIMIT 20")
 _sql("session_topics", "SELECT user_id, CAST(session AS bigint) AS session, count(*) AS n, min(ts) AS started FROM (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, ts, event_id, timestampdiff(SECOND, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM events) AS g) AS s GROUP BY user_id, session", "SELECT user_id, CAST(session AS bigint) AS session, count(*) AS n, min(ts) AS started FROM (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, ts, event_id, trunc(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS gap FROM events) AS g) AS s GROUP BY user_id, session")
 _sql("running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far FROM events")
 
