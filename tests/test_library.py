@@ -91,7 +91,7 @@ def test_semantic_chunks_and_subwords(spark):
     assert _one(spark, ch.subwords(F.lit("unhappy happy zzun"), ["un", "happy", "hap"])) == ["un", "happy", "happy", "z", "z", "un"]
 
 
-def test_boolean_not_takes_a_primary():
+def test_boolean_not_takes_a_primary(spark):
     for bad in ("NOT NOT x", "NOT", "a NOT AND b"):
         with pytest.raises(boolean_search.QueryError):
             boolean_search.compile_query(bad, ["name"])
