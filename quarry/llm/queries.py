@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from quarry.llm import chunk_dedup, decontaminate, lang_id, lm_scoring, packing, sharding, simhash, suffix_dedup, token_store, transport_stream
+from quarry.llm import chunk_dedup, decontaminate, divergence, filter_audit, lang_id, lm_scoring, packing, sharding, simhash, suffix_dedup, token_store, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -56,6 +56,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predictions(_table(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -68,8 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hash_tree_sharding": op8_hash_tree_sharding,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_language_id": op10_language_id,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators have none: tests hold them against brute force, plain versions or held-out accuracy."""
+    return {"op11_source_divergence": divergence.SQL, "op12_filter_audit": filter_audit.SQL}
