@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from quarry.llm import chunk_dedup, decontaminate, divergence, filter_audit, lang_id, lm_scoring, packing, sharding, simhash, suffix_dedup, token_store, transport_stream
+from quarry.llm import chunk_dedup, decontaminate, divergence, filter_audit, lang_id, lm_scoring, packing, sharding, simhash, suffix_dedup, token_store, toxicity, transport_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -64,6 +64,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_source_divergence": op11_source_divergence,
         "op12_filter_audit": op12_filter_audit,
+        "op13_toxicity": op13_toxicity,
     }
 
 
