@@ -17,14 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 UNDETERMINED = "und"
 SIZES, BUCKETS, DIMENSIONS = (3, 4), 1 << 16, 16
-#: The bound of the training sample: about so many rows of each language.
+#: The bound of the training sample: so many rows of each language.
 ROWS_PER_LANGUAGE = 500
+#: The bound of the model: so many languages, the most frequent ones.
+LANGUAGES = 256
 EPOCHS, RATE = 6, 8.0
 #: Share of right predictions of the held-back sample that each rejection may cost, and the slack under that quantile.
 REJECTED_SHARE, SLACK = 0.001, 0.9
@@ -92,24 +94,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "place", "ids", "counts"])
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7, languages: int | None = None) -> Model | None:
+def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7, languages: int = LANGUAGES) -> Model | None:
     """A model of labelled rows (doc_id, text, lang); rows without a language or letters teach nothing.
 
-    The sample is fixed by a hash of doc_id: about `rows_per_language` rows of each language, or of
-    the `languages` most frequent ones. A language takes 256 KB of the model, which each worker
-    holds. None where nothing can be learned.
+    The sample is fixed by a hash of doc_id and text: the `rows_per_language` rows of the smallest
+    hashes in each of the `languages` most frequent languages (256 KB of the model each, which each
+    worker holds). Rows without an id, or of one id, are dealt by their texts; rows that repeat both
+    share a hash and are cut by rank, and every language has a row at least. None where nothing can
+    be learned.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
-    per = (per if languages is None else per.limit(languages)).collect()
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"), F.lit(1 << 30))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", place.alias("dealt"))
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("dealt").alias("first")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not per:
         return None
     names = sorted(r["lang"] for r in per)
     number = {name: k for k, name in enumerate(names)}
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_per_language / r["n"])) for r in per], "lang string, share double")
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share") * (1 << 30)).select("lang", F.col("text").cast("binary").alias("body"), F.xxhash64("doc_id", "text").alias("place")).mapInArrow(_counted, "lang string, place long, ids array<int>, counts array<float>").toArrow()
-    sample = sample.sort_by("place")
+    # twice the rows that are wanted lie under the bound, so that next to none is missing, and the rest is cut
+    bounds = labelled.sparkSession.createDataFrame([(r["lang"], max(r["first"], int(min(1.0, 2 * rows_per_language / r["n"]) * (1 << 30)))) for r in per], "lang string, bound long")
+    order = Window.partitionBy("lang").orderBy("dealt", "text")
+    dealt = rows.join(F.broadcast(bounds), "lang").where(F.col("dealt") <= F.col("bound")).select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows_per_language)
+    sample = dealt.select("lang", F.col("text").cast("binary").alias("body"), (F.col("dealt") * (1 << 20) + F.col("rank")).alias("place")).mapInArrow(_counted, "lang string, place long, ids array<int>, counts array<float>").toArrow()
+    sample = sample.sort_by([("place", "ascending"), ("lang", "ascending")])
     xs = [(number[y], ids.values.to_numpy(), counts.values.to_numpy()) for y, ids, counts in zip(sample.column("lang").to_pylist(), sample.column("ids"), sample.column("counts"), strict=True)]
     held, taught = xs[::5] if len(xs) >= 50 else xs, [x for k, x in enumerate(xs) if k % 5 or len(xs) < 50]
     rng = np.random.default_rng(seed)
@@ -183,7 +189,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     n-grams is under the model's.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -364,7 +364,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_
     """
     if not 2 * GRAM <= length <= 250:
         raise ValueError("length must be from 64 to 250")
-    bodies = docs.select("doc_id", F.xxhash64(common.text_or_empty()).alias("doc_hash"), common.text_or_empty().cast("binary").alias("body"))
+    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("doc_hash"), common.text_or_empty().cast("binary").alias("body"))
     with common.scratch(docs.sparkSession) as written:
         occurrences = written(bodies.where(F.length("body") >= length).mapInArrow(_occurrences(length), OCCURRENCE), "occurrences")
         # anchors that occur once are counted alone and leave their places behind

@@ -578,3 +578,26 @@ def test_language_id_learns_rare_languages(spark):
     rows = [(k, " ".join(chr(0x4E00 + 60 * (k % 70) + j % 60) * 3 for j in range(k, k + 30)), f"l{k % 70:02}") for k in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(lang_id.train(docs).languages) == 70 and len(lang_id.train(docs, languages=3).languages) == 3
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k // 2])
+def test_language_id_samples_rows_without_or_with_equal_ids(spark, ids):
+    rows = [(ids(k), prose(k, 20) if k % 2 else "ñandú año " + prose(k, 20).upper(), "en" if k % 2 else "es") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = lang_id.train(docs, rows_per_language=100)
+    assert model.languages == ["en", "es"]
+    found = lang_id.identify(docs, model).collect()
+    assert len(found) == 1500 and {r.lang_pred for r in found} == {"en", "es"}
+
+
+def test_language_id_of_one_row_over_and_over(spark):
+    docs = spark.createDataFrame([(None, "the same text", "en")] * 3000 + [(1, "un autre texte", "fr")], "doc_id int, text string, lang string")
+    model = lang_id.train(docs, rows_per_language=20)
+    assert model.languages == ["en", "fr"] and model.predict(b"un autre texte")[0] == "fr"
+    assert lang_id.train(docs.limit(0)) is None and lang_id.train(docs.withColumn("text", F.lit("1 2"))) is None
+
+
+def test_suffix_dedup_of_int_ids(spark):
+    text = prose(5, 80)
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "short")], "doc_id int, text string")
+    assert [(r.doc_id, r.n_removed) for r in suffix_dedup.digests(docs).orderBy("doc_id").collect()] == [(1, len(text.encode())), (2, len(text.encode())), (3, 0)]
