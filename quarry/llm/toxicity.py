@@ -25,6 +25,8 @@ BUCKETS, FACTORS = 1 << 20, 8
 STEMS = (4, 5, 6, 7, 8)
 #: The bounds of the training sample (rows of each label) and of the model (terms), and the least G-test statistic of a term.
 ROWS_PER_LABEL, TERMS, LEAST_G = 10_000, 4096, 10.0
+#: Parts of a label from which the sample is drawn, each its share (rounded up).
+SLICES = 50
 EPOCHS, RATE, DECAY = 12, 0.2, 1e-4
 #: Bytes of a text that are hashed at once.
 _SLAB = 1 << 20
@@ -155,7 +157,8 @@ def _reduced(shared):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL, seed: int = 13) -> DataFrame:
-    """y, place, body of the documents to learn from: at most `rows_per_label` of each label, chosen by a hash of the id.
+    """y, place, body of the documents to learn from: at most `rows_per_label` of each label
+    (rounded up to a multiple of SLICES), chosen by hashes of the id.
 
     A document that several labels mark is toxic where one of them says so. Of rows that share an id, one is
     taken; a label without a document or without an id teaches nothing.
@@ -163,7 +166,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LA
     doc_id = F.col("doc_id").cast("long")
     place = F.xxhash64(F.lit(seed), "doc_id")
     marks = labels.where(doc_id.isNotNull() & F.col("toxic").isNotNull()).groupBy(doc_id.alias("doc_id")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
-    picked = marks.where(~held_out()).select("*", place.alias("place")).select("*", F.row_number().over(Window.partitionBy("y").orderBy("place", "doc_id")).alias("n")).where(F.col("n") <= rows_per_label).drop("n")
+    # each of the slices of a label gives its share, so that no task ranks a whole label
+    dealt = marks.where(~held_out()).select("*", place.alias("place"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"))
+    rank = F.row_number().over(Window.partitionBy("y", "slice").orderBy("place", "doc_id"))
+    picked = dealt.select("*", rank.alias("n")).where(F.col("n") <= -(-rows_per_label // SLICES)).drop("n", "slice")
     rows = docs.select(doc_id.alias("doc_id"), text_or_empty().cast("binary").alias("body")).join(F.broadcast(picked), "doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("body"), "body"))
     return rows.select("*", first.alias("n")).where(F.col("n") == 1).select("y", "place", "body")

@@ -185,7 +185,9 @@ def test_toxicity_of_odd_rows(spark, odd):
 
 
 def test_toxicity_sample_is_bounded(spark):
-    docs = spark.createDataFrame([(1, f"text {k}") for k in range(200)] + [(k, f"text {k}") for k in range(2, 200)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k % 200, k % 200 % 2) for k in range(400)], "doc_id long, toxic int")
-    rows = toxicity.sample(docs, labels, 20).collect()
-    assert Counter(r.y for r in rows) == {0: 20, 1: 20} and len({r.place for r in rows}) == 40
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(200)] + [(k, f"text {k}") for k in range(2, 1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 1000, k % 1000 % 2) for k in range(2000)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, 2 * toxicity.SLICES).collect()
+    counts = Counter(r.y for r in rows)
+    assert 80 <= min(counts.values()) and max(counts.values()) <= 100 and len({r.place for r in rows}) == len(rows)
+    assert len(toxicity.sample(docs, labels).collect()) == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(1, 1000))
