@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,22 +13,67 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
 
 from quarry.functions import entities as en
-from quarry.sources import files
+from quarry.sources import files, walk
+from quarry.sources.manifest import Manifest
 
 
-def new_files(spark: SparkSession, folder: str, patterns: list[str] = (), per_trigger: int = 100, **options) -> DataFrame:
-    """A stream of accepted files below a folder as they come or change: at most `per_trigger` a batch, remembered by the checkpoint."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    source = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder)
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    base = folder.removeprefix("file://").rstrip("/") + "/"
-    rows = source.select("path", F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 30)).otherwise(plain).alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    return files.classified(rows, patterns, **options).where("verdict = 'accepted'").drop("verdict")
+class Watch:
+    """Changes below a folder, listing by listing: add, change and unlink against the last listing that was committed.
 
+    The listing is a written table that a versioned manifest in `folder` names. A file younger than
+    `stable` seconds is left as it was in the last listing, so that it comes once its writer is done. What
+    `poll` gives comes again until `commit`; the first listing is a list of additions, or nothing with
+    `initial=False`.
+    """
 
-def maintained(changed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    """A writer that hands each batch of changed files to `apply`; a failed batch runs again with the same number."""
-    return changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    _SCHEMA = "relative string, size long, modified timestamp"
+
+    def __init__(self, spark: SparkSession, root: str, folder: str, patterns: Sequence[str] = (), stable: float = 0.2, initial: bool = True, **options) -> None:
+        self._spark, self._root, self._folder, self._patterns, self._stable, self._initial, self._options = spark, root, folder.rstrip("/"), patterns, stable, initial, options
+        self._manifest = Manifest(spark, folder)
+        self._next: str | None = None
+        self.counts = dict.fromkeys(("add", "change", "unlink"), 0)
+
+    def poll(self, now: datetime | None = None) -> DataFrame:
+        """(relative, change) since the last commit."""
+        self._version, value = self._manifest.latest()
+        self._last = value and value["listing"]
+        before = self._spark.read.schema(self._SCHEMA).parquet(self._last) if self._last else self._spark.createDataFrame([], self._SCHEMA)
+        edge = F.lit((now or datetime.now(UTC)) - timedelta(seconds=self._stable))
+        found = walk.scan(self._spark, self._root, self._patterns, **self._options).select("relative", "size", "modified")
+        old, young = F.col("modified") <= edge, F.col("modified") > edge
+        kept = found.where(old).unionByName(before.join(found.where(young).select("relative"), "relative", "left_semi"))
+        if self._next:
+            self._manifest.delete(self._next)
+        self._next = f"{self._folder}/listing-{uuid.uuid4().hex}"
+        kept.write.parquet(self._next)
+        now_ = self._spark.read.schema(self._SCHEMA).parquet(self._next)
+        return files.changes(now_ if self._last is None and not self._initial else before, now_)
+
+    def commit(self) -> None:
+        """The listing that was polled becomes the one to compare with."""
+        self._manifest.commit(self._version, {"listing": self._next})
+        if self._last:
+            self._manifest.delete(self._last)
+        self._next = None
+
+    def stream(self, apply: Callable[[DataFrame, int], None], seconds: int = 1) -> DataStreamWriter:
+        """A writer that lists at each trigger, hands changes to `apply` and commits; a batch that fails comes again.
+
+        Start it with a processing-time trigger of the same pace: the ticks only set the pace.
+        """
+
+        def run(_: DataFrame, batch: int) -> None:
+            found = self.poll()
+            counts = {r["change"]: r["count"] for r in found.groupBy("change").count().collect()}
+            if counts:
+                apply(found, batch)
+            self.commit()
+            for change, n in counts.items():
+                self.counts[change] += n
+
+        ticks = self._spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return ticks.writeStream.foreachBatch(run).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", f"{self._folder}/ticks")
 
 
 def expired(entities: DataFrame, hashes: DataFrame, now: Column, most_days: int = 14) -> DataFrame:
