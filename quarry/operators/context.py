@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import entities, graph
+from quarry.operators import entities, graph, ordered
 
 # Priorities of types, and edge types that only say where things stand.
 TYPE_PRIORITY = {"class": 10, "interface": 9, "function": 8, "method": 7, "property": 5, "variable": 4, "file": 3}
@@ -77,13 +77,13 @@ def item_priority(type_: Column, exported: Column, degree: Column) -> Column:
 
 
 def packed(context: Context, budget: int, chars_per_token: float = 3.5) -> Context:
-    """Items by type priority, score and id, as many as fit into the budget of tokens (20 % overhead); the edges between them."""
+    """Items by type priority, score and id, as many as fit into the budget of tokens (20 % overhead); the edges between them. Items without a score come last."""
     tokens = F.ceil(F.length(F.coalesce("content", F.lit(""))) / chars_per_token * 1.2).cast("long")
     base = F.lit(2)
     for name, value in TYPE_PRIORITY.items():
         base = F.when(F.col("type") == name, value).otherwise(base)
-    rows = context.items.withColumn("_all", F.lit(0)).withColumn("_rank", -base).withColumn("_worse", -F.col("score")).withColumn("_tokens", tokens)
-    kept = entities.within_budget(rows, "_all", ["_rank", "_worse", "id"], "_tokens", budget)
+    rows = context.items.withColumn("_rank", -base).withColumn("_worse", -F.col("score")).withColumn("_tokens", tokens)
+    kept = ordered.within_budget(rows, [], ["_rank", "_worse", "id"], "_tokens", budget)
     return with_items(context, kept.select(*context.items.columns))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import entities as en
 from quarry.functions import vector as vec
-from quarry.operators import graph
+from quarry.operators import graph, ordered
 
 ANY = object()
 
@@ -107,11 +108,12 @@ def tree_page(rows: DataFrame, order: Sequence[Column | str], offset: int = 0, l
 
 
 def subtree(rows: DataFrame, root: str) -> DataFrame:
-    """A root and all below it, with depth."""
+    """A root and all below it, with the least depth; the root's is 0, also where a cycle leads back to it."""
     links = rows.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
     seed = rows.sparkSession.createDataFrame([(root,)], "node string")
     below = graph.closure(links, seed).select(F.col("node").alias("id"), "depth")
-    return rows.join(below.unionByName(rows.sparkSession.createDataFrame([(root, 0)], "id string, depth int")), "id")
+    depths = below.unionByName(rows.sparkSession.createDataFrame([(root, 0)], "id string, depth int"))
+    return rows.join(depths.groupBy("id").agg(F.min("depth").alias("depth")), "id")
 
 
 def in_scope(rows: DataFrame, notes: DataFrame, roots: Sequence[str]) -> DataFrame:
@@ -126,19 +128,24 @@ def in_scope(rows: DataFrame, notes: DataFrame, roots: Sequence[str]) -> DataFra
 def upserted(old: DataFrame, batch: DataFrame, keys: Sequence[str], order: str, first_in_batch: bool = True, maps: Sequence[str] = (), keep_if_empty: Sequence[str] = ()) -> DataFrame:
     """Old rows with a batch written over them, by keys.
 
-    Of equal keys in the batch the first (or last) in `order` counts. Columns of `maps` are merged,
-    new values win; columns of `keep_if_empty` keep the old value where the new one is null or empty.
+    Of equal keys in the batch the first (or last) in `order` counts; a null order counts last (first),
+    equal ones are told apart by their values. Null keys are keys like others. Columns of `maps` are
+    merged, new values win; columns of `keep_if_empty` keep the old value where the new one is null or
+    empty; columns that the batch lacks stay.
     """
-    rank = F.col(order) if first_in_batch else None
-    best = F.min_by(F.struct("*"), rank) if first_in_batch else F.max_by(F.struct("*"), F.col(order))
-    new = batch.groupBy(*keys).agg(best.alias("row")).select("row.*")
-    both = old.alias("o").join(new.alias("n"), list(keys), "full_outer")
-    came = F.col(f"n.{order}").isNotNull()
+    rank = F.struct(F.col(order).isNull() if first_in_batch else F.col(order).isNotNull(), order, F.to_json(F.struct("*")))
+    best = (F.min_by if first_in_batch else F.max_by)(F.struct("*"), rank)
+    new = batch.groupBy(*keys).agg(best.alias("row")).select("row.*", F.lit(True).alias("_came"))
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    both = old.withColumn("_was", F.lit(True)).alias("o").join(new.alias("n"), same, "full_outer")
+    came = F.col("n._came").isNotNull()
 
     def value(c: str) -> Column:
         if c in keys:
-            return F.col(c)
-        o, n = F.col(f"o.{c}"), F.col(f"n.{c}") if c in new.columns else F.lit(None)
+            return F.when(F.col("o._was"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+        if c not in new.columns:
+            return F.col(f"o.{c}")
+        o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
         if c in maps:
             return en.merged_maps(o, n).alias(c)
         if c in keep_if_empty:
@@ -158,11 +165,19 @@ def deleted(components: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return components.join(ids, "id", "left_anti"), kept
 
 
-def patched(rows: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with patches (key, and for a column c its new value and `set_c`): a null under set_c clears, without it the old stays."""
-    changed = [c for c in patches.columns if c != key and not c.startswith("set_")]
-    joined = rows.alias("o").join(patches.alias("p"), key, "left")
-    return joined.select(*[F.when(F.coalesce(F.col(f"p.set_{c}"), F.lit(False)), F.col(f"p.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in changed else F.col(key) if c == key else F.col(f"o.{c}") for c in rows.columns])
+def patched(rows: DataFrame, patches: DataFrame, key: str | Sequence[str] = "id", order: str | None = None) -> DataFrame:
+    """Rows with patches (key, and for a column c its new value and `set_c`): a null under set_c clears, without it the old stays.
+
+    Patches of one key are applied one after the other, in `order` (nulls first; without one, by their
+    values), so that the last which sets a column counts. A null key patches nothing.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    changed = [c for c in patches.columns if f"set_{c}" in patches.columns]
+    rank = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct("*")))
+    last = lambda c: F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(f"set_{c}"), rank)).alias(f"_{c}")
+    one = patches.groupBy(*keys).agg(*(last(c) for c in changed)) if changed else patches.select(*keys).distinct()
+    joined = rows.join(one, keys, "left")
+    return joined.select(*[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}")["v"]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in rows.columns])
 
 
 def cleared(frame: DataFrame) -> DataFrame:
@@ -208,31 +223,19 @@ def enclosing_headings(lines: DataFrame, doc: str, line: str, level: str, title:
 
 
 def within_budget(items: DataFrame, group: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
-    """Items taken greedily in order while their sizes fit into the budget of their group; later smaller ones may still fit.
-
-    A group's sizes and keys are folded in one array, so a group has to fit into a task.
-    """
-    key = F.struct(*order, F.col(size).alias("_size"))
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("all"))
-
-    def add(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["_size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["_size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.slice("all", 1, 0).alias("kept"))
-    kept = rows.select(group, F.explode(F.aggregate("all", start, add, lambda acc: acc["kept"])).alias("k")).select(group, "k.*").drop("_size")
-    return items.join(kept, [group, *order], "left_semi")
+    """Items taken greedily in order while their sizes fit into the budget of their group, as `ordered.within_budget` says."""
+    return ordered.within_budget(items, [group], order, size, budget)
 
 
 def retained(items: DataFrame, score: str, least: float, share: float, key: str = "id") -> DataFrame:
-    """Items of at least `least`, but no fewer than the best `share` of all (rounded up).
+    """Items of at least `least`, but no fewer than the best `share` of all (rounded up); null and NaN scores come last.
 
-    The number that must stay is one aggregate; only where the threshold keeps too few does a top-k
-    of that size replace it.
+    Only where the threshold keeps too few, the best are found by histograms of the score.
     """
-    counts = items.agg(F.count("*").alias("n"), F.count_if(F.col(score) >= least).alias("kept")).first()
-    most = -int(-counts["n"] * share // 1)
-    return items.where(F.col(score) >= least) if counts["kept"] >= most else items.orderBy(F.desc(score), key).limit(most)
+    known = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+    counts = items.agg(F.count("*").alias("n"), F.count_if(known >= least).alias("kept")).first()
+    most = math.ceil(counts["n"] * share)
+    return items.where(known >= least) if counts["kept"] >= most else ordered.best_rows(items, score, most, [key])
 
 
 def similar(vectors: DataFrame, query: Column, limit: int = 10, least: float | None = None, strictly: bool = False, types: Sequence[str] | None = None, metadata: Mapping[str, str] | None = None, key: str = "id") -> DataFrame:
