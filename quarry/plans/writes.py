@@ -53,8 +53,9 @@ def embeddings_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upserted(old, again.select("id", "type", "x.*"), ["id", "type"], "at").select("id", "type", "v")
 
 
-@query("edges_upserted", """WITH b AS (SELECT l_orderkey AS src, l_partkey AS dst, any_value(l_suppkey) FILTER (l_linenumber = m) AS mode FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_partkey) AS m FROM lineitem WHERE l_quantity > 30) GROUP BY ALL)
-    SELECT l_orderkey AS src, l_partkey AS dst, 'flag=' || any_value(f) || coalesce(',mode=' || any_value(mode), '') AS metadata FROM (SELECT l.l_orderkey, l.l_partkey, b.mode, first_value(l_returnflag) OVER (PARTITION BY l.l_orderkey, l.l_partkey ORDER BY l_linenumber) AS f FROM lineitem l LEFT JOIN b ON b.src = l_orderkey AND b.dst = l_partkey) GROUP BY l_orderkey, l_partkey""")
+@query("edges_upserted", """WITH b AS (SELECT l_orderkey AS src, l_partkey AS dst, arg_min(l_suppkey::varchar, (l_linenumber, l_suppkey::varchar)) AS mode FROM lineitem WHERE l_quantity > 30 GROUP BY ALL),
+    o AS (SELECT l_orderkey AS src, l_partkey AS dst, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS flag FROM lineitem GROUP BY ALL)
+    SELECT src, dst, 'flag=' || flag || coalesce(',mode=' || mode, '') AS metadata FROM o LEFT JOIN b USING (src, dst)""")
 def edges_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata is merged, new keys beside the old ones."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("at"), "l_returnflag", F.col("l_suppkey").cast("string").alias("supplier"), "l_quantity")
