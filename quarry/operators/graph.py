@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import task_graph
 from quarry.sources.written import settled
 
 
@@ -177,10 +178,64 @@ def closure(edges: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFr
     raise ValueError(f"the closure has over {most} levels")
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """(node, level) of edges (src, dst): hops of the longest chain that ends at a node; null on a cycle and after one.
+
+    Rounds of Kahn's kind: each takes away the nodes that nothing left leads to, so an edge is read once.
+    """
+    links = settled(edges.select("src", "dst").distinct(), "links")
+    needs = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needs"))
+    nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    waiting, level, done = settled(nodes.join(needs, "node", "left").na.fill(0, ["needs"]), "waiting"), 0, None
+    while True:
+        ready = waiting.where("needs = 0").select("node", F.lit(level).alias("level"))
+        if ready.isEmpty():
+            rest = waiting.select("node", F.lit(None).cast("int").alias("level"))
+            return rest if done is None else done.unionByName(rest)
+        done = ready if done is None else settled(done.unionByName(ready), "levels") if level % 16 == 15 else done.unionByName(ready)
+        met = ready.join(links, ready["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+        waiting, level = settled(waiting.where("needs > 0").join(met, "node", "left").select("node", (F.col("needs") - F.coalesce("n", F.lit(0))).alias("needs")), "waiting"), level + 1
+
+
+def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, reaches): whether edges lead from src to dst, for each of the distinct pairs (src, dst); a node reaches itself.
+
+    Most pairs are decided by labels: a path leads from lower to higher levels of `peeled`, never from behind a cycle to before it,
+    and a tree of one edge into each node holds what lies within the interval of src. Only the others are walked, all
+    at once, each no further than the levels of what it still looks for.
+    """
+    asked = settled(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "asked")
+    levels = settled(peeled(edges), "levels")
+    at = lambda end: levels.select(F.col("node").alias(end), F.col("level").alias(f"{end}_level"), F.lit(True).alias(f"{end}_known"))
+    known = asked.where("src <> dst").join(at("src"), "src").join(at("dst"), "dst")
+    # a known level of dst means that no cycle lies before it
+    open_ = known.where("dst_level IS NULL OR src_level < dst_level").select("src", "dst", "src_level", "dst_level")
+    up = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst").where("src_level + 1 = dst_level").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    forest = settled(task_graph.tree_order(levels.where("level IS NOT NULL").select("node").join(up, "node", "left")).select("node", "place", "size"), "forest")
+    span = lambda end: forest.select(F.col("node").alias(end), F.col("place").alias(f"{end}_place"), F.col("size").alias(f"{end}_size"))
+    placed = settled(open_.join(span("src"), "src", "left").join(span("dst"), "dst", "left").withColumn("inside", F.coalesce((F.col("dst_place") >= F.col("src_place")) & (F.col("dst_place") < F.col("src_place") + F.col("src_size")), F.lit(False))), "placed")
+    found = asked.where("src = dst").select("src", "dst").unionByName(placed.where("inside").select("src", "dst"))
+    wanted = settled(placed.where("NOT inside").select("src", "dst", "dst_level"), "wanted")
+    steps = settled(edges.select(F.col("src").alias("node"), "dst").distinct().join(levels.select(F.col("node").alias("dst"), "level"), "dst").select("node", F.col("dst").alias("next"), "level"), "steps")
+    frontier, seen = wanted.select("src", F.col("src").alias("node")).distinct(), None
+    while not wanted.isEmpty():
+        # null: something behind a cycle is wanted, so any node may lead there
+        limit = wanted.groupBy("src").agg(F.when(F.count_if(F.col("dst_level").isNull()) == 0, F.max("dst_level")).alias("limit"))
+        far = frontier.join(limit, "src").join(steps, "node").where("limit IS NULL OR level <= limit").select("src", F.col("next").alias("node")).distinct()
+        far = settled(far if seen is None else far.join(seen, ["src", "node"], "left_anti"), "far")
+        if far.isEmpty():
+            break
+        seen = far if seen is None else settled(seen.unionByName(far), "seen")
+        hits = settled(wanted.join(far.withColumnRenamed("node", "dst"), ["src", "dst"], "left_semi").select("src", "dst"), "hits")
+        found, frontier = found.unionByName(hits), far
+        wanted = settled(wanted.join(hits, ["src", "dst"], "left_anti"), "wanted")
+    return asked.join(found.withColumn("reaches", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("reaches", F.lit(False)).alias("reaches"))
+
+
 def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """(src, dst, closes): whether an edge from src to dst would close a cycle, for candidates (src, dst)."""
-    back = closure(edges, candidates.select(F.col("dst").alias("node")).distinct()).select(F.col("seed").alias("dst"), F.col("node").alias("src"), F.lit(True).alias("found"))
-    return candidates.join(back, ["src", "dst"], "left").select("src", "dst", (F.coalesce("found", F.lit(False)) | (F.col("src") == F.col("dst"))).alias("closes"))
+    back = reachable(edges, candidates.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "reaches")
+    return candidates.join(back, ["src", "dst"], "left").select("src", "dst", F.coalesce("reaches", F.lit(False)).alias("closes"))
 
 
 def longest_depths(edges: DataFrame) -> DataFrame:
@@ -211,7 +266,7 @@ def label_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over undirected edges, however far.
 
     Labels go to all neighbours and then on to the label's own label, so that long chains shorten
-    by doubling, until no label changes. Hot nodes only cost partial minima.
+    by doubling, until no label changes. The edges of a hot node meet its label in a join that Spark splits where it is skewed.
     """
     both = settled(undirected(edges), "both")
     labels = settled(both.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component")), "labels")

@@ -143,3 +143,23 @@ def carried(rows: DataFrame, group: Sequence[str], columns: Sequence[str]) -> Da
     filled = rows.select("*", *(F.last(c, ignorenulls=True).over(within).alias(f"_own_{c}") for c in columns)).join(ends, ["_g", "chunk"])
     out = filled.select(*[F.coalesce(f"_own_{c}", F.col(f"_{c}")["v"]).alias(c) if c in columns else F.col(c) for c in rows.columns if c != "_g"])
     return out
+
+
+def numbered(rows: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+    """Rows of placed() with their place in their group, from 1, in a column `name`."""
+    g = F.struct(*group)
+    within = Window.partitionBy("_g", "chunk").orderBy("pos")
+    across = Window.partitionBy("_g").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_g", g)
+    before = rows.groupBy("_g", "chunk").agg(F.count("*").alias("_n")).select("_g", "chunk", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    return rows.withColumn(name, F.row_number().over(within)).join(before, ["_g", "chunk"]).withColumn(name, F.col(name) + F.col("_before")).drop("_g", "_before")
+
+
+def following(rows: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:
+    """Rows of placed() with the value of a column in the next row of their group, in a column `name`; null for the last row."""
+    within = Window.partitionBy("_g", "chunk").orderBy("pos")
+    after = Window.partitionBy("_g").orderBy("chunk")
+    rows = rows.withColumn("_g", F.struct(*group))
+    first = rows.groupBy("_g", "chunk").agg(F.min_by(F.struct(F.col(column).alias("v")), "pos").alias("_first")).select("_g", "chunk", F.lead("_first").over(after).alias("_next"))
+    out = rows.withColumn("_own", F.lead(F.struct(F.col(column).alias("v"))).over(within)).join(first, ["_g", "chunk"])
+    return out.withColumn(name, F.coalesce("_own", "_next")["v"]).drop("_g", "_own", "_next")

@@ -7,9 +7,12 @@ that still wait, so hot nodes only cost a partial count; the number of rounds is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import ordered
 from quarry.sources.written import settled
 
 
@@ -52,20 +55,21 @@ def schedule(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(step, node, finish): the dearest chain, from its last task (step 0) back; ties: the least node."""
+    """(step, node, finish): the dearest chain, from its last task (step 0) back; ties: the least node.
+
+    By pointer doubling over `via`: each round knows the task 2^k before each, so that the part of the
+    path that is known doubles.
+    """
     planned = settled(schedule(nodes, edges), "planned")
-    last = planned.orderBy(F.desc("finish"), "node").limit(1)
-    row = planned.agg(F.max("level").alias("level")).first()
-    at = last.select(F.lit(0).alias("step"), "node", "finish", "via")
-    out = at
-    for step in range(1, (row["level"] or 0) + 1):
-        # one row at most: the prerequisite of the one before it
-        before = at.select(F.col("via").alias("wanted"))
-        at = planned.join(F.broadcast(before), planned["node"] == before["wanted"]).select(F.lit(step).alias("step"), "node", "finish", "via")
-        if step % 8 == 0:
-            at = settled(at, "path")
-        out = out.unionByName(at)
-    return out.select("step", "node", "finish")
+    path = settled(planned.orderBy(F.desc("finish"), "node").limit(1).select("node", F.lit(0).alias("step")), "path")
+    jump, length = planned.where("via IS NOT NULL").select(F.col("node").alias("at"), F.col("via").alias("to")), 1
+    while True:
+        more = path.join(jump, path["node"] == jump["at"]).select(F.col("to").alias("node"), (F.col("step") + length).alias("step"))
+        if more.isEmpty():
+            return path.join(planned, "node").select("step", "node", "finish")
+        path = settled(path.unionByName(more), "path")
+        next_ = jump.select(F.col("at").alias("mid"), F.col("to").alias("end"))
+        jump, length = settled(jump.join(next_, jump["to"] == next_["mid"]).select("at", F.col("end").alias("to")), "jump"), 2 * length
 
 
 def blocked(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,3 +102,38 @@ def tree_places(nodes: DataFrame) -> DataFrame:
         jump *= 2
         if jump > 2 * total:
             raise CycleError("a node is its own ancestor")
+
+
+def tree_order(nodes: DataFrame, order: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """(node, parent, sibling, depth, place, size) of each distinct node of nodes (node, parent) and columns to order siblings by.
+
+    place: from 0, each node before its children, siblings in order (nulls last; ties: the least node).
+    sibling: from 1 among the children of a parent, or among the roots. size: nodes in the subtree. Null or unknown parents make roots,
+    whose parent is null here. Of repeated nodes the least parent counts, then the least in order.
+
+    An Euler tour enters each node before its children and leaves it after them; pointer doubling counts,
+    from each step of the tour, what is still to be entered. Rounds grow with the logarithm of the
+    number of nodes, whatever the depth or the number of children.
+    """
+    given = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("parent", *order)).alias("x")).select("node", "x.*")
+    names = given.select(F.col("node").alias("known"))
+    rows = given.join(names, given["parent"] == names["known"], "left").drop("parent").withColumnRenamed("known", "parent")
+    rows = ordered.placed(rows, [F.struct("parent"), *ordered.nulls_last(order), "node"], "siblings", chunks)
+    rows = settled(ordered.following(ordered.numbered(rows, ["parent"], "sibling"), ["parent"], "node", "after").select("node", "parent", "sibling", "after"), "siblings")
+    first = rows.where("sibling = 1 AND parent IS NOT NULL").select(F.col("parent").alias("node"), F.col("node").alias("child"))
+    # a step is (node, entering); null as the next step ends the tour
+    enter = rows.join(first, "node", "left").select("node", F.lit(True).alias("enters"), F.coalesce("child", "node").alias("next"), F.col("child").isNotNull().alias("next_enters"))
+    leave = rows.select("node", F.lit(False).alias("enters"), F.coalesce("after", "parent").alias("next"), F.col("after").isNotNull().alias("next_enters"))
+    tour = settled(enter.unionByName(leave).select("*", F.col("enters").cast("long").alias("n"), F.when(F.col("enters"), 1).otherwise(-1).cast("long").alias("d")), "tour")
+    total, jump = rows.count(), 1
+    while True:
+        ahead = tour.select(F.col("node").alias("at"), F.col("enters").alias("at_enters"), F.col("next").alias("then"), F.col("next_enters").alias("then_enters"), F.col("n").alias("more"), F.col("d").alias("deeper"))
+        joined = tour.join(ahead, (tour["next"] == ahead["at"]) & (tour["next_enters"] == ahead["at_enters"]), "left")
+        tour = settled(joined.select("node", "enters", F.col("then").alias("next"), F.col("then_enters").alias("next_enters"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("d") + F.coalesce("deeper", F.lit(0))).alias("d")), "tour")
+        if tour.where("next IS NOT NULL").isEmpty():
+            break
+        jump *= 2
+        if jump > 4 * total:
+            raise CycleError("a node is its own ancestor")
+    ends = tour.groupBy("node").agg(F.max(F.when(F.col("enters"), F.col("n"))).alias("to_come"), F.max(F.when(~F.col("enters"), F.col("n"))).alias("left"), F.max(F.when(F.col("enters"), -F.col("d"))).alias("depth"))
+    return rows.join(ends, "node").select("node", "parent", F.col("sibling").cast("long").alias("sibling"), "depth", (F.lit(total) - F.col("to_come")).alias("place"), (F.col("to_come") - F.col("left")).alias("size"))
