@@ -20,8 +20,8 @@ from quarry.llm import common
 
 #: Chunk sizes in bytes: least and most; ends are 1 in 2**MASK_BITS places besides.
 LEAST, MOST, MASK_BITS = 16, 128, 5
-#: Bytes from which a run of neighbouring repeated chunks counts as a repeat.
-LEAST_RUN = 64
+#: Bytes from which a run of neighbouring repeated chunks counts as a repeat; 0: all of them.
+LEAST_RUN = 0
 _GEAR = np.random.default_rng(1_234_567).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SLAB = 1 << 20
 
