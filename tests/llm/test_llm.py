@@ -162,7 +162,8 @@ def test_chunks_resist_shifts():
     assert len(cut(body) & cut(b"something new " + body)) > 0.9 * len(cut(body))
 
 
-def test_repeated_chunks_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0, 64])
+def test_repeated_chunks_against_brute_force(spark, least):
     shared, line = prose(8, 60), prose(9, 12)
     texts = {k: prose(20 + k, 30) + (shared if k % 3 == 0 else "") + prose(80 + k, 20) + (line if k % 2 else "") for k in range(20)}
     texts |= {50: texts[3], 51: None, 52: "", 53: "ab" * 300}
@@ -180,7 +181,7 @@ def test_repeated_chunks_against_brute_force(spark):
                 run.append((a, b))
                 continue
             size = sum(y - x for x, y in run)
-            if size >= chunk_dedup.LEAST_RUN:
+            if run and size >= least:
                 firsts = [min(places[body[x:y]]) for x, y in run]
                 own = [f == (k is not None, k or 0, x) for f, (x, _) in zip(firsts, run, strict=True)]
                 want.append((str(k), run[0][0], size, len(run), sum(own)))
@@ -188,10 +189,10 @@ def test_repeated_chunks_against_brute_force(spark):
             run = []
         left = b"".join(body[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(body)], strict=True))
         kept[k] = None if t is None else left.decode()
-    got = chunk_dedup.repeated_runs(docs).collect()
+    got = chunk_dedup.repeated_runs(docs, least).collect()
     assert sorted((str(r.doc_id), r.start, r.length, r.n_chunks, r.n_first) for r in got) == sorted(want)
     assert {r.doc_id for r in got} >= {50, None, *range(0, 20, 3)} and all(sum(d.size for d in r.duplicates) <= r.length for r in got)
-    out = chunk_dedup.deduplicated(docs).collect()
+    out = chunk_dedup.deduplicated(docs, least).collect()
     assert len(out) == len(rows) + 1 and all(r.kept_text == kept[r.doc_id] for r in out)
     assert all(r.removed_bytes == len((r.text or "").encode()) - len((r.kept_text or "").encode()) for r in out)
 
