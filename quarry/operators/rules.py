@@ -69,33 +69,85 @@ def complexity(type_: Column, code: Column, edges: Column) -> Column:
     return F.floor(base + lines + F.least(F.lit(3.0), F.coalesce(edges, F.lit(0)) / 5) + 0.5)
 
 
+#: Parts that rules without anything to look up are dealt to, so that no task meets all components.
+_ANYWHERE = 16
+
+
+def glob_key(pattern: Column) -> Column:
+    """(kind, value) that the path of every match of a glob has: the path itself, its first folder, its extension, or nothing."""
+    literal = F.regexp_extract(pattern, r"^([^*?/]+)/", 1)
+    ending = F.regexp_extract(pattern, r"\.([^.*?/]+)$", 1)
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    return F.when(~pattern.rlike("[*?]"), key("path", pattern)).when(literal != "", key("top", literal)).when(ending != "", key("ext", ending)).otherwise(key("any", F.lit("")))
+
+
+def pattern_key(pattern: Column) -> Column:
+    """(kind, value): three letters that every match of a regular expression holds, in lower case, or nothing.
+
+    They are found in patterns of literals and the signs . * + ? ^ $ only; others may match anywhere.
+    """
+    runs = F.split(F.regexp_replace(F.regexp_replace(pattern, ".[?*]", "\u0001"), "[.+^$]", "\u0001"), "\u0001")
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))["run"]
+    known = pattern.rlike(r"^\^?[\w .*+?$/-]*$") & (F.length(longest) >= 3)
+    return F.when(known, F.struct(F.lit("gram").alias("kind"), F.lower(F.substring(longest, 1, 3)).alias("value"))).otherwise(F.struct(F.lit("anything").alias("kind"), F.lit("").alias("value")))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(rule_id, what, kind, value, test): a row for each trigger of each rule, by what a component has to have for it to hold.
+
+    A `test` is the glob or regular expression that is left to try on those that have it.
+    """
+    plain = lambda what, column: F.transform(F.array_distinct(F.coalesce(column, F.array().cast("array<string>"))), lambda x: F.struct(F.lit(what).alias("what"), F.lit(what).alias("kind"), x.alias("value"), F.lit(None).cast("string").alias("test"), F.lit(0).alias("n")))
+    tried = lambda what, column, key: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(what).alias("what"), key(x)["kind"].alias("kind"), key(x)["value"].alias("value"), x.alias("test"), i.alias("n")))
+    rows = F.concat(plain("component_type", F.col("component_types")), plain("language", F.col("languages")), plain("layer", F.col("layers")), plain("domain", F.col("domains")), tried("file_pattern", F.col("files"), glob_key), tried("pattern", F.col("patterns"), pattern_key))
+    return rules.select(F.col("id").alias("rule_id"), F.explode(rows).alias("x")).select("rule_id", "x.*").where("kind IS NOT NULL AND value IS NOT NULL")
+
+
+def _hits(components: DataFrame, index: DataFrame) -> DataFrame:
+    """(component_id, rule_id, what, n): the triggers that hold, looked up by equality and tried only where that finds them."""
+    path = F.col("path")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    ext, top = F.nullif(F.regexp_extract(path, r"\.([^./]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(path, "^([^/]+)/", 1), F.lit(""))
+    slot = F.pmod(F.xxhash64("id"), F.lit(_ANYWHERE))
+    keys = F.array(key("component_type", F.col("type")), key("language", F.col("language")), key("layer", F.col("layer")), key("domain", F.col("domain")), key("path", path), key("top", top), key("ext", ext), key("any", slot))
+    # the rules that may hold anywhere stand in each slot, a component in one of them
+    slots = F.sequence(F.lit(0), F.lit(_ANYWHERE - 1)).cast("array<string>")
+    index = index.select("rule_id", "what", "kind", "test", "n", F.explode(F.when(F.col("kind").isin("any", "anything"), slots).otherwise(F.array("value"))).alias("value"))
+    small = components.select("id", "path", F.explode(keys).alias("k")).select("id", "path", "k.*").where("value IS NOT NULL")
+    looked_up = small.join(index, ["kind", "value"]).where(F.col("test").isNull() | matches_glob(F.col("path"), F.col("test")))
+    found = looked_up.groupBy(F.col("id").alias("component_id"), "rule_id", "what").agg(F.count("*").alias("n"))
+
+    text = F.lower(F.concat_ws("\n", "name", "code"))
+    wanted = index.where("kind = 'gram'").select("value").distinct()
+    grams = components.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))).alias("value")).join(wanted, "value", "left_semi").withColumn("kind", F.lit("gram"))
+    anything = components.select("id", slot.cast("string").alias("value"), F.lit("anything").alias("kind"))
+    maybe = grams.unionByName(anything).join(index.where("what = 'pattern'"), ["kind", "value"]).select("id", "rule_id", "test", "n")
+    hit = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit("(?i)"), F.col("test"))), F.lit(False))
+    named = maybe.join(components.select("id", "name", "code"), "id").where(hit("name") | hit("code"))
+    return found.unionByName(named.groupBy(F.col("id").alias("component_id"), "rule_id").agg(F.count("*").alias("n")).select("component_id", "rule_id", F.lit("pattern").alias("what"), "n"))
+
+
 def match_scores(components: DataFrame, rules: DataFrame) -> DataFrame:
-    """(component_id, rule_id, confidence, triggers) of each component and rule with a trigger that holds.
+    """(component_id, rule_id, priority, confidence, triggers) of each component and rule with a trigger that holds.
 
-    components: id, type, path, language, name, code, edges. rules: id, priority, component_types,
+    components: id (unique), type, path, language, name, code, edges. rules: id (unique), priority, component_types,
     files, languages, patterns, layers, domains (arrays) and least_complexity, most_complexity,
-    wants_edges. Rules are the caller's small table: they go to each component.
+    wants_edges. An index of the rules' triggers is joined by equality, so that a component meets the
+    rules that may hold for it and no others; patterns without three letters to look up meet all.
     """
-    c, r = components.alias("c"), F.broadcast(rules).alias("r")
-    both = c.join(r)
-    hits = {
-        "component_type": (F.array_contains("r.component_types", F.col("c.type")).cast("int"), 0.3),
-        "file_pattern": (F.size(F.filter("r.files", lambda p: matches_glob(F.col("c.path"), p))), 0.2),
-        "language": (F.array_contains("r.languages", F.col("c.language")).cast("int"), 0.1),
-        "pattern": (F.size(F.filter("r.patterns", lambda p: F.regexp_like(F.col("c.name"), F.concat(F.lit("(?i)"), p)) | F.coalesce(F.regexp_like(F.col("c.code"), F.concat(F.lit("(?i)"), p)), F.lit(False)))), 0.2),
-        "layer": (F.array_contains("r.layers", rk.architectural_layer(F.col("c.path"), F.col("c.name"))).cast("int"), 0.25),
-        "domain": (F.array_contains("r.domains", rk.business_domain(F.col("c.path"), F.col("c.name"), F.col("c.code"))).cast("int"), 0.15),
-    }
+    placed = components.select("id", "type", "path", "language", "name", "code", "edges", rk.architectural_layer(F.col("path"), F.col("name")).alias("layer"), rk.business_domain(F.col("path"), F.col("name"), F.col("code")).alias("domain"))
+    weights = {"component_type": 0.3, "file_pattern": 0.2, "language": 0.1, "pattern": 0.2, "layer": 0.25, "domain": 0.15}
+    hits = _hits(placed, rule_index(rules)).groupBy("component_id", "rule_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in weights))
+    facts = components.select(F.col("id").alias("component_id"), "edges", complexity(F.col("type"), F.col("code"), F.col("edges")).alias("complexity"))
+    both = hits.join(facts, "component_id").join(rules.select(F.col("id").alias("rule_id"), "priority", "least_complexity", "most_complexity", "wants_edges"), "rule_id")
     score = F.lit(0.0)
-    for n, weight in hits.values():
-        score += F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)) * weight
-    complex_ = complexity(F.col("c.type"), F.col("c.code"), F.col("c.edges"))
-    for holds in (complex_ >= F.col("r.least_complexity"), complex_ <= F.col("r.most_complexity"), F.col("r.wants_edges") & (F.col("c.edges") > 0)):
+    for name, weight in weights.items():
+        score += F.col(name) * weight
+    for holds in (F.col("complexity") >= F.col("least_complexity"), F.col("complexity") <= F.col("most_complexity"), F.col("wants_edges") & (F.col("edges") > 0)):
         score += F.when(holds, 0.1).otherwise(0.0)
-    score *= F.when(F.col("r.priority") > 5, 1.1).otherwise(1.0) * F.when(complex_ > 10, 0.9).otherwise(1.0) * F.when(F.col("c.edges") > 0, 1.05).otherwise(1.0)
-    named = F.array_compact(F.array(*[F.when(n > 0, name) for name, (n, _) in hits.items()]))
-    scored = both.select(F.col("c.id").alias("component_id"), F.col("r.id").alias("rule_id"), F.col("r.priority").alias("priority"), F.least(F.lit(1.0), score).alias("confidence"), named.alias("triggers"))
-    return scored.where(F.size("triggers") > 0)
+    score *= F.when(F.col("priority") > 5, 1.1).otherwise(1.0) * F.when(F.col("complexity") > 10, 0.9).otherwise(1.0) * F.when(F.col("edges") > 0, 1.05).otherwise(1.0)
+    named = F.array_compact(F.array(*[F.when(F.col(name) > 0, name) for name in weights]))
+    return both.select("component_id", "rule_id", "priority", F.least(F.lit(1.0), score).alias("confidence"), named.alias("triggers"))
 
 
 def applicable(scores: DataFrame, least: float = 0.5, most: int = 10) -> DataFrame:
@@ -127,7 +179,7 @@ def conflicts(rules: DataFrame) -> DataFrame:
 def transitions(tasks: DataFrame, flow: DataFrame) -> DataFrame:
     """(id, transition) of tasks (id, current, target): the first row of flow (place, transition, from, to) that allows it; * and any are wildcards."""
     ends = lambda a, b: (F.col(a) == F.col(b)) | F.col(b).isin("*", "any")
-    met = tasks.join(F.broadcast(flow), ends("current", "from") & ends("target", "to"))
+    met = tasks.join(flow, ends("current", "from") & ends("target", "to"))
     return met.groupBy("id").agg(F.min_by("transition", "place").alias("transition"))
 
 
