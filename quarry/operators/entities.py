@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import entities as en
 from quarry.functions import vector as vec
 from quarry.operators import graph, ordered
+from quarry.sources.written import settled
 
 ANY = object()
 
@@ -257,16 +258,41 @@ def similar_to(vectors: DataFrame, key_value, limit: int = 10, key: str = "id")
     return rows.withColumn("score", vec.cosine(F.col("v"), F.col("q"))).orderBy(F.desc("score"), key).limit(limit).drop("q", "q_type")
 
 
-def detected_topics(queries: DataFrame, topics: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
-    """(id, topic, score, is_new): topics (topic, v) near each query (id, v); a query without one opens a topic of its own id.
+def detected_topics(queries: DataFrame, topics: DataFrame, least: float = 0.7, most: int = 5, order: str = "id", block: int = 256) -> DataFrame:
+    """(id, topic, score, is_new): topics (topic, v) near each query (id, v), the best `most`, in the order of the queries.
 
-    Topics are a small table of the caller's: they are joined to every query.
+    A query near none opens a topic of its own vector, `topic-` and its id, which the queries after it may take as
+    well as those there were. Of the queries that are still without a topic the first `block` choose leaders among
+    themselves: each that no earlier leader is near. All later queries meet these, and the next block is of those left.
+    So each query meets each topic once, and what is broadcast is never more than a block.
     """
-    scored = queries.select("id", F.col("v").alias("q")).join(F.broadcast(topics.select("topic", "v"))).select("id", "topic", vec.cosine(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= least)
+    rank = F.struct(*dict.fromkeys((order, "id")))
+    rows = settled(queries.select("id", "v", rank.alias("_at")), "queries")
+    near = lambda asked, known, when: asked.join(F.broadcast(known)).where(when).select("id", "topic", vec.cosine(F.col("v"), F.col("topic_v")).alias("score")).where(F.col("score") >= least)
+    known = ordered.numbered(ordered.placed(topics.select(F.col("topic").cast("string").alias("topic"), F.col("v").alias("topic_v")), ["topic"], "topics"), [], "n")
+    known = settled(known.select("topic", "topic_v", F.floor((F.col("n") - 1) / block).alias("block")), "topics")
+    found = rows.select("id", F.lit("").alias("topic"), F.lit(0.0).alias("score")).limit(0)
+    for k in range((known.agg(F.max("block")).first()[0] or 0) + 1):
+        found = found.unionByName(settled(near(rows, known.where(F.col("block") == k), F.lit(True)), "near"))
+    left, opened = settled(rows.join(found.select("id").distinct(), "id", "left_anti"), "left"), rows.select("id").limit(0)
+    while True:
+        first = settled(left.orderBy("_at").limit(block), "block")
+        mine = first.select(F.col("id").alias("topic"), F.col("v").alias("topic_v"), F.col("_at").alias("topic_at"))
+        pairs = {(r["topic"], r["id"]) for r in near(first, mine, F.col("_at") > F.col("topic_at")).collect()}  # within a block
+        leaders: list = []
+        for r in first.select("id").orderBy("_at").collect():
+            if not any((a, r["id"]) in pairs for a in leaders):
+                leaders.append(r["id"])
+        if not leaders:
+            break
+        chosen = settled(mine.where(F.col("topic").isin(leaders)), "leaders")
+        met = settled(near(rows, chosen, F.col("_at") > F.col("topic_at")), "near")
+        found = found.unionByName(met.withColumn("topic", F.concat(F.lit("topic-"), F.col("topic").cast("string"))))
+        opened = opened.unionByName(chosen.select(F.col("topic").alias("id")))
+        left = settled(left.join(first.select("id").unionByName(met.select("id")).distinct(), "id", "left_anti"), "left")
     w = Window.partitionBy("id").orderBy(F.desc("score"), "topic")
-    near = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("id", F.col("topic").cast("string").alias("topic"), "score", F.lit(False).alias("is_new"))
-    new = queries.join(near.select("id"), "id", "left_anti").select("id", F.concat(F.lit("topic-"), F.col("id").cast("string")).alias("topic"), F.lit(1.0).alias("score"), F.lit(True).alias("is_new"))
-    return near.unionByName(new)
+    best = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("id", "topic", "score", F.lit(False).alias("is_new"))
+    return best.unionByName(opened.select("id", F.concat(F.lit("topic-"), F.col("id").cast("string")).alias("topic"), F.lit(1.0).alias("score"), F.lit(True).alias("is_new")))
 
 
 def crosses_boundary(current: Column, query: Column, distance: float = 0.3) -> Column:

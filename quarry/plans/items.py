@@ -250,11 +250,18 @@ def similar_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.similar(rows.join(q), F.col("q"), 10, 0.1, strictly=True, types=("1", "2", "3", "4")).select("id", F.round("score", 6).alias("score"))
 
 
-@query("detected_topics", "WITH t AS (SELECT vec_id AS topic, embedding::double[] AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT vec_id AS id, topic, list_cosine_similarity(embedding::double[], v) AS score FROM embeddings, t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS k FROM s WHERE score >= 0.1) SELECT id, topic::varchar AS topic, round(score, 6) AS score, false AS is_new FROM n WHERE k <= 2 UNION ALL SELECT vec_id, 'topic-' || vec_id, 1.0, true FROM embeddings WHERE vec_id NOT IN (SELECT id FROM n)")
+@query("detected_topics", """WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::double[] AS v FROM embeddings), t AS (SELECT id::varchar AS topic, v FROM e WHERE id < 5),
+    n AS (SELECT e.id, topic, list_cosine_similarity(e.v, t.v) AS score FROM e, t WHERE list_cosine_similarity(e.v, t.v) >= 0.2),
+    u AS (SELECT id, v, row_number() OVER (ORDER BY id) AS k FROM e WHERE id NOT IN (SELECT id FROM n)),
+    q AS (SELECT u.id, u.k, coalesce((SELECT list(b.id) FROM u b WHERE b.k < u.k AND list_cosine_similarity(u.v, b.v) >= 0.2), []) AS near FROM u),
+    w AS (SELECT 0::bigint AS k, []::bigint[] AS leaders UNION ALL SELECT q.k, CASE WHEN list_has_any(leaders, near) THEN leaders ELSE list_append(leaders, q.id) END FROM w JOIN q ON q.k = w.k + 1),
+    l AS (SELECT unnest(leaders) AS id FROM (SELECT leaders FROM w ORDER BY k DESC LIMIT 1)),
+    every AS (FROM n UNION ALL SELECT e.id, 'topic-' || x.id, list_cosine_similarity(e.v, x.v) FROM e, (SELECT e.* FROM e JOIN l USING (id)) x WHERE e.id > x.id AND list_cosine_similarity(e.v, x.v) >= 0.2)
+    SELECT id, topic, round(score, 6) AS score, false AS is_new FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS n FROM every) WHERE n <= 2 UNION ALL SELECT id, 'topic-' || id, 1.0, true FROM l""")
 def detected_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     topics = rows.where("id < 5").select(F.col("id").alias("topic"), "v")
-    return ops.detected_topics(rows, topics, 0.1, 2).select("id", "topic", F.round("score", 6).alias("score"), "is_new")
+    return ops.detected_topics(rows, topics, 0.2, 2, block=64).select("id", "topic", F.round("score", 6).alias("score"), "is_new")
 
 
 @query("efforts", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size * 8 ELSE p_size * 40 END AS hours, CASE WHEN p_size < 8 THEN p_size || 'h' WHEN p_size < 40 THEN floor(p_size / 8.0 + 0.5)::int || 'd' ELSE floor(p_size / 40.0 + 0.5)::int || 'w' END AS told FROM part")
