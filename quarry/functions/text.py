@@ -15,7 +15,8 @@ from pyspark.sql.types import StringType
 def normalised(text: Column) -> Column:
     """Without links and mail addresses, lower-cased, white space collapsed."""
     no_links = F.regexp_replace(text, r"https?://[^ \n\t]+", " ")
-    no_mail = F.regexp_replace(no_links, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", " ")
+    # a name is tried where it begins and taken whole, so that long runs of letters cost no more than their length
+    no_mail = F.regexp_replace(no_links, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+", " ")
     return F.trim(F.regexp_replace(F.lower(no_mail), r"[ \n\t\r]+", " "))
 
 
@@ -113,7 +114,7 @@ def cleaned(text: Column, urls: bool = True, emails: bool = False, html: bool =
     Compatibility forms of characters aren't folded: that needs a Python function (`compatible`).
     """
     out = F.coalesce(text, F.lit(""))
-    steps = [(urls, r"https?://\S+", ""), (emails, r"[\w.-]+@[\w.-]+\.\w+", ""), (html, "<[^>]*>", ""), (code, r"(?s)```.*?```", ""), (code, "`[^`]+`", ""), *[(True, p, r) for p, r in replacements]]
+    steps = [(urls, r"https?://\S+", ""), (emails, r"(?:(?<![\w.-])|\G)[\w.-]++@[\w.-]+\.\w+", ""), (html, "<[^>]*>", ""), (code, r"(?s)```.*?```", ""), (code, "`[^`]+`", ""), *[(True, p, r) for p, r in replacements]]
     for wanted, pattern, replacement in steps:
         out = F.regexp_replace(out, pattern, replacement) if wanted else out
     out = F.lower(out) if lower else out

@@ -293,9 +293,9 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", en.link_target(F.lit("docs/index.md"), F.concat("u", F.lit("#top")))["path"].alias("path"))
 
 
-@query("note_texts", "SELECT conv_id, turn, md5(trim(regexp_replace('Turn ' || turn || ' ' || role || ' ' || substr(text, 1, 1000) || ' task:task_' || conv_id || ' component:' || turn || ' ' || role, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS digest FROM conversations WHERE text <> ''")
+@query("note_texts", "SELECT conv_id, turn, md5(trim(regexp_replace('Turn ' || turn || ' ' || role || ' ' || substr(text, 1, 1000) || ' task:task_' || conv_id || ' component:' || turn || ' ' || role, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS digest FROM conversations")
 def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notes(spark, sf_dir).where("content <> ''").select("conv_id", "turn", F.md5(en.note_text(F.col("title"), F.col("type"), F.col("content"), F.col("links"), F.col("tags"))).alias("digest"))
+    return _notes(spark, sf_dir).select("conv_id", "turn", F.md5(en.note_text(F.col("title"), F.col("type"), F.col("content"), F.col("links"), F.col("tags"))).alias("digest"))
 
 
 @query("language_aliases", "SELECT doc_id, CASE lang WHEN 'en' THEN 'typescript' WHEN 'de' THEN 'go' WHEN 'fr' THEN 'python' ELSE lower(coalesce(lang, '')) END AS language FROM documents")

@@ -90,20 +90,20 @@ def semantic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.withColumn("semantic", F.lit(True)).unionByName(structural.withColumn("semantic", F.lit(False))).groupBy("semantic").agg(F.count("*").alias("n"))
 
 
-@query("texts_cleaned", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '<[^>]*>', '', 'g')), '[^a-z0-9_\s]|_', ' ', 'g'), '[0-9]+', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("texts_cleaned", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '<[^>]*>', '', 'g')), '[^a-z0-9_\s]|_', ' ', 'g'), '[0-9]+', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
 def texts_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(r"lang = 'en' AND NOT text RLIKE '[^\\x00-\\x7F]'")
-    return rows.select("doc_id", F.md5(tx.cleaned(F.col("text"), html=True, punctuation=True, numbers=True)).alias("digest"))
+    """Letters beyond ASCII count as punctuation, as in the patterns of words."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.cleaned(F.col("text"), html=True, punctuation=True, numbers=True)).alias("digest"))
 
 
-@query("token_counts", "SELECT conv_id, turn, ceil(length(text) / 4.0)::bigint AS gpt, ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::double)::bigint AS bert, length(text) AS chars FROM conversations WHERE text IS NOT NULL")
+@query("token_counts", "SELECT conv_id, turn, ceil(length(text) / 4.0)::bigint AS gpt, ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::double)::bigint AS bert, length(text) AS chars FROM conversations")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", tx.token_count(F.col("text")).alias("gpt"), tx.token_count(F.col("text"), "bert").alias("bert"), tx.token_count(F.col("text"), "char").alias("chars"))
 
 
-@query("word_bigrams", "WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '([a-z0-9_]+(?:-[a-z0-9_]+)*)', 1) AS ws FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(ws)::bigint), lambda k: ws[k] || ' ' || ws[k + 1])) AS gram FROM w) GROUP BY gram")
+@query("word_bigrams", "WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '([a-z0-9_]+(?:-[a-z0-9_]+)*)', 1) AS ws FROM benchmark) SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(ws)::bigint), lambda k: ws[k] || ' ' || ws[k + 1])) AS gram FROM w) GROUP BY gram")
 def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").where(r"NOT text RLIKE '[^\\x00-\\x7F]'")
+    rows = table(spark, sf_dir, "benchmark")
     grams = tx.word_ngrams(tx.tokens(F.col("text"), lower=True), 2)
     return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))

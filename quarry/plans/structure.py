@@ -61,11 +61,11 @@ def tree_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return task_graph.tree_places(kept.select(F.col("p_partkey").cast("long").alias("node"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2)).alias("parent")))
 
 
-_LINES = "SELECT conv_id, turn, string_split(text, '. ') AS lines, coalesce(list_position(list_transform(string_split(text, '. '), lambda s: contains(lower(s), 'the')), true), 0) AS hit FROM conversations WHERE text IS NOT NULL"
+_LINES = "SELECT conv_id, turn, string_split(text, '. ') AS lines, coalesce(list_position(list_transform(string_split(text, '. '), lambda s: contains(lower(s), 'the')), true), 0) AS hit FROM conversations"
 
 
-@query("text_snippets", f"SELECT conv_id, turn, CASE WHEN hit > 0 THEN 'match' ELSE 'head' END AS reason, greatest(hit, 1) AS line, md5(array_to_string(lines[greatest(greatest(hit, 1) - 3, 1) : greatest(hit, 1) + 3], '. ')) AS digest FROM ({_LINES})")
+@query("text_snippets", f"SELECT conv_id, turn, CASE WHEN lines IS NULL THEN 'none' WHEN hit > 0 THEN 'match' ELSE 'head' END AS reason, CASE WHEN lines IS NOT NULL THEN greatest(hit, 1) END AS line, md5(array_to_string(lines[greatest(greatest(hit, 1) - 3, 1) : greatest(hit, 1) + 3], '. ')) AS digest FROM ({_LINES})")
 def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tx.snippet(F.col("text"), "the", 3, ". ")
-    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", found.alias("s"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("s"))
     return rows.select("conv_id", "turn", "s.reason", "s.line", F.md5("s.snippet").alias("digest"))
