@@ -15,6 +15,8 @@ DEPENDENCY_TYPES = ("blocks", "related", "follows")
 RULE_TYPES = ("pattern", "constraint", "semantic", "automation")
 MERGES = ("append", "replace", "merge")
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "rb": "ruby", "golang": "go"}
+NOTE_TYPES = ("note", "warning", "documentation", "excalidraw")
+LINKED_TYPES = ("component", "file", "project", "relationship", "directory")
 DIAGRAMS = "flowchart|graph|sequenceDiagram|classDiagram|stateDiagram|erDiagram|journey|gantt|gitGraph|pie"
 # End of fixed values.
 
@@ -198,19 +200,91 @@ def rule_errors(name: Column, type_: Column, guidance: Column, priority: Column,
     )
 
 
+def note_errors(title: Column, content: Column, type_: Column, links: Column) -> Column:
+    """links: an array of structs with a type."""
+    kinds = F.transform(F.coalesce(links, F.array().cast("array<struct<type:string,id:string>>")), lambda x: F.coalesce(x["type"], F.lit("")))
+    return _errors(
+        {
+            "Title is required": _blank(title),
+            "Title exceeds maximum length (200 characters)": ~_blank(title) & (F.length(title) > 200),
+            "Content is required": _blank(content),
+            "Content exceeds maximum length (50,000 characters)": F.length(content) > 50_000,
+            "Invalid note type": _given_not_in(type_, NOTE_TYPES),
+            "Invalid entity type in entity links": F.exists(kinds, lambda t: ~t.isin(*LINKED_TYPES)),
+        }
+    )
+
+
+def note_update_errors(content: Column, type_: Column) -> Column:
+    """Of a change: a null content or type is left as it is."""
+    return _errors({"Content cannot be empty": content.isNotNull() & _blank(content), "Content exceeds maximum length (50,000 characters)": F.length(content) > 50_000, "Invalid note type": _given_not_in(type_, NOTE_TYPES)})
+
+
+def application_errors(entity_type: Column, entity_id: Column) -> Column:
+    missing = lambda c: F.coalesce(c, F.lit("")) == ""
+    return _errors({"Entity type is required": missing(entity_type), "Entity ID is required": missing(entity_id)})
+
+
+def rule_configuration_errors(name: Column, type_: Column, auto_apply: Column, template: Column, script: Column, threshold: Column, priority: Column) -> Column:
+    missing = lambda c: F.coalesce(c, F.lit("")) == ""
+    return _errors(
+        {
+            "Rule name is required": missing(name),
+            "Rule type is required": missing(type_),
+            "Automation rules with auto_apply must have a code_template": (type_ == "automation") & auto_apply & missing(template),
+            "Constraint rules must have a validation_script": (type_ == "constraint") & missing(script),
+            "Confidence threshold must be between 0 and 1": (threshold < 0) | (threshold > 1),
+            "Priority must be between 1 and 10": (priority < 1) | (priority > 10),
+        }
+    )
+
+
+def _tagged_blocks(lines: Column, tag: str) -> Column:
+    """Blocks of a tag: an array of struct(a, b, closed), the lines (from 0) of the fences around them; an open one ends with the text."""
+
+    def step(acc: Column, x: Column) -> Column:
+        begins, ends = (acc["at"] < 0) & x["x"].rlike(rf"(?i)^```\s*{tag}\s*$"), (acc["at"] >= 0) & x["x"].rlike(r"^```\s*$")
+        block = F.struct(acc["at"].alias("a"), x["k"].alias("b"), F.lit(True).alias("closed"))
+        return F.struct(F.when(begins, x["k"]).when(ends, -1).otherwise(acc["at"]).alias("at"), F.when(ends, F.concat(acc["out"], F.array(block))).otherwise(acc["out"]).alias("out"))
+
+    rows = F.transform(lines, lambda x, k: F.struct(k.alias("k"), x.alias("x")))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<a:int,b:int,closed:boolean>>").alias("out"))
+    left = lambda acc: F.when(acc["at"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.size(lines).alias("b"), F.lit(False).alias("closed")))))
+    return F.aggregate(rows, start, step, left)
+
+
 def markdown_errors(text: Column) -> Column:
-    """What is wrong with the fences of a Markdown text: an odd number of them, and diagrams of unknown type, with their lines."""
-    lines = F.split(text, r"\r?\n")
-    odd = F.size(F.regexp_extract_all(text, F.lit("(```)"), F.lit(1))) % 2 != 0
-    opened = F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda r: r["x"].rlike(r"(?i)^```\s*mermaid\s*$"))
-
-    def header(r: Column) -> Column:
-        after = F.transform(F.slice(lines, r["k"] + 2, F.size(lines)), lambda x, j: F.struct(j.alias("j"), F.trim(x).alias("x")))
-        return F.element_at(F.filter(after, lambda a: a["x"] != ""), 1)
-
-    bad = F.filter(F.transform(opened, lambda r: F.struct((r["k"] + 2 + header(r)["j"]).alias("line"), header(r)["x"].alias("x"))), lambda h: ~F.coalesce(h["x"].rlike(rf"(?i)^({DIAGRAMS})\b"), F.lit(False)))
-    told = F.transform(bad, lambda h: F.concat(F.lit("Mermaid block L"), h["line"].cast("string"), F.lit(": missing or unknown diagram type")))
-    return F.concat(F.when(odd, F.array(F.lit("Unclosed code block detected (``` fence count is odd)"))).otherwise(F.array().cast("array<string>")), told)
+    """What is wrong with the fences of a Markdown text and with its diagrams, with their lines from 1; null texts have no errors.
+
+    An odd number of fences; blocks of mermaid and excalidraw that aren't closed; diagrams of unknown type, with letters
+    beyond ASCII, with // outside of links, or arrays in an erDiagram; drawings that aren't JSON.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    none = F.array().cast("array<string>")
+    told = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    inside = lambda b: F.transform(F.slice(lines, b["a"] + 2, b["b"] - b["a"] - 1), lambda x, j: F.struct((b["a"] + 2 + j).alias("n"), x.alias("x")))
+    odd = F.when(F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(```)"), F.lit(1))) % 2 != 0, F.array(F.lit("Unclosed code block detected (``` fence count is odd)"))).otherwise(none)
+    open_ = lambda blocks, tag: F.transform(F.filter(blocks, lambda b: ~b["closed"]), lambda b: told(f"{tag} block starting at L", b["a"] + 1, " not closed with ```"))
+
+    def of_diagram(b: Column) -> Column:
+        head = F.get(F.filter(inside(b), lambda x: F.trim(x["x"]) != ""), 0)
+        header, at = F.trim(F.coalesce(head["x"], F.lit(""))), F.coalesce(head["n"], b["a"] + 2)
+        unknown = F.when(header.rlike(rf"(?i)^({DIAGRAMS})\b"), none).otherwise(F.array(told("Mermaid block L", at, ": missing or unknown diagram type")))
+
+        def of_line(x: Column) -> Column:
+            foreign = F.when(x["x"].rlike(r"[^\x00-\x7F]"), told("L", x["n"], ": Non-ASCII character in Mermaid (use ASCII arrows like --> or -.->)"))
+            remark = F.when(F.contains(F.regexp_replace(x["x"], r"https?://\S+", ""), F.lit("//")), told("L", x["n"], ": Use Mermaid %% comments instead of //"))
+            listed = F.when(header.rlike(r"(?i)^erDiagram\b") & (x["x"].rlike(r"\b[A-Za-z_]\w*\s*\[\s*\]")), told("L", x["n"], ": erDiagram does not support array syntax like string[]"))
+            return F.array_compact(F.array(foreign, remark, listed))
+
+        return F.concat(unknown, F.flatten(F.transform(inside(b), of_line)))
+
+    def of_drawing(b: Column) -> Column:
+        body = F.trim(F.array_join(F.transform(inside(b), lambda x: x["x"]), "\n"))
+        return F.when((body != "") & F.try_parse_json(body).isNull(), told("Excalidraw block L", b["a"] + 2, ": invalid JSON"))
+
+    diagrams, drawings = _tagged_blocks(lines, "mermaid"), _tagged_blocks(lines, "excalidraw")
+    return F.concat(odd, open_(diagrams, "mermaid"), F.flatten(F.transform(diagrams, of_diagram)), open_(drawings, "excalidraw"), F.array_compact(F.transform(drawings, of_drawing)))
 
 
 def _clean(*parts: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -156,3 +158,21 @@ def hash_vector(text: Column, size: int = 16) -> Column:
     raw = F.array(*[F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("double") / 32767.5 - 1 for k in range(size)])
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
     return F.transform(raw, lambda x: x / norm)
+
+
+def normal_vector(text: Column, size: int = 384, normalise: bool = True) -> Column:
+    """Vector of `size` values drawn from the normal distribution by SHA-256 of the text: equal texts, equal vectors; null for null.
+
+    Each digest of the text and a number gives four pairs of uniform values, and these (Box and Muller)
+    four pairs of normal ones.
+    """
+    number = lambda digest, k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double")
+
+    def eight(k: Column) -> Column:
+        digest = F.sha2(F.concat(text, F.lit("#"), k.cast("string")), 256)
+        pairs = [(F.sqrt(-2 * F.log((number(digest, 2 * j) + 1) / 4294967296.0)), 2 * math.pi * number(digest, 2 * j + 1) / 4294967296.0) for j in range(4)]
+        return F.array(*(x for r, a in pairs for x in (r * F.cos(a), r * F.sin(a))))
+
+    raw = F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-size // 8) - 1)), eight)), 1, size)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x)) + 1e-12
+    return F.when(text.isNotNull(), F.transform(raw, lambda x: x / norm) if normalise else raw)

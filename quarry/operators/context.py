@@ -13,6 +13,9 @@ from quarry.operators import entities, graph, ordered
 # Priorities of types, and edge types that only say where things stand.
 TYPE_PRIORITY = {"class": 10, "interface": 9, "function": 8, "method": 7, "property": 5, "variable": 4, "file": 3}
 HIERARCHY = ("contains", "belongs_to", "class-contains-method", "class-contains-property", "namespace-contains-class")
+# Scores of types of code and of documents; other types score 1.
+CODE_SCORES = {"class": 10.0, "interface": 9.0, "function": 8.0, "method": 6.0, "enum": 7.0, "module": 9.0, "namespace": 8.0, "property": 5.0, "variable": 4.0, "file": 3.0}
+DOCUMENT_SCORES = {"document": 8.0, "chapter": 7.0, "section": 6.0, "article": 5.0, "page": 5.0, "paragraph": 3.0, "note": 4.0, "readme": 9.0, "markdown": 4.0, "text": 2.0}
 # End of fixed values.
 
 
@@ -76,6 +79,33 @@ def item_priority(type_: Column, exported: Column, degree: Column) -> Column:
     return base * F.when(F.coalesce(exported, F.lit(False)), 1.5).otherwise(1.0) * (1 + F.least(F.coalesce(degree, F.lit(0)) / 10, F.lit(1.0)))
 
 
+def _base_priority(type_: Column, degree: Column, relevance: Column, scores: Mapping[str, float]) -> Column:
+    """1 and a tenth for each edge, times the relevance where there is one (not 0), times the type's score."""
+    kind = F.lit(1.0)
+    for name, value in scores.items():
+        kind = F.when(type_ == name, value).otherwise(kind)
+    return (1 + F.coalesce(degree, F.lit(0)) * 0.1) * F.when(F.coalesce(relevance, F.lit(0.0)) != 0, relevance).otherwise(1.0) * kind
+
+
+def code_priority(type_: Column, degree: Column, relevance: Column, exported: Column, visibility: Column) -> Column:
+    """Half more for what is exported or public, a fifth more with over five edges."""
+    seen = F.coalesce(exported, F.lit(False)) | F.coalesce(visibility == "public", F.lit(False))
+    return _base_priority(type_, degree, relevance, CODE_SCORES) * F.when(seen, 1.5).otherwise(1.0) * F.when(F.coalesce(degree, F.lit(0)) > 5, 1.2).otherwise(1.0)
+
+
+def document_priority(type_: Column, degree: Column, relevance: Column, heading: Column, summary: Column, content: Column) -> Column:
+    """Twice for a heading, half more for an introduction or summary, 1.3 with a table of contents."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    contents = yes(F.contains(content, F.lit("## Table of Contents")))
+    return _base_priority(type_, degree, relevance, DOCUMENT_SCORES) * F.when(yes(heading), 2.0).otherwise(1.0) * F.when(yes(summary), 1.5).otherwise(1.0) * F.when(contents, 1.3).otherwise(1.0)
+
+
+def with_degree(context: Context) -> DataFrame:
+    """The items with `degree`, the number of edges at either end of which they stand; a loop counts once."""
+    ends = context.edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return context.items.join(ends, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
 def packed(context: Context, budget: int, chars_per_token: float = 3.5) -> Context:
     """Items by type priority, score and id, as many as fit into the budget of tokens (20 % overhead); the edges between them. Items without a score come last."""
     tokens = F.ceil(F.length(F.coalesce("content", F.lit(""))) / chars_per_token * 1.2).cast("long")

@@ -83,6 +83,11 @@ def blocked(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return open_.join(held, open_["node"] == held["dst"]).select("node", "blockers")
 
 
+def blocking(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, waiting): tasks (node, done) that aren't done and that others wait for which aren't done either: the twin of blocked()."""
+    return blocked(tasks, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("blockers", "waiting")
+
+
 def tree_places(nodes: DataFrame) -> DataFrame:
     """(node, root, depth) of each distinct node of nodes (node, parent), by pointer doubling.
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import chunking as ch
-from quarry.operators import boolean_search, mining, references
+from quarry.functions import entities as en
+from quarry.functions import ranking as rk
+from quarry.operators import boolean_search, context, mining, references, task_graph
 from quarry.plans.registry import query
 from quarry.sources.tables import table
 
@@ -252,3 +254,75 @@ def paragraphs_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.filter(F.split(F.replace("text", F.lit(". "), F.lit("\n\n")), "\n\n"), lambda x: F.length(x) <= 300)
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.array_join(parts, "\n\n").alias("text"))
     return rows.select("conv_id", "turn", F.posexplode(ch.paragraph_chunks(F.col("text"), 300, 5)).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+@query("note_errors", """SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 5 = 0 THEN 'Title is required' END, CASE WHEN coalesce(trim(text), '') = '' THEN 'Content is required' END, CASE WHEN length(text) > 50000 THEN 'Content exceeds maximum length (50,000 characters)' END,
+    CASE WHEN role <> 'user' THEN 'Invalid note type' END, CASE WHEN turn % 3 = 1 THEN 'Invalid entity type in entity links' END], lambda x: x IS NOT NULL), ';') AS errors FROM conversations""")
+def note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.array(F.struct(F.when(F.col("turn") % 3 == 1, "task").otherwise("file").alias("type"), F.lit("x").alias("id")))
+    rows = table(spark, sf_dir, "conversations")
+    found = en.note_errors(F.when(F.col("turn") % 5 > 0, "A title"), F.col("text"), F.when(F.col("role") == "user", "note").otherwise(F.col("role")), link)
+    return rows.select("conv_id", "turn", F.array_join(found, ";").alias("errors"))
+
+
+@query("rule_configurations", """SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_size % 10 = 0 THEN 'Rule name is required' END, CASE WHEN p_size % 4 = 3 THEN 'Rule type is required' END, CASE WHEN p_size % 4 = 0 AND p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN 'Automation rules with auto_apply must have a code_template' END,
+    CASE WHEN p_size % 4 = 1 AND p_partkey % 3 = 0 THEN 'Constraint rules must have a validation_script' END, CASE WHEN p_size > 40 THEN 'Confidence threshold must be between 0 and 1' END, CASE WHEN p_partkey % 12 IN (0, 11) THEN 'Priority must be between 1 and 10' END, CASE WHEN p_partkey % 2 = 0 THEN 'Entity ID is required' END], lambda x: x IS NOT NULL), ';') AS errors FROM part""")
+def rule_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(size % 4 == 0, "automation").when(size % 4 == 1, "constraint").when(size % 4 == 2, "pattern")
+    found = en.rule_configuration_errors(F.when(size % 10 > 0, F.col("p_name")), kind, k % 2 == 0, F.when(k % 3 == 0, "code"), F.when(k % 3 > 0, "check"), size / 40, k % 12)
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.array_join(F.concat(found, en.application_errors(F.col("p_type"), F.when(k % 2 > 0, "c1"))), ";").alias("errors"))
+
+
+_FENCE = "chr(96) || chr(96) || chr(96)"
+
+
+@query("markdown_checked", f"""WITH d AS (SELECT p_partkey AS id, p_partkey % 6 AS n FROM part) SELECT id, CASE n WHEN 0 THEN 'Unclosed code block detected (' || {_FENCE} || ' fence count is odd);mermaid block starting at L2 not closed with ' || {_FENCE} WHEN 1 THEN 'Mermaid block L4: missing or unknown diagram type;L5: Use Mermaid %% comments instead of //'
+    WHEN 2 THEN 'L3: erDiagram does not support array syntax like string[];L4: Non-ASCII character in Mermaid (use ASCII arrows like --> or -.->)' WHEN 3 THEN 'Excalidraw block L2: invalid JSON' WHEN 4 THEN '' ELSE 'Mermaid block L2: missing or unknown diagram type' END AS errors FROM d""")
+def markdown_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = "```"
+    texts = [f"id {{}}\n{f}mermaid\ngraph TD\n  a-->b", f"id {{}}\n{f} Mermaid \n\n pie chart? no\n a // b, http://x.y//z\n{f}\n".replace("pie chart? no", "circle"), f"{f}mermaid\nerDiagram\n  id{{}} string[]\n  a → b\n{f}", f"{f}excalidraw\n{{{{'id': {{}}\n{f}", f"{f}excalidraw\n{{{{\"id\": {{}}}}}}\n{f}\n{f}mermaid\npie\n{f}", f"{f}mermaid\n{f}\n id {{}}"]
+    text = F.lit(None).cast("string")
+    for k, t in enumerate(texts):
+        head, tail = t.format("@").split("@")
+        text = F.when(F.col("p_partkey") % 6 == k, F.concat(F.lit(head), F.col("p_partkey").cast("string"), F.lit(tail))).otherwise(text)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(en.markdown_errors(text), ";").alias("errors"))
+
+
+@query("item_priorities", f"""WITH {_C}, d AS (SELECT id, count(*) AS n FROM (SELECT 'c' || p_partkey AS id FROM part WHERE p_partkey > 0 UNION ALL SELECT 'c' || p_partkey // 3 FROM part WHERE p_partkey > 0) GROUP BY id)
+    SELECT k AS id, round((1 + coalesce(d.n, 0) * 0.1::double) * CASE WHEN k % 4 > 0 THEN (k % 4) / 4.0::double ELSE 1 END * CASE type WHEN 'class' THEN 10 WHEN 'method' THEN 6 WHEN 'property' THEN 5 WHEN 'function' THEN 8 ELSE 3 END * CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 1.5 ELSE 1 END * CASE WHEN d.n > 5 THEN 1.2 ELSE 1 END, 6)::double AS code,
+      round((1 + coalesce(d.n, 0) * 0.1::double) * CASE type WHEN 'class' THEN 9 WHEN 'method' THEN 6 ELSE 1 END * CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END * CASE WHEN k % 2 = 0 THEN 1.5 ELSE 1 END * CASE WHEN k % 11 = 0 THEN 1.3 ELSE 1 END, 6)::double AS document FROM c LEFT JOIN d USING (id)""")
+def item_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = _c(spark, sf_dir), F.col("k")
+    edges = c.where("k > 0").select(F.col("id").alias("src"), F.expr("concat('c', k div 3)").alias("dst"), F.lit("uses").alias("type"))
+    rows = context.with_degree(context.Context(c, edges))
+    code = context.code_priority(F.col("type"), F.col("degree"), F.when(k % 4 > 0, (k % 4) / 4.0), k % 5 == 0, F.when(k % 7 == 0, "public"))
+    kind = F.when(F.col("type") == "class", "readme").when(F.col("type") == "method", "section").otherwise("other")
+    document = context.document_priority(kind, F.col("degree"), F.lit(None).cast("double"), k % 3 == 0, k % 2 == 0, F.when(k % 11 == 0, "x\n## Table of Contents"))
+    return rows.select(k.alias("id"), F.round(code, 6).alias("code"), F.round(document, 6).alias("document"))
+
+
+@query("normal_vectors", """WITH g AS (SELECT p_partkey AS id, b, j, sha256(p_name || p_partkey || '#' || b) AS d FROM part, (SELECT unnest(range(3)) AS b), (SELECT unnest(range(4)) AS j)),
+    u AS (SELECT id, b, j, (('0x' || substr(d, CAST(16 * j + 1 AS BIGINT), 8))::bigint + 1) / 4294967296.0::double AS u1, ('0x' || substr(d, CAST(16 * j + 9 AS BIGINT), 8))::bigint / 4294967296.0::double AS u2 FROM g),
+    v AS (SELECT id, b * 8 + j * 2 AS pos, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS x FROM u UNION ALL SELECT id, b * 8 + j * 2 + 1, sqrt(-2 * ln(u1)) * sin(2 * pi() * u2) FROM u)
+    SELECT id, CAST(pos AS INTEGER) AS pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY id)) + 1e-12), 8) AS x FROM (SELECT * FROM v WHERE pos < 20)""")
+def normal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(rk.normal_vector(F.concat("p_name", F.col("p_partkey").cast("string")), 20)).alias("pos", "x"))
+    return rows.select("id", "pos", F.round("x", 8).alias("x"))
+
+
+@query("task_blocking", "WITH n AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey // 2 >= 1 UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey // 3 >= 1), o AS (SELECT p_partkey AS node FROM part WHERE p_size > 10) SELECT src AS node, count(*) AS waiting FROM n WHERE src IN (FROM o) AND dst IN (FROM o) GROUP BY src")
+def task_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    tasks = part.select(F.col("p_partkey").cast("long").alias("node"), (F.col("p_size") <= 10).alias("done"))
+    needs = part.select(F.explode(F.expr("array(p_partkey div 2, p_partkey div 3)")).alias("src"), F.col("p_partkey").cast("long").alias("dst")).where("src >= 1")
+    return task_graph.blocking(tasks, needs)
+
+
+@query("tree_in_order", """WITH RECURSIVE n AS (SELECT p_partkey AS node, p_partkey // 2 AS parent, p_size AS o FROM part WHERE p_size % 7 <> 0 AND p_partkey > 0), s AS (SELECT n.node, p.node AS parent, n.o, row_number() OVER (PARTITION BY p.node ORDER BY n.o, n.node) AS sibling FROM n LEFT JOIN n p ON p.node = n.parent),
+    t AS (SELECT node, parent, sibling, 0::bigint AS depth, [sibling] AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.node, s.parent, s.sibling, t.depth + 1, list_append(t.path, s.sibling) FROM t JOIN s ON s.parent = t.node),
+    z AS (SELECT a.node, count(*) AS size FROM t a JOIN t b ON b.path[1:len(a.path)] = a.path GROUP BY a.node) SELECT node, parent, sibling, depth, row_number() OVER (ORDER BY path) - 1 AS place, size FROM t JOIN z USING (node)""")
+def tree_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preorder with siblings by size; a parent that is absent makes roots."""
+    rows = table(spark, sf_dir, "part").where("p_size % 7 <> 0 AND p_partkey > 0").select(F.col("p_partkey").cast("long").alias("node"), F.expr("p_partkey div 2").alias("parent"), F.col("p_size").alias("o"))
+    return task_graph.tree_order(rows, ["o"])
