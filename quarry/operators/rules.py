@@ -104,7 +104,7 @@ def rule_index(rules: DataFrame) -> DataFrame:
 
 
 def _hits(components: DataFrame, index: DataFrame) -> DataFrame:
-    """(component_id, rule_id, what, n): the triggers that hold, looked up by equality and tried only where that finds them."""
+    """(component_id, rule_id, what): a row for each trigger that holds, looked up by equality and tried only where that finds them."""
     path = F.col("path")
     key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
     ext, top = F.nullif(F.regexp_extract(path, r"\.([^./]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(path, "^([^/]+)/", 1), F.lit(""))
@@ -115,7 +115,7 @@ def _hits(components: DataFrame, index: DataFrame) -> DataFrame:
     index = index.select("rule_id", "what", "kind", "test", "n", F.explode(F.when(F.col("kind").isin("any", "anything"), slots).otherwise(F.array("value"))).alias("value"))
     small = components.select("id", "path", F.explode(keys).alias("k")).select("id", "path", "k.*").where("value IS NOT NULL")
     looked_up = small.join(index, ["kind", "value"]).where(F.col("test").isNull() | matches_glob(F.col("path"), F.col("test")))
-    found = looked_up.groupBy(F.col("id").alias("component_id"), "rule_id", "what").agg(F.count("*").alias("n"))
+    found = looked_up.select(F.col("id").alias("component_id"), "rule_id", "what")
 
     text = F.lower(F.concat_ws("\n", "name", "code"))
     wanted = index.where("kind = 'gram'").select("value").distinct()
@@ -124,7 +124,7 @@ def _hits(components: DataFrame, index: DataFrame) -> DataFrame:
     maybe = grams.unionByName(anything).join(index.where("what = 'pattern'"), ["kind", "value"]).select("id", "rule_id", "test", "n")
     hit = lambda c: F.coalesce(F.regexp_like(c, F.concat(F.lit("(?i)"), F.col("test"))), F.lit(False))
     named = maybe.join(components.select("id", "name", "code"), "id").where(hit("name") | hit("code"))
-    return found.unionByName(named.groupBy(F.col("id").alias("component_id"), "rule_id").agg(F.count("*").alias("n")).select("component_id", "rule_id", F.lit("pattern").alias("what"), "n"))
+    return found.unionByName(named.select(F.col("id").alias("component_id"), "rule_id", F.lit("pattern").alias("what")))
 
 
 def match_scores(components: DataFrame, rules: DataFrame) -> DataFrame:
@@ -137,7 +137,8 @@ def match_scores(components: DataFrame, rules: DataFrame) -> DataFrame:
     """
     placed = components.select("id", "type", "path", "language", "name", "code", "edges", rk.architectural_layer(F.col("path"), F.col("name")).alias("layer"), rk.business_domain(F.col("path"), F.col("name"), F.col("code")).alias("domain"))
     weights = {"component_type": 0.3, "file_pattern": 0.2, "language": 0.1, "pattern": 0.2, "layer": 0.25, "domain": 0.15}
-    hits = _hits(placed, rule_index(rules)).groupBy("component_id", "rule_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).alias(w) for w in weights))
+    # dealt by component once, for the counts and for the join with what is known of it
+    hits = _hits(placed, rule_index(rules)).repartition("component_id").groupBy("component_id", "rule_id").agg(*(F.count_if(F.col("what") == w).alias(w) for w in weights))
     facts = components.select(F.col("id").alias("component_id"), "edges", complexity(F.col("type"), F.col("code"), F.col("edges")).alias("complexity"))
     both = hits.join(facts, "component_id").join(rules.select(F.col("id").alias("rule_id"), "priority", "least_complexity", "most_complexity", "wants_edges"), "rule_id")
     score = F.lit(0.0)
