@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -30,8 +31,22 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
+        self._sizes = self._token_sizes(path)
         self._type = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
+    def _token_sizes(self, path: str) -> np.ndarray | None:
+        """The bytes of each token, where tokens are stretches of the text's bytes and none of them is changed or dropped; else None."""
+        with open(path, encoding="utf-8") as source:
+            made = json.load(source)
+        split = made.get("pre_tokenizer") or {}
+        if made.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            return None
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            sizes[k] = len(token)
+        return sizes
+
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self._type).tobytes()
 
@@ -43,12 +58,27 @@ class WordEncoder:
             new = list(words)
         if not new:
             return
-        found = self._tokenizer.encode([" " + w for w in new], is_pretokenized=True, add_special_tokens=False)
-        ids, word = np.array(found.ids, self._type).tobytes(), np.array(found.word_ids, np.int64)
+        found = self._by_size(new) if self._sizes is not None else None
+        ids, ends = found or self._by_word(new)
         size = self._type.itemsize
-        ends = (np.searchsorted(word, np.arange(len(new)), side="right") * size).tolist()
+        ends = (ends * size).tolist()
         self._known.update(zip(new, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
+    def _by_word(self, new: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of the words one after the other, and where each word's end."""
+        found = self._tokenizer.encode([" " + w for w in new], is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, self._type).tobytes(), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(new)), side="right")
+
+    def _by_size(self, new: list[str]) -> tuple[bytes, np.ndarray] | None:
+        """As _by_word, of the words as one text, whose ids fall to words by their bytes; None where they don't fit."""
+        text = " " + " ".join(new)
+        ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        wanted = np.cumsum([len(w.encode()) + 1 for w in new])
+        reached = np.cumsum(self._sizes[ids])
+        ends = np.searchsorted(reached, wanted) + 1
+        fits = len(ids) and reached[-1] == wanted[-1] and (reached[ends - 1] == wanted).all()
+        return (ids.astype(self._type).tobytes(), ends) if fits else None
+
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text."""
         parts = [None if _RUN.search(t) or any(a in t for a in self._added) else t.split(" ") for t in texts]
