@@ -1,7 +1,7 @@
 """Boolean text queries compiled to one predicate column.
 
 Grammar: OR binds weakest, then AND (also by juxtaposition), then NOT; quotes (single or double) make
-phrases and parentheses group; an open quote lasts to the end. Terms match case-insensitively anywhere in any of the searched columns.
+phrases and parentheses group; a single quote that is left open lasts to the end, a double one is an error. Terms match case-insensitively anywhere in any of the searched columns.
 A term may say how: exact:, like:, semantic:, lang:, type: or file:, before a word or a phrase.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A bracket, or a run of quoted parts and of characters that neither end a word nor group.
-_TOKEN = re.compile(r"""\s*([()]|(?:"[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s()"'])+)""")
+_TOKEN = re.compile(r"""\s*([()]|(?:"[^"]*"|'[^']*(?:'|$)|[^\s()"'])+)""")
 MODIFIERS = ("exact", "like", "semantic", "lang", "type", "file")
 
 
@@ -24,7 +24,15 @@ class QueryError(ValueError):
 
 
 def _split(query: str) -> list[str]:
-    return [m[1] for m in _TOKEN.finditer(query)]
+    tokens, at = [], 0
+    query = query.rstrip()
+    while at < len(query):
+        m = _TOKEN.match(query, at)
+        if not m:
+            raise QueryError(f"unclosed quote at {at}")
+        tokens.append(m[1])
+        at = m.end()
+    return tokens
 
 
 def _term(token: str) -> tuple[str | None, str]:

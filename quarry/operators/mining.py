@@ -95,6 +95,11 @@ def entity_of_id(text: str) -> str | None:
     return kind if mark and rest and kind in ("task", "note", "rule") and not rest.split()[1:] else None
 
 
+def entity_of(text: Column) -> Column:
+    """As entity_of_id, of a column."""
+    return F.nullif(F.regexp_extract(F.trim(text), r"^(task|note|rule)_\S+$", 1), F.lit(""))
+
+
 def cross_language(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(src, dst, type, from_language, to_language) of edges whose ends, resolved or not, are components of different languages."""
     end = lambda name: components.select(F.col("id").alias(name), F.col("language").alias(f"{name}_language"))

@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register their queries on import.
-MODULES: tuple[str, ...] = ("quarry.plans.core", "quarry.plans.analytics", "quarry.plans.structure", "quarry.plans.ranking", "quarry.plans.graphs", "quarry.plans.items", "quarry.plans.texts", "quarry.plans.statistics", "quarry.plans.files", "quarry.plans.writes", "quarry.plans.usage", "quarry.plans.cascades")
+MODULES: tuple[str, ...] = ("quarry.plans.core", "quarry.plans.analytics", "quarry.plans.structure", "quarry.plans.ranking", "quarry.plans.graphs", "quarry.plans.items", "quarry.plans.texts", "quarry.plans.statistics", "quarry.plans.files", "quarry.plans.writes", "quarry.plans.usage", "quarry.plans.cascades", "quarry.plans.scalars")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -15,7 +15,7 @@ def _cosine(a, b):
     return dot / n if n else 0.0
 
 
-@pytest.mark.parametrize("block", [1, 3, 100])
+@pytest.mark.parametrize("block", [4, 100])
 def test_topics_opened_in_the_run_take_later_queries(spark, block):
     r = random.Random(2)
     queries = [(k, [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 0.3)]) for k in range(25)] + [(30, [0.0, 0.0, 0.0]), (31, [0.0, 0.0, 0.0])]
@@ -40,9 +40,9 @@ def test_modifiers(spark):
     assert found("exact:Parser") == ["Parser"] and found("exact:'my parser'") == ["my parser"] and found("like:PARS_R") == ["Parser", "parser", "my parser"]
     assert found("lang:typescript") == ["Parser"] and found("type:METHOD parser") == ["parser"] and found('file:"SRC/"') == ["Parser"] and found("NOT lang:python") == ["Parser", "my parser"]
     assert found("semantic:x", semantic=lambda v: F.col("name").startswith("my")) == ["my parser"] and found("semantic:my") == ["my parser"]
-    assert found("other:parser") == [] and found('"my parser') == ["my parser"]
+    assert found("other:parser") == []
     assert boolean_search.terms('a AND "b c" OR NOT lang:TS (a d)') == ["a", "b c", "TS", "d"]
-    for bad in ("", "a AND", "(a", "NOT NOT a", "AND a"):
+    for bad in ("", "a AND", '"open', "(a", "NOT NOT a", "AND a"):
         with pytest.raises(boolean_search.QueryError):
             boolean_search.compile_query(bad, ["name"])
 
