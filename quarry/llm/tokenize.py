@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterable
@@ -31,15 +30,13 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
-        self._sizes = self._token_sizes(path)
+        self._sizes = self._token_sizes()
         self._type = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
-    def _token_sizes(self, path: str) -> np.ndarray | None:
+    def _token_sizes(self) -> np.ndarray | None:
         """The bytes of each token, where tokens are stretches of the text's bytes and none of them is changed or dropped; else None."""
-        with open(path, encoding="utf-8") as source:
-            made = json.load(source)
-        split = made.get("pre_tokenizer") or {}
-        if made.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        split = str(self._tokenizer.pre_tokenizer)
+        if self._tokenizer.normalizer is not None or not re.fullmatch(r"ByteLevel\(add_prefix_space=False, .*use_regex=True\)", split):
             return None
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
