@@ -8,7 +8,6 @@ A term may say how: exact:, like:, semantic:, lang:, type: or file:, before a wo
 from __future__ import annotations
 
 import re
-
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
