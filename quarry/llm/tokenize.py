@@ -14,6 +14,10 @@ _MOST_WORDS = 1_200_000
 _RUN = re.compile(r" \s| \Z")
 
 
+#: A sign that stands for itself where a tokenizer parts it from words by white space alone.
+_MARK = "\x01"
+
+
 class WordEncoder:
     """Encodes texts word by word, a word being what stands between single spaces.
 
@@ -31,6 +35,8 @@ class WordEncoder:
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
         self._sizes = self._token_sizes()
+        mark = self._tokenizer.encode(f" {_MARK}", add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else None
         self._type = np.dtype("<u2") if self._tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     def _token_sizes(self) -> np.ndarray | None:
@@ -49,13 +55,13 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words with a space before each, all in one encoding."""
-        new = [w for w in words if w not in self._known]
+        new = list(words.difference(self._known))
         if len(self._known) + len(new) > _MOST_WORDS:
             self._known.clear()
             new = list(words)
         if not new:
             return
-        found = self._by_size(new) if self._sizes is not None else None
+        found = self._by_size(new) if self._sizes is not None else self._by_mark(new) if self._mark is not None else None
         ids, ends = found or self._by_word(new)
         size = self._type.itemsize
         ends = (ends * size).tolist()
@@ -76,11 +82,20 @@ class WordEncoder:
         fits = len(ids) and reached[-1] == wanted[-1] and (reached[ends - 1] == wanted).all()
         return (ids.astype(self._type).tobytes(), ends) if fits else None
 
+    def _by_mark(self, new: list[str]) -> tuple[bytes, np.ndarray] | None:
+        """As _by_word, of the words as one text with a mark between each two; None where a word holds the mark."""
+        text = f" {_MARK}".join(" " + w for w in new)
+        ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        marks = ids == self._mark
+        at = np.flatnonzero(marks)
+        ends = np.append(at - np.arange(len(at)), len(ids) - len(at))
+        return (ids[~marks].astype(self._type).tobytes(), ends) if len(at) == len(new) - 1 else None
+
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text."""
         parts = [None if _RUN.search(t) or any(a in t for a in self._added) else t.split(" ") for t in texts]
         for at in range(0, len(parts), 64):
-            self._learn({w for p in parts[at : at + 64] if p for w in p[1:]})
+            self._learn(set().union(*(p[1:] for p in parts[at : at + 64] if p)))
             for k, (t, p) in enumerate(zip(texts[at : at + 64], parts[at : at + 64], strict=True), at):
                 parts[k] = self._whole(t) if p is None else self._whole(p[0]) + b"".join(map(self._known.__getitem__, p[1:]))
         return [np.frombuffer(x, self._type) for x in parts]
