@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -156,8 +156,18 @@ def hash_vector(text: Column, size: int = 16) -> Column:
     """Unit vector of `size` (up to 16) values from the SHA-256 of the text: equal texts, equal vectors."""
     digest = F.sha2(text, 256)
     raw = F.array(*[F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("double") / 32767.5 - 1 for k in range(size)])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    return _unit(raw, 0.0)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: a lambda computes what it names from outside anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _unit(raw: Column, least: float) -> Column:
+    """The array divided by its length (and `least`)."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)) + least
+    return _bound(raw, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def normal_vector(text: Column, size: int = 384, normalise: bool = True) -> Column:
@@ -168,11 +178,13 @@ def normal_vector(text: Column, size: int = 384, normalise: bool = True) -> Colu
     """
     number = lambda digest, k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double")
 
+    def two(digest: Column, j: Column) -> Column:
+        pair = F.struct(F.sqrt(-2 * F.log((number(digest, 2 * j) + 1) / 4294967296.0)).alias("r"), (2 * math.pi * number(digest, 2 * j + 1) / 4294967296.0).alias("a"))
+        return _bound(pair, lambda p: F.array(p["r"] * F.cos(p["a"]), p["r"] * F.sin(p["a"])))
+
     def eight(k: Column) -> Column:
         digest = F.sha2(F.concat(text, F.lit("#"), k.cast("string")), 256)
-        pairs = [(F.sqrt(-2 * F.log((number(digest, 2 * j) + 1) / 4294967296.0)), 2 * math.pi * number(digest, 2 * j + 1) / 4294967296.0) for j in range(4)]
-        return F.array(*(x for r, a in pairs for x in (r * F.cos(a), r * F.sin(a))))
+        return _bound(digest, lambda d: F.flatten(F.transform(F.array(*(F.lit(j) for j in range(4))), lambda j: two(d, j))))
 
     raw = F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-size // 8) - 1)), eight)), 1, size)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x)) + 1e-12
-    return F.when(text.isNotNull(), F.transform(raw, lambda x: x / norm) if normalise else raw)
+    return F.when(text.isNotNull(), _unit(raw, 1e-12) if normalise else raw)

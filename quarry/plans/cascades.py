@@ -307,7 +307,8 @@ def item_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     v AS (SELECT id, b * 8 + j * 2 AS pos, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS x FROM u UNION ALL SELECT id, b * 8 + j * 2 + 1, sqrt(-2 * ln(u1)) * sin(2 * pi() * u2) FROM u)
     SELECT id, CAST(pos AS INTEGER) AS pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY id)) + 1e-12), 8) AS x FROM (SELECT * FROM v WHERE pos < 20)""")
 def normal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(rk.normal_vector(F.concat("p_name", F.col("p_partkey").cast("string")), 20)).alias("pos", "x"))
+    # a small file is read by few tasks, but a row costs much
+    rows = table(spark, sf_dir, "part").repartition("p_partkey").select(F.col("p_partkey").alias("id"), F.posexplode(rk.normal_vector(F.concat("p_name", F.col("p_partkey").cast("string")), 20)).alias("pos", "x"))
     return rows.select("id", "pos", F.round("x", 8).alias("x"))
 
 
