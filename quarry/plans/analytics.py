@@ -59,7 +59,8 @@ _sql("containment_edges", "SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'owns
 _sql("range_containment", "SELECT p.p_partkey, b.low, b.high FROM part AS p JOIN (SELECT low, low + 4 AS high, (low + k) AS at FROM (SELECT DISTINCT p_size AS low FROM part) AS s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS ks) AS b ON p.p_size = b.at WHERE p.p_retailprice > 1500")
 _sql("smallest_enclosing_interval", "SELECT p_partkey, low, high FROM (SELECT p_partkey, low, high, row_number() OVER (PARTITION BY p_partkey ORDER BY high - low, low) AS n FROM part JOIN (SELECT low, high, low + k AS at FROM (SELECT p_size AS low, p_size + 1 + p_size % 7 AS high FROM part GROUP BY p_size) AS i CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) AS ks WHERE low + k < high) AS b ON p_size = b.at) AS r WHERE n = 1")
 _sql("cross_language_edges", "SELECT a.lang AS from_lang, b.lang AS to_lang, count(*) AS n FROM (SELECT source, lang FROM documents) AS a JOIN (SELECT DISTINCT source, lang FROM documents) AS b ON a.source = b.source WHERE a.lang <> b.lang GROUP BY a.lang, b.lang")
-_sql("rule_conflicts", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part AS a JOIN part AS b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey < b.p_partkey AND a.p_name <> b.p_name")
+# By default a small file is broadcast, and the few tasks that read the other side then make all pairs.
+_sql("rule_conflicts", "SELECT /*+ MERGE(a, b) */ a.p_partkey AS a, b.p_partkey AS b FROM part AS a JOIN part AS b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey < b.p_partkey AND a.p_name <> b.p_name", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part AS a JOIN part AS b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey < b.p_partkey AND a.p_name <> b.p_name")
 _sql("bidirectional_links", "SELECT s_suppkey AS a, p_partkey AS b FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45 UNION SELECT s_suppkey, p_partkey FROM part JOIN supplier ON p_size = s_suppkey")
 _sql("longest_prefix_match", "SELECT p_partkey, prefix FROM (SELECT p_partkey, prefix, row_number() OVER (PARTITION BY p_partkey ORDER BY length(prefix) DESC, prefix) AS n FROM part JOIN (SELECT DISTINCT substr(p_type, 1, k) AS prefix FROM part CROSS JOIN (SELECT 4 AS k UNION ALL SELECT 8 UNION ALL SELECT 12) AS ks) AS q ON substr(p_type, 1, length(prefix)) = prefix AND substr(p_type, 1, 4) = substr(prefix, 1, 4)) AS r WHERE n = 1")
 _sql("json_filter", "SELECT event_id, CAST(get_json_object(props, '$.k') AS bigint) AS k FROM events WHERE CAST(get_json_object(props, '$.k') AS bigint) >= 50", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS bigint) >= 50")

@@ -37,3 +37,7 @@ def test_normal_vectors_hash_a_text_once_for_eight_values(spark):
 def test_new_ids_that_are_taken_already(spark, tmp_path):
     con = _part(spark, tmp_path, [1, 2, 3, 4, 1_000_001, 1_000_002, 1_000_003], lambda k: {1: 50, 2: 50, 3: 50, 4: 50, 1_000_001: 44, 1_000_002: 48, 1_000_003: 7}[k])
     assert oracle.difference(registry.queries()["components_upserted"](spark, str(tmp_path)), con, registry.oracle_sql()["components_upserted"]) == ""
+
+
+def test_rule_conflicts_are_shuffled(spark):
+    assert "Broadcast" not in _plan(registry.queries()["rule_conflicts"](spark, "/root/testdata/sf0.001"))
