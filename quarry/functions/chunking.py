@@ -24,6 +24,8 @@ def large_segment(segment: Column, most: int, overlap: int = 50, whole_words: bo
     The split ends with the piece that reaches the end; with compat it goes on with the pieces that
     begin in that piece's overlap, each one character shorter.
     """
+    if not whole_words and not compat:
+        return _even_pieces(segment, most, overlap)
     size = F.length(segment)
 
     def step(acc: Column, _: Column) -> Column:
@@ -47,6 +49,22 @@ def large_segment(segment: Column, most: int, overlap: int = 50, whole_words: bo
     return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), begin, step, lambda acc: acc["out"])
 
 
+def _even_pieces(segment: Column, most: int, overlap: int) -> Column:
+    """Pieces at every most - overlap characters (1 at least) up to the one that reaches the end.
+
+    A place in a text is found by counting from its begin, so pieces are cut from parts of 32 steps.
+    """
+    step, run = max(1, most - overlap), 32
+    count = F.when(F.length(segment) > 0, F.greatest(F.ceil((F.length(segment) - most) / step), F.lit(0)).cast("int") + 1)
+    n = lambda first: F.least(F.lit(run), F.get(first, F.lit(1)) - F.get(first, F.lit(0)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / run).cast("int")), lambda k: k * run)
+    cut = lambda k, total: F.struct(segment.substr(k * step + 1, F.lit(run * step + most)).alias("part"), n(F.array(k, total)).alias("n"))
+    with_count = lambda total: F.transform(parts, lambda k: cut(k, total))
+    pieces = lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda k: p["part"].substr(k * step + 1, F.lit(most)))
+    every = F.flatten(F.flatten(F.transform(F.array(count), lambda total: F.transform(with_count(total), pieces))))
+    return F.when(F.length(segment) > 0, every).otherwise(F.when(segment.isNotNull(), _empty()))
+
+
 def sentence_chunks(text: Column, most: int, overlap: int = 50, separator: str = SENTENCE_END, least: int | None = None, whole_words: bool = True) -> Column:
     """Sentences packed into chunks of at most `most` characters, each begun with the last `overlap` characters before it.
 

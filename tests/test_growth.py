@@ -41,3 +41,22 @@ def test_new_ids_that_are_taken_already(spark, tmp_path):
 
 def test_rule_conflicts_are_shuffled(spark):
     assert "Broadcast" not in _plan(registry.queries()["rule_conflicts"](spark, "/root/testdata/sf0.001"))
+
+
+def test_even_pieces_are_cut_from_parts_of_the_text(spark):
+    texts = [None, "", "ab", "ż" * 200, "x" * 201, *("".join(chr(97 + k % 26) for k in range(n)) for n in (350, 351, 4799, 4800, 4801, 4850, 4851, 4999, 20_003))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+
+    def plain(t, most, overlap):
+        if t is None:
+            return None
+        out, at = [], 0
+        while at < len(t):
+            out.append(t[at : at + most])
+            at = len(t) if at + most >= len(t) else at + max(1, most - overlap)
+        return out
+
+    for most, overlap in ((200, 50), (7, 0), (20, 19)):
+        got = {r.k: r.p for r in df.select("k", ch.large_segment(F.col("t"), most, overlap, whole_words=False).alias("p")).collect()}
+        assert got == {k: plain(t, most, overlap) for k, t in enumerate(texts)}
+    assert "aggregate(" not in _optimized(df.select(ch.large_segment(F.col("t"), 200, 50, whole_words=False)))
