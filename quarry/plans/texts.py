@@ -69,7 +69,8 @@ _SYN = ", ".join(f"('{k}', '{t}', {i}, 0.9)" for k, v in discovery.SYNONYMS.item
 @query("query_expansion", f"WITH d(key, term, k, score) AS (VALUES {_SYN}), q AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN ['parse', 'function', 'handler'] WHEN 1 THEN ['db', 'config'] ELSE ['search', 'index'] END AS ws FROM part), w AS (SELECT id, unnest(ws) AS key, generate_subscripts(ws, 1) AS pos FROM q), b AS (SELECT id, term, min(struct_pack(cost := -score, pos := pos, k := k)) AS best FROM w JOIN d USING (key) GROUP BY id, term), r AS (SELECT id, term, -best.cost AS score, row_number() OVER (PARTITION BY id ORDER BY best) AS place FROM b) SELECT id, term, score::double AS score, place FROM r WHERE place <= 6")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("p_size") % 3 == 0, "parse theFunction, handler").when(F.col("p_size") % 3 == 1, "db.config").otherwise("search (index)")
-    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("query"))
+    # a small file is read by few tasks, but a row costs much
+    asked = table(spark, sf_dir, "part").repartition("p_partkey").select(F.col("p_partkey").alias("id"), text.alias("query"))
     return discovery.expanded(asked, 6).select("id", "term", "score", "place")
 
 

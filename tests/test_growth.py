@@ -60,3 +60,11 @@ def test_even_pieces_are_cut_from_parts_of_the_text(spark):
         got = {r.k: r.p for r in df.select("k", ch.large_segment(F.col("t"), most, overlap, whole_words=False).alias("p")).collect()}
         assert got == {k: plain(t, most, overlap) for k, t in enumerate(texts)}
     assert "aggregate(" not in _optimized(df.select(ch.large_segment(F.col("t"), 200, 50, whole_words=False)))
+
+
+def test_expansion_moves_no_terms(spark):
+    asked = spark.createDataFrame([(1, "Function method"), (2, None), (3, "nothing"), (4, "db cache"), (4, "db cache")], "id int, query string")
+    found = discovery.expanded(asked, 3, wanted=lambda t: t != "func")
+    assert [(r.term, r.source, r.score, r.place) for r in found.where("id = 1").orderBy("place").collect()] == [("method", "synonym", 0.9, 1), ("procedure", "synonym", 0.9, 2), ("routine", "synonym", 0.9, 3)]
+    assert {r.id for r in found.collect()} == {1, 4}
+    assert "Exchange" not in _plan(found)
