@@ -68,3 +68,11 @@ def test_expansion_moves_no_terms(spark):
     assert [(r.term, r.source, r.score, r.place) for r in found.where("id = 1").orderBy("place").collect()] == [("method", "synonym", 0.9, 1), ("procedure", "synonym", 0.9, 2), ("routine", "synonym", 0.9, 3)]
     assert {r.id for r in found.collect()} == {1, 4}
     assert "Exchange" not in _plan(found)
+
+
+def test_labels_never_pass_through_the_driver(spark, monkeypatch):
+    plans, write = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, name="round": plans.append(_plan(df)) or write(df, name))
+    edges = spark.createDataFrame([(k, k // 2) for k in range(1, 40)], "src int, dst int")
+    assert graph.component_count(spark.range(45).select(F.col("id").cast("int").alias("node")), edges).first()[:] == (6, 5)
+    assert plans and not any("Broadcast" in p for p in plans)
