@@ -76,3 +76,15 @@ def test_labels_never_pass_through_the_driver(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k // 2) for k in range(1, 40)], "src int, dst int")
     assert graph.component_count(spark.range(45).select(F.col("id").cast("int").alias("node")), edges).first()[:] == (6, 5)
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_calls_leave_the_join_as_they_are(spark):
+    r = random.Random(3)
+    rows = [(f"i{k % 50}", r.choice(["p", "q"]), r.choice(["aa", "bb", "cc", "d"]), r.choice(["aa(bb (", "cc(); d()", None, "aa(aa("])) for k in range(80)]
+    c = spark.createDataFrame(rows, "id string, path string, name string, code string")
+    want = sorted({(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0] and len(b[2]) > 1 and a[3] and (b[2] + "(" in a[3] or b[2] + " (" in a[3])})
+    found = references.call_edges(c)
+    assert sorted((x.src, x.dst) for x in found.collect()) == want
+    # pairs of ids with one name are in no aggregate, and no join waits for one broadcast side
+    once = _optimized(found).split("Union")[1].split("Join")[0]
+    assert "Aggregate" not in once and "Broadcast" not in _plan(found)
