@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import entities as en
 from quarry.functions import ranking as rk
+from quarry.sources.written import settled
 
 # Symbols and prefixes of standard libraries.
 NODE = ("assert buffer child_process cluster console constants crypto dgram dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder timers tls trace_events tty url util v8 vm worker_threads zlib").split()
@@ -216,13 +217,28 @@ def containment(components: DataFrame, width: int = 64) -> DataFrame:
     """(src, dst, type): each component to the container of its file with the fewest lines that encloses it.
 
     Containers are dealt to the bins of `width` lines that they cover and a member looks only into
-    the bin of its first line, so the join is on file and bin.
+    the bin of its first line, so the join is on file and bin. Containers of the same lines meet as one, with their two
+    least ids, and so do members; a number holds the lines and the start of a container, so that the least of them is kept
+    while the join runs and nothing it makes is sorted. An id of several rows is met by itself, as no container holds its own id.
     """
     boxes = components.where("type IN ('class', 'interface', 'namespace', 'module')")
-    dealt = boxes.select(F.col("id").alias("src"), "path", F.col("type").alias("outer"), F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))).alias("bin"))
-    rows = components.where("parent_id IS NULL AND type <> 'file'").select(F.col("id").alias("dst"), "path", F.col("type").alias("inner"), "start_line", "end_line", F.floor(F.col("start_line") / width).alias("bin"))
-    met = rows.join(dealt, ["path", "bin"]).where("src <> dst AND start_line >= a AND end_line <= b AND NOT (start_line = a AND end_line = b)")
-    best = met.groupBy("dst").agg(F.min_by(F.struct("src", "outer", "inner"), F.struct((F.col("b") - F.col("a")).alias("span"), "a", "src")).alias("x"))
+    kinds = boxes.groupBy("path", F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.col("id").alias("src")).agg(F.min("type").alias("outer"))
+    ranked = kinds.withColumn("n", F.row_number().over(Window.partitionBy("path", "a", "b").orderBy("src"))).where("n <= 2")
+    spans = ranked.groupBy("path", "a", "b").agg(F.array_sort(F.collect_list(F.struct("src", "outer"))).alias("ids"))
+    spans = settled(spans, "spans")
+    dealt = spans.select("path", "a", "b", F.col("ids")[0]["src"].alias("least"), (F.size("ids") > 1).alias("more"), F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bin"))
+    several = components.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("dst"), F.col("id").alias("own"))
+    rows = components.where("parent_id IS NULL AND type <> 'file'").select(F.col("id").alias("dst"), "path", F.col("type").alias("inner"), "start_line", "end_line").join(several, "dst", "left")
+    at = ["path", "start_line", "end_line"]
+    asked = rows.select(*at, "own").distinct().withColumn("bin", F.floor(F.col("start_line") / width))
+    met = asked.join(dealt.hint("merge"), ["path", "bin"]).where("start_line >= a AND end_line <= b AND NOT (start_line = a AND end_line = b) AND (own IS NULL OR more OR own <> least)")
+    order = (F.col("b").cast("long") - F.col("a")) * F.lit(1 << 32) + F.col("a") + F.lit(1 << 31)
+    best = met.groupBy(*at, "own").agg(F.min(order).alias("order"))
+    start = F.pmod("order", F.lit(1 << 32)) - F.lit(1 << 31)
+    best = best.select(*at, "own", start.alias("a"), (start + F.shiftright("order", 32)).alias("b")).join(spans, ["path", "a", "b"])
+    same = [rows[c] == best[c] for c in at] + [rows["own"].eqNullSafe(best["own"])]
+    found = rows.join(best, same).select("dst", "inner", "a", "b", F.get(F.filter("ids", lambda x: x["src"] != F.col("dst")), F.lit(0)).alias("x")).where("x IS NOT NULL")
+    best = found.groupBy("dst").agg(F.min_by(F.struct("x.src", "x.outer", "inner"), F.struct((F.col("b") - F.col("a")).alias("span"), "a", "x.src")).alias("x"))
     return best.select("x.src", "dst", containment_type(F.col("x.outer"), F.col("x.inner")).alias("type"))
 
 

@@ -88,3 +88,25 @@ def test_calls_leave_the_join_as_they_are(spark):
     # pairs of ids with one name are in no aggregate, and no join waits for one broadcast side
     once = _optimized(found).split("Union")[1].split("Join")[0]
     assert "Aggregate" not in once and "Broadcast" not in _plan(found)
+
+
+def test_containment_meets_equal_lines_once(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(300):
+        a = r.choice([0, 1, 5, 60, 63, 64, 70, 130])
+        rows.append((f"i{r.choice([k, k % 40])}", r.choice("pq"), r.choice(["class", "module", "method", "property", "file"]), r.choice([None, None, "x"]), a, a + r.choice([0, 3, 9, 70, 200])))
+    kinds = {}
+    rows = [x for x in rows if kinds.setdefault(x[0], x[2]) == x[2]]
+    c = spark.createDataFrame(rows, "id string, path string, type string, parent_id string, start_line int, end_line int")
+    want = {}
+    for i, p, t, parent, s, e in rows:
+        if parent is None and t != "file":
+            fits = [(b - a, a, src) for src, q, u, _, a, b in rows if u in ("class", "module") and q == p and src != i and s >= a and e <= b and (s, e) != (a, b)]
+            if fits:
+                want[i] = min([want[i], min(fits)] if i in want else [min(fits)])
+    found = references.containment(c)
+    assert {x.dst: x.src for x in found.collect()} == {i: w[2] for i, w in want.items()}
+    # what the join of bins makes goes into a hash table of distinct lines, not into a sort of all pairs
+    joined = _plan(found).split("bin")[0]
+    assert joined.count("SortAggregate") <= 2 and "min(((" in _optimized(found)
