@@ -110,3 +110,10 @@ def test_containment_meets_equal_lines_once(spark):
     # what the join of bins makes goes into a hash table of distinct lines, not into a sort of all pairs
     joined = _plan(found).split("bin")[0]
     assert joined.count("SortAggregate") <= 2 and "min(((" in _optimized(found)
+
+
+def test_ways_end_within_their_bound(spark):
+    long = [(f"n{k}", f"n{k + 1}", "x") for k in range(7)] + [("a", "b", "x")]
+    edges = spark.createDataFrame(long, "src string, dst string, type string")
+    assert [graph.flow_complexity(edges, 2, within=w).first()["depth"] for w in (3, 7, 9, None)] == [3, 7, 7, 7]
+    assert graph.closure(edges, edges.limit(0).select(F.col("src").alias("node")), within=2).count() == 0
