@@ -63,6 +63,7 @@ def usage_edges(lines: DataFrame, components: DataFrame, dialect: Dialect, chunk
     of all but its last letter: the pattern gives way until no bracket follows.
     """
     known = components.groupBy("file", "name", F.when(F.col("type") == "variable", "variable").when(F.col("type").isin("method", "function"), "callable").alias("kind")).agg(F.min_by("id", F.struct("place", "id")).alias("id")).where("kind IS NOT NULL")
+    known = settled(known, "known")  # as a table, its size is known: lines stay where they are while it is small
     callables, variables = known.where("kind = 'callable'").drop("kind"), known.where("kind = 'variable'").drop("kind")
     inside = scoped(lines, dialect, chunks).where("opens IS NULL AND method IS NOT NULL")
     inside = inside.join(callables.select("file", F.col("name").alias("method"), F.col("id").alias("src")), ["file", "method"])
@@ -78,7 +79,7 @@ def usage_edges(lines: DataFrame, components: DataFrame, dialect: Dialect, chunk
     parts = [named("function_call", dialect.call), members("method_call", dialect.member_call, dialect.owner, dialect.joint), members("property_access", dialect.member, dialect.owner, dialect.joint), named("variable_reference", dialect.variable)]
     if dialect.static_call:
         parts.append(members("static_method_call", dialect.static_call, "", "::"))
-    found = inside.select("file", "line", "class", "method", "src", F.explode(F.concat(*parts)).alias("x")).select("file", "line", "class", "method", "src", "x.*")
+    found = inside.select("file", "line", "class", "method", "src", F.explode(F.array_distinct(F.concat(*parts))).alias("x")).select("file", "line", "class", "method", "src", "x.*")
     to = lambda rows: rows.select("file", "name", F.col("id").alias("to"))
     calls = found.where("usage = 'function_call'").join(to(callables), ["file", "name"]).where("to <> src")
     uses = found.where((F.col("usage") == "variable_reference") & ~F.col("name").isin(*dialect.not_variables) & (F.col("name") != F.col("method"))).join(to(variables), ["file", "name"])

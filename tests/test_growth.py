@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import chunking as ch
 from quarry.functions import ranking as rk
-from quarry.operators import discovery, graph, references
+from quarry.operators import discovery, graph, references, usage
 from quarry.plans import registry
 from tests import oracle
 
@@ -117,3 +117,11 @@ def test_ways_end_within_their_bound(spark):
     edges = spark.createDataFrame(long, "src string, dst string, type string")
     assert [graph.flow_complexity(edges, 2, within=w).first()["depth"] for w in (3, 7, 9, None)] == [3, 7, 7, 7]
     assert graph.closure(edges, edges.limit(0).select(F.col("src").alias("node")), within=2).count() == 0
+
+
+def test_usage_of_a_line_is_told_apart_in_the_line(spark):
+    lines = spark.createDataFrame([("f", 1, "def m1(x):"), ("f", 2, "  m2(v1, v1) + m2(v1)")], "file string, line int, text string")
+    parts = spark.createDataFrame([("f", "a", "m1", "method", 0), ("f", "b", "m2", "method", 0), ("f", "c", "v1", "variable", 0)], "file string, id string, name string, type string, place int")
+    found = usage.usage_edges(lines, parts, usage.PYTHON)
+    assert sorted((x.src, x.dst, x.usage) for x in found.collect()) == [("a", "b", "function_call"), ("a", "c", "variable_reference")]
+    assert "array_distinct" in _optimized(found)
