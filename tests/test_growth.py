@@ -125,3 +125,13 @@ def test_usage_of_a_line_is_told_apart_in_the_line(spark):
     found = usage.usage_edges(lines, parts, usage.PYTHON)
     assert sorted((x.src, x.dst, x.usage) for x in found.collect()) == [("a", "b", "function_call"), ("a", "c", "variable_reference")]
     assert "array_distinct" in _optimized(found)
+
+
+def test_pairs_that_are_edges_need_no_tree(spark, monkeypatch):
+    def no_tree(*_):
+        raise AssertionError("a tree was built")
+
+    monkeypatch.setattr(graph.task_graph, "tree_order", no_tree)
+    edges = spark.createDataFrame([(k, k // 2) for k in range(2, 12)], "src int, dst int")
+    asked = spark.createDataFrame([(1, 2), (5, 11), (4, 5), (7, 7)], "src int, dst int")
+    assert {(x.src, x.dst): x.closes for x in graph.would_cycle(edges, asked).collect()} == {(1, 2): True, (5, 11): True, (4, 5): False, (7, 7): True}
