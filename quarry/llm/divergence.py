@@ -2,17 +2,22 @@
 
 A count-min sketch of the terms' document frequencies is filled by every task, merged block by block
 and shared; it never underestimates, so a term that it puts under the bound can't reach it and is left
-out before anything of it is shuffled. All others are counted exactly. Pairs of sources then meet on
-the terms that both have; what only one or none has follows from its own counts.
+out before anything of it is shuffled. All others are counted exactly, over texts that are dealt by
+language and source, so that a task meets few groups and passes each of their terms on once, not once
+for every group of the table. Pairs of sources then meet on the terms that both have; what only one or
+none has follows from its own counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +28,8 @@ LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 #: Rows and cells a row of the sketch: one byte a cell, so 8 MB in each worker whatever the input; the wider it is, the more it leaves out.
 DEPTH, WIDTH = 4, 1 << 21
 _BLOCK = 1 << 16
-#: Distinct terms a task holds before it passes them on, and bytes of a text that are split at once.
-_HELD, _SLAB = 300_000, 1 << 23
+#: Bytes of texts that are counted together (a task takes up to seventy times as many, when all terms differ), and bytes of a longer text that are split at once.
+_HELD, _SLAB = 1 << 22, 1 << 23
 
 _TERM_OR_BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -60,8 +65,10 @@ class Sketch:
         at = _cells(lang, list(counts), *self.cells.shape)
         n = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), self.cap)
         for row, cell in zip(self.cells, at, strict=True):
-            order = np.argsort(cell, kind="stable")
-            cell, first = np.unique(cell[order], return_index=True)
+            order = np.argsort(cell)
+            cell = cell[order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            cell = cell[first]
             row[cell] = np.minimum(row[cell] + np.add.reduceat(n[order], first), self.cap)
 
     def possible(self, lang: str, found: list[bytes]) -> np.ndarray:
@@ -70,24 +77,89 @@ class Sketch:
         return np.all([row[cell] >= self.cap for row, cell in zip(self.cells, at, strict=True)], axis=0)
 
 
+class Tally(NamedTuple):
+    """For each group of texts and each term it has: places of both, texts that hold it and its occurrences."""
+
+    groups: list[tuple]
+    terms: pa.Array
+    group: np.ndarray
+    term: np.ndarray
+    docs: np.ndarray
+    n: np.ndarray | None
+
+    def of_group(self, first: int, end: int) -> slice:
+        """The rows of the groups from first to end, which stand together."""
+        return slice(*np.searchsorted(self.group, (first, end)))
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys (none is negative) in order, and how often each stands; sorts keys in place."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _tally(held: list[tuple[tuple, bytes]], occurrences: bool) -> Tally:
+    """The Tally of some whole texts with their groups; groups are sorted."""
+    groups = sorted({group for group, _ in held})
+    place = {group: k for k, group in enumerate(groups)}
+    of = np.array([place[group] for group, _ in held])
+    split = pc.ascii_split_whitespace(pa.array([body.translate(_TERM_OR_BLANK) for _, body in held], pa.binary()).view(pa.string()))
+    text, found = pc.list_parent_indices(split).to_numpy(), split.flatten().dictionary_encode()
+    del split
+    code, kinds = found.indices.to_numpy(), max(1, len(found.dictionary))
+    empty = pc.index(found.dictionary, "").as_py()  # before a blank at the begin, after one at the end
+    if empty >= 0:
+        real = code != empty
+        code, text = code[real], text[real]
+    once, _ = _counted(text * kinds + code)
+    key, docs = _counted(of[once // kinds] * kinds + once % kinds)
+    n = _counted(of[text] * kinds + code)[1] if occurrences else None
+    return Tally(groups, found.dictionary, key // kinds, key % kinds, docs, n)
+
+
+def _tally_long(group: tuple, body: bytes) -> Tally:
+    """The Tally of a text that is too long to be split at once."""
+    n = Counter()
+    for some in terms(body):
+        n.update(some)
+    size = len(n)
+    return Tally([group], pa.array(list(n), pa.binary()).view(pa.string()), np.zeros(size, np.int64), np.arange(size), np.ones(size, np.int64), np.fromiter(n.values(), np.int64, size))
+
+
+def tallies(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], occurrences: bool = True) -> Iterator[Tally]:
+    """Tallies of `body` by the values of columns, each of some whole texts; n only with occurrences."""
+    held, size = [], 0
+    for batch in batches:
+        for *group, body in zip(*(batch.column(c).to_pylist() for c in (*columns, "body")), strict=True):
+            if len(body) > _HELD:
+                yield _tally_long(tuple(group), body)
+                continue
+            if held and size + len(body) > _HELD:
+                yield _tally(held, occurrences)
+                held, size = [], 0
+            held.append((tuple(group), body))
+            size += len(body)
+    if held:
+        yield _tally(held, occurrences)
+
+
+def _bytes(found: pa.Array) -> list[bytes]:
+    return found.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def _sketched(depth: int, width: int, cap: int):
     """Each task's sketch, in blocks of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, n = Sketch(depth, width, cap), defaultdict(Counter), 0
-        for batch in batches:
-            for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                mine = held[lang]
-                n -= len(mine)
-                mine.update(set().union(*terms(body)))
-                n += len(mine)
-                if n > _HELD:
-                    for key, counts in held.items():
-                        sketch.add(key, counts)
-                    held, n = defaultdict(Counter), 0
-        for key, counts in held.items():
-            if counts:
-                sketch.add(key, counts)
+        sketch = Sketch(depth, width, cap)
+        for t in tallies(batches, ("lang",), occurrences=False):
+            for k, (lang,) in enumerate(t.groups):
+                rows = t.of_group(k, k + 1)
+                if rows.start < rows.stop:
+                    sketch.add(lang, dict(zip(_bytes(t.terms.take(pa.array(t.term[rows]))), t.docs[rows].tolist(), strict=True)))
         for k, block in enumerate(sketch.cells.reshape(-1, _BLOCK)):
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "cells"])
@@ -124,38 +196,35 @@ def frequency_sketch(rows: DataFrame, least: int = LEAST, depth: int = DEPTH, wi
 def _survivors(shared):
     """lang, source, term, n, docs of each task: counts of the terms that the sketch leaves possible."""
 
-    def out(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            found = list(n)
-            kept = np.flatnonzero(shared.value.possible(lang, found)) if found else []
-            if len(kept):
-                found = [found[k] for k in kept]
-                columns = [pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array([n[t] for t in found], pa.int64()), pa.array([docs[t] for t in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = defaultdict(lambda: (Counter(), Counter())), 0
-        for batch in batches:
-            for lang, source, body in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "body")), strict=True):
-                n, docs = held[lang, source]
-                size -= len(n)
-                kinds: set[bytes] = set()
-                for some in terms(body):
-                    n.update(some)
-                    kinds.update(some)
-                docs.update(kinds)
-                size += len(n)
-                if size > _HELD:
-                    yield from out(held)
-                    held, size = defaultdict(lambda: (Counter(), Counter())), 0
-        yield from out(held)
+        for t in tallies(batches, ("lang", "source")):
+            kept, first = np.zeros(len(t.term), bool), 0
+            while first < len(t.groups):
+                lang = t.groups[first][0]
+                end = bisect_right(t.groups, lang, first, key=lambda group: group[0])
+                rows = t.of_group(first, end)
+                if rows.start < rows.stop:
+                    mine, at = np.unique(t.term[rows], return_inverse=True)
+                    kept[rows] = shared.value.possible(lang, _bytes(t.terms.take(pa.array(mine))))[at]
+                first = end
+            if kept.any():
+                group = pa.array(t.group[kept])
+                named = [pa.array([g[k] for g in t.groups], pa.string()).take(group) for k in (0, 1)]
+                columns = [*named, t.terms.take(pa.array(t.term[kept])), pa.array(t.n[kept]), pa.array(t.docs[kept])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     return run
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(plain("lang").alias("lang"), plain("source").alias("source"), text_or_empty().cast("binary").alias("body"))
+    return docs.select(plain("lang").alias("lang"), plain("source").alias("source"), text_or_empty().cast("binary").alias("body"), *more)
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """The rows in ranges of lang and source; a large group lies in several ranges, by doc_id (where there is one) and text."""
+    place = F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns))
+    return _rows(docs, place.alias("place")).repartitionByRange("lang", "source", "place").drop("place")
 
 
 def kept_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, width: int = WIDTH, table=None) -> DataFrame:
@@ -166,7 +235,7 @@ def kept_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, width:
     """
     rows = _rows(docs)
     shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(rows, least, depth, width))
-    found = rows.mapInArrow(_survivors(shared), "lang string, source string, term string, n long, docs long")
+    found = _dealt(docs).mapInArrow(_survivors(shared), "lang string, source string, term string, n long, docs long")
     counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = table(counts, "source-terms") if table else counts
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)

@@ -83,6 +83,46 @@ def test_terms_do_not_depend_on_slabs(monkeypatch):
     assert [t for part in divergence.terms(body) for t in part] == plain
 
 
+def test_tallies_of_odd_texts_and_slabs(odd, monkeypatch):
+    rows = [(lang or "", source or "", (text or "").encode()) for _, text, lang, source, *_ in odd] + [("en", "s1", b" the  of "), ("en", "s1", b"")]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=["lang", "source", "body"]) for part in (rows[:9], rows[9:])])
+    n, docs = Counter(), Counter()
+    for lang, source, body in rows:
+        found = re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", body.lower())
+        n.update((lang, source, t.decode()) for t in found)
+        docs.update((lang, source, t.decode()) for t in set(found))
+    for held, slab in ((1 << 24, 1 << 23), (200, 1 << 23), (1 << 24, 50), (1, 1)):
+        monkeypatch.setattr(divergence, "_HELD", held)
+        monkeypatch.setattr(divergence, "_SLAB", slab)
+        got_n, got_docs = Counter(), Counter()
+        for t in divergence.tallies(batches(), ("lang", "source")):
+            for g, k, d, m in zip(t.group, t.terms.take(pa.array(t.term)).to_pylist(), t.docs, t.n, strict=True):
+                got_n[*t.groups[g], k] += int(m)
+                got_docs[*t.groups[g], k] += int(d)
+        assert got_n == n and got_docs == docs
+        by_lang = Counter()
+        for t in divergence.tallies(batches(), ("lang",), occurrences=False):
+            assert (np.diff(t.group) >= 0).all()
+            for g, k, d in zip(t.group, t.terms.take(pa.array(t.term)).to_pylist(), t.docs, strict=True):
+                by_lang[*t.groups[g], k] += int(d)
+        assert by_lang == sum((Counter({(lang, t): d}) for (lang, _, t), d in docs.items()), Counter())
+
+
+def test_a_task_counts_texts_of_few_groups_and_shares_large_ones(spark):
+    rows = spark.range(4000, numPartitions=4).selectExpr("id AS doc_id", "'en' AS lang", "if(id % 2 = 0, 'large', concat('s', id % 79)) AS source", "'same text' AS text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = divergence._dealt(rows).rdd.mapPartitions(lambda part: [Counter(r.source for r in part)]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks, Counter()) == Counter(r.source for r in rows.select("source").collect())
+    assert sum(len(t) for t in tasks) <= 80 + 8
+    assert max(sum(t.values()) for t in tasks) < 1000 and max(t["large"] for t in tasks) < 1000
+
+
 def test_exact_probabilities_of_large_counts(spark):
     rows = spark.createDataFrame([(10**13, 3 * 10**13 + 7), (0, 10**12)], "n long, size long")
     assert [r[0] for r in rows.select(divergence._probability("n", "size")).collect()] == [1 + 10**9 * (10**13 + 1) // (3 * 10**13 + 7), 1]
