@@ -352,6 +352,15 @@ def table_bits(total: int) -> int:
     return 11 + round(np.log2(max(total, 1)) / 3)
 
 
+def dealt(blocks: DataFrame, tasks: int) -> DataFrame:
+    """The blocks of a manifest in so many partitions, as even as can be.
+
+    Each training task sends the rows of the table it has touched, so there are never more of them than asked for,
+    however many partitions the session's shuffles have.
+    """
+    return blocks.select("block").repartition(tasks).sortWithinPartitions("block")
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """Counts and trains over the documents that aren't held out."""
     spark = docs.sparkSession
@@ -359,23 +368,25 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     bodies = docs.select(F.col("doc_id").cast("long"), held_out().alias("held"), common.text_or_empty().cast("binary").alias("body"))
     with common.scratch(spark) as written:
         entries = written(bodies.mapInArrow(_blocks(folder), ENTRY), "lm-entries")
-        blocks = common.written(entries.select("block").distinct(), "lm-manifest")
+        # a row for BLOCK_BYTES of text: one file, whose rows repartition() without a key deals evenly
+        blocks = common.written(entries.select("block").distinct().coalesce(1).sortWithinPartitions("block"), "lm-manifest")
         total = entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         # a word has one entry a block at most
         same_word = Window.partitionBy("word")
         sign = F.when(F.min("block").over(same_word) == F.col("block"), 1).otherwise(-1)
         sums = entries.select("block", "word", (F.sum("n").over(same_word) * sign).alias("total"))
         leaves = sums.groupBy("block").applyInArrow(_counted(folder, total), LEAF)
-        leaves = leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+        # what is written leaves no shuffle files behind
+        leaves = written(leaves.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "lm-leaves").toArrow()
     prior = Prior(leaves.column("leaf").to_numpy(), leaves.column("n").to_numpy())
     distinct, bits, weights = int(leaves.column("words").to_numpy().sum()), table_bits(total), np.zeros((1 << table_bits(total), WAYS), np.float16)
     tasks = common.row_blocks(total, TASK_TOKENS << bits)
     shared_prior = spark.sparkContext.broadcast(prior)
     for k in range(rounds if total else 0):
         shared = spark.sparkContext.broadcast(weights) if k else None
-        dealt = blocks.repartition(tasks, F.xxhash64("block")).sortWithinPartitions("block").select("block")
-        slices = dealt.mapInArrow(_train(folder, total, bits, shared_prior, shared, k, rounds), SLICES).repartition(F.col("slice")).sortWithinPartitions("slice")
-        found = slices.mapInArrow(_average, SLICES).toArrow()
+        slices = dealt(blocks, tasks).mapInArrow(_train(folder, total, bits, shared_prior, shared, k, rounds), SLICES).repartition(F.col("slice")).sortWithinPartitions("slice")
+        with common.scratch(spark) as written:
+            found = written(slices.mapInArrow(_average, SLICES), "lm-weights").select("slice", "rows").toArrow()
         weights = weights.copy()
         for at, rows in zip(found.column("slice").to_pylist(), found.column("rows").to_pylist(), strict=True):
             weights[at * SLICE : (at + 1) * SLICE] = np.frombuffer(rows, np.float16).reshape(-1, WAYS)
