@@ -80,17 +80,16 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encoded = encoder(path).encoded
         for batch in batches:
-            rows: list[tuple] = []
-            known: dict[str, list[tuple]] = {}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text not in known:
-                    ids = np.append(encode([text])[0].astype("<u4"), np.uint32(end))
-                    first = len(ids) % capacity or capacity
-                    cuts = [0, *range(first, len(ids) + 1, capacity)]
-                    known[text] = [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                rows += [(doc_id, *x) for x in known[text]]
+            coded = batch.column(1).dictionary_encode()
+            cut: list[list[tuple]] = []
+            for text in encoded(coded.dictionary):
+                ids = np.append(text.astype("<u4"), np.uint32(end))
+                first = len(ids) % capacity or capacity
+                cuts = [0, *range(first, len(ids) + 1, capacity)]
+                cut.append([(k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+            rows = [(doc_id, *x) for doc_id, text in zip(batch.column(0).to_pylist(), coded.indices.to_pylist(), strict=True) for x in cut[text]]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in PIECE.split(", ")])
 
