@@ -134,19 +134,17 @@ MANIFEST = "part int, path string, docs long, tokens long"
 
 def _write(folder: str, tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encoded, part = encoder(tokenizer).encoded, TaskContext.get().partitionId()
         files, at = common.file_system(folder)
         path, own = f"{at}/part-{part:06d}.zst", f"{at}/.writing-{part:06d}-{uuid.uuid4().hex}"
         out = writer = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(k, 256).to_pylist()
-                for doc_id, ids in zip(batch.column(0).slice(k, 256).to_pylist(), encode(texts), strict=True):
-                    if writer is None:
-                        files.create_dir(at, recursive=True)
-                        out = files.open_output_stream(own)
-                        writer = Writer(out, ids.dtype.itemsize)
-                    writer.add(doc_id, ids.tobytes() + ids.dtype.type(end).tobytes())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                if writer is None:
+                    files.create_dir(at, recursive=True)
+                    out = files.open_output_stream(own)
+                    writer = Writer(out, ids.dtype.itemsize)
+                writer.add(doc_id, ids.tobytes() + ids.dtype.type(end).tobytes())
         rows = []
         if writer is not None:
             docs, tokens = writer.close()

@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quarry.llm import lm_scoring, tokenize
+from quarry.llm import lm_scoring, token_store, tokenize
 
 SIGNS = ["a", "Z", "é", "É", "ÿ", "þ", "ß", "ı", "İ", "Σ", "ł", "\u0301", "\u0327", "ª", "×", "'", "'s", "'S", "'ll", "#", "%%", ".", "1", "23", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\x00", "\x01", "日", "🙂", " ", " ", " ", "<|endoftext|>", "<|EndOfText|>", "the", "ing"]
 
@@ -57,3 +57,16 @@ def test_weights_do_not_depend_on_the_partitions_of_shuffles(spark, monkeypatch)
     assert np.abs(plain.weights.astype(np.float32)).sum() > 0
     assert np.array_equal(plain.weights, again.weights)
     assert [len(x) for x in lm_scoring.dealt(plain.blocks, 3).rdd.glom().collect()] == [2, 2, 2]
+
+
+def test_token_store_needs_no_marks_between_letters(spark, monkeypatch):
+    """A suffix of their last tokens parts runs of letters; before, each got a mark behind it, which was encoded too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = tokenize.WordEncoder(path), tokenize.WordEncoder(path)._tokenizer
+    monkeypatch.setattr(own, "_by_mark", None)
+    texts = ["one Été twotwo.\nNext don't", "STRASSE Straße one!", ""]
+    assert [x.tolist() for x in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0], None])], "doc_id long, text string")
+    rows = sorted(token_store.round_trip(docs, path).collect())
+    assert [r.n_tokens for r in rows] == [len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in [*texts, texts[0], ""]]
+    assert rows[0].ids_crc32 == rows[3].ids_crc32 and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(5)]
