@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import common
 
 UNDETERMINED = "und"
 SIZES, BUCKETS, DIMENSIONS = (3, 4), 1 << 16, 16
@@ -32,6 +33,8 @@ EPOCHS, RATE = 6, 8.0
 REJECTED_SHARE, SLACK = 0.001, 0.9
 #: Bytes that are scored at once.
 _SLAB = 1 << 20
+#: Rows that are predicted at once, and characters in which a letter is looked for before the whole text is.
+_ROWS, _BEGIN = 1_000, 64
 
 _LETTER = regex.compile(r"\p{L}")
 _TO_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -82,6 +85,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def _has_letter() -> Column:
+    """Whether text has a letter: nearly all texts show it at their begin, and only that is decoded."""
+    return F.substring("text", 1, _BEGIN).rlike(r"\p{L}") | F.col("text").rlike(r"\p{L}")
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
@@ -104,7 +112,7 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed:
     be learned.
     """
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"), F.lit(1 << 30))
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", place.alias("dealt"))
+    rows = labelled.where(F.col("lang").isNotNull() & _has_letter()).select("lang", "text", place.alias("dealt"))
     per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("dealt").alias("first")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not per:
         return None
@@ -159,21 +167,37 @@ def _calibrated(model: Model, held: list[tuple]) -> Model:
     return model
 
 
-def _predict(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = shared.value
-        for batch in batches:
+def _predicted(shared, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, bool]]]]:
+    """The rows of batches, up to _ROWS at once, and what the model says of their texts, which are column `at`."""
+    common.leave()
+    model: Model | None = shared.value
+    for batch in batches:
+        for begin in range(0, batch.num_rows, _ROWS):
+            rows = batch.slice(begin, _ROWS)
             out: list[tuple[str, float, bool]] = []
-            for text in batch.column("text").to_pylist():
+            for text in rows.column(at).to_pylist():
                 if model is None or text is None or not _LETTER.search(text):
                     out.append((UNDETERMINED, 0.0, True))
                     continue
                 out.append(model.predict(text.encode("utf-8", "replace")))
+            yield rows, out
+
+
+def _predict(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, out in _predicted(shared, 1, batches):
             lang, score, rejected = (pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))
-            kept = [k for k in batch.schema.names if k != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), lang, score, rejected], names=[*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), lang, score, rejected], names=["doc_id", "lang_pred", "score", "rejected"])
+
+    return common.released(run)
+
+
+def _keep(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, out in _predicted(shared, at, batches):
+            yield rows.filter(pa.array([not rejected for _, _, rejected in out], pa.bool_()))
 
-    return run
+    return common.released(run)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -196,11 +220,10 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that `identify` doesn't reject, with all their columns.
 
     Null texts and texts without a letter go; rows that repeat an id or a text are decided one by one.
+    Each row goes to the worker once, with its text, and only those that stay come back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return rows.mapInArrow(_predict(shared), schema).where(~F.col("rejected")).select("row.*")
+    return docs.mapInArrow(_keep(shared, [c.lower() for c in docs.columns].index("text")), docs.schema)
 
 
 def learned(docs: DataFrame) -> Model | None:

@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPA
 
     A document's tokens are its text's ids and the end id; a null text has the end id alone.
     """
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(_pieces(tokenizer, end, capacity), PIECE)
+    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(common.released(_pieces(tokenizer, end, capacity)), PIECE)
 
 
 def _packed(capacity: int):

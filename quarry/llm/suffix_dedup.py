@@ -366,7 +366,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_
         raise ValueError("length must be from 64 to 250")
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("doc_hash"), common.text_or_empty().cast("binary").alias("body"))
     with common.scratch(docs.sparkSession) as written:
-        occurrences = written(bodies.where(F.length("body") >= length).mapInArrow(_occurrences(length), OCCURRENCE), "occurrences")
+        occurrences = written(bodies.where(F.length("body") >= length).mapInArrow(common.released(_occurrences(length)), OCCURRENCE), "occurrences")
         # anchors that occur once are counted alone and leave their places behind
         anchors = occurrences.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") != F.max("segment")).alias("several")).where("n > 1")
         anchors = written(anchors, "anchors")
@@ -463,7 +463,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
     spans = find_repeats(docs, length, **limits)
     joined = packed.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.doc_hash") == F.col("s.doc_hash")), "left").select("d.row", "s.spans")
     schema = T.StructType([*joined.select("row").schema, *T.StructType.fromDDL("n_bytes long, n_removed long, removed_spans array<struct<a:int,b:int>>, kept " + ("string" if as_text else "binary"))])
-    return joined.mapInArrow(_cut(as_text), schema).select("row.*", *added)
+    return joined.mapInArrow(common.released(_cut(as_text)), schema).select("row.*", *added)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quarry.llm import common
+
 #: Pieces and ids that a worker keeps; beyond them it starts anew.
 _MOST_PIECES, _MOST_IDS = 1_200_000, 16_000_000
 #: Bytes of text that are split and coded at once.
@@ -209,11 +211,6 @@ class WordEncoder:
         return list(self.encoded(pa.array(texts, pa.large_string())))
 
 
-_loaded: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder of a tokenizer file."""
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    """This worker's encoder of a tokenizer file, kept until the worker begins another step that keeps something."""
+    return common.held(f"encoder of {path}", lambda: WordEncoder(path))

@@ -1,14 +1,18 @@
 """The ten operators: odd inputs, and brute-force versions on small fixtures."""
 
+import gc
 import hashlib
 import io
 import math
 import random
+import weakref
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -581,6 +585,29 @@ def test_language_id_learns_rare_languages(spark):
     assert len(lang_id.train(docs).languages) == 70 and len(lang_id.train(docs, languages=3).languages) == 3
 
 
+def test_language_id_sends_each_text_once_and_keeps_rows_as_they_are(spark):
+    rows = [(1, "plain words here", "a", 0.5), (2, None, "b", 0.1), (3, "1 2 3", "c", 0.2), (4, "1 2 " * 40 + "later words", "d", 0.3)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, lang_pred string, score double")
+    model = lang_id.train(spark.createDataFrame([(k, t, "en") for k, t in ((1, rows[0][1]), (2, "1 2 " * 40 + "later words"))], "doc_id long, text string, lang string"))
+    assert model.languages == ["en"]
+    kept = lang_id.keep_identified(docs, model)
+    assert "struct(" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.schema == docs.schema and {tuple(r) for r in kept.collect()} <= {rows[0], rows[3]}
+    model.least = model.least_seen = 0.0
+    assert sorted(tuple(r) for r in lang_id.keep_identified(docs, model).collect()) == [rows[0], rows[3]]
+    assert lang_id.keep_identified(docs, None).count() == 0
+
+
+def test_worker_drops_what_another_step_has_left():
+    texts = pa.record_batch([pa.array(["one text", None])], names=["text"])
+    for step in (lambda: list(lang_id._keep(SimpleNamespace(value=None), 0)(iter([texts]))), lambda: shingle_join.shingles(b"one text")):
+        left = weakref.ref(encoder(BYTE_BPE))
+        assert left() is encoder(BYTE_BPE)
+        step()
+        gc.collect()
+        assert left() is None
+
+
 @pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k // 2])
 def test_language_id_samples_rows_without_or_with_equal_ids(spark, ids):
     rows = [(ids(k), prose(k, 20) if k % 2 else "ñandú año " + prose(k, 20).upper(), "en" if k % 2 else "es") for k in range(1500)]
