@@ -135,3 +135,26 @@ def test_pairs_that_are_edges_need_no_tree(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k // 2) for k in range(2, 12)], "src int, dst int")
     asked = spark.createDataFrame([(1, 2), (5, 11), (4, 5), (7, 7)], "src int, dst int")
     assert {(x.src, x.dst): x.closes for x in graph.would_cycle(edges, asked).collect()} == {(1, 2): True, (5, 11): True, (4, 5): False, (7, 7): True}
+
+
+def test_ways_are_followed_to_their_end(spark, tmp_path):
+    """Before, the query and its SQL ended ways after 40 hops."""
+    con = _part(spark, tmp_path, [41, *(40 << k for k in range(50))], lambda k: 1)
+    found = registry.queries()["graph_flow_complexity"](spark, str(tmp_path))
+    assert found.first()["depth"] > 50
+    assert oracle.difference(found, con, registry.oracle_sql()["graph_flow_complexity"]) == ""
+
+
+def test_longest_way_of_many_roots(spark):
+    r = random.Random(11)
+    links = {(a, b) for a in range(20) for b in range(20) if r.random() < 0.08 and (a < b or r.random() < 0.2)} | {(100 + k, r.randrange(20)) for k in range(30)} | {(100, 200), *((200 + k, 201 + k) for k in range(8)), (205, 201)}
+    ends = {b for _, b in links}
+    roots, want = sorted({a for a, _ in links} - ends), 0
+    for root in roots:
+        seen, front, hop = set(), {root}, 0
+        while front := {b for a, b in links if a in front} - seen:
+            seen, hop = seen | front, hop + 1
+        want = max(want, hop)
+    edges = spark.createDataFrame(sorted(links), "src int, dst int")
+    found = graph._longest_way(edges, spark.createDataFrame([(a,) for a in roots], "node int"), leap=3, direct=0, first=1)
+    assert found.first()["depth"] == want >= 9
