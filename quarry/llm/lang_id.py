@@ -26,8 +26,10 @@ UNDETERMINED = "und"
 SIZES, BUCKETS, DIMENSIONS = (3, 4), 1 << 16, 16
 #: The bound of the training sample: so many rows of each language.
 ROWS_PER_LANGUAGE = 500
-#: The bound of the model: so many languages, the most frequent ones.
-LANGUAGES = 256
+#: The bound of the sample as a whole: where there are more languages than it has room for, each has fewer rows.
+SAMPLE_ROWS = 128_000
+#: Languages up to which the model holds a score of each for every bucket; over that, it holds the embedding.
+TABLE_LANGUAGES = 16
 EPOCHS, RATE = 6, 8.0
 #: Share of right predictions of the held-back sample that each rejection may cost, and the slack under that quantile.
 REJECTED_SHARE, SLACK = 0.001, 0.9
@@ -59,7 +61,7 @@ def features(body: bytes) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages; scores: BUCKETS x languages, and whether training saw the bucket; the bounds of rejection."""
+    """languages; scores: BUCKETS x languages (with linear: x DIMENSIONS), and whether training saw the bucket; the bounds of rejection."""
 
     languages: list[str]
     scores: np.ndarray
@@ -67,15 +69,21 @@ class Model:
     temperature: float = 1.0
     least: float = 0.0
     least_seen: float = 0.0
+    #: DIMENSIONS x languages, where scores are the embedding.
+    linear: np.ndarray | None = None
+
+    def logits(self, means: np.ndarray) -> np.ndarray:
+        """Scores of the languages by the mean of a text's buckets."""
+        return (means if self.linear is None else means @ self.linear) + self.bias
 
     def predict(self, body: bytes) -> tuple[str, float, bool]:
         """The best language, its probability, and whether it is rejected."""
-        total, n = np.zeros(len(self.languages) + 1), 0
+        total, n = np.zeros(self.scores.shape[1]), 0
         for f in features(body):
             total += self.scores[f].sum(0, dtype=np.float64)
             n += len(f)
         total /= max(n, 1)
-        p = _softmax((total[:-1] + self.bias) / self.temperature)
+        p = _softmax(self.logits(total[:-1]) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best]), bool(p[best] < self.least or total[-1] < self.least_seen)
 
@@ -102,20 +110,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "place", "ids", "counts"])
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7, languages: int = LANGUAGES) -> Model | None:
+def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed: int = 7, languages: int | None = None) -> Model | None:
     """A model of labelled rows (doc_id, text, lang); rows without a language or letters teach nothing.
 
     The sample is fixed by a hash of doc_id and text: the `rows_per_language` rows of the smallest
-    hashes in each of the `languages` most frequent languages (256 KB of the model each, which each
-    worker holds). Rows without an id, or of one id, are dealt by their texts; rows that repeat both
+    hashes in each language, fewer where there are so many languages that SAMPLE_ROWS would not do; with `languages`, of
+    the most frequent ones alone. Over TABLE_LANGUAGES a language adds 64 bytes to the model, which each worker holds. Rows without an id, or of one id, are dealt by their texts; rows that repeat both
     share a hash and are cut by rank, and every language has a row at least. None where nothing can
     be learned.
     """
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"), F.lit(1 << 30))
     rows = labelled.where(F.col("lang").isNotNull() & _has_letter()).select("lang", "text", place.alias("dealt"))
-    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("dealt").alias("first")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("dealt").alias("first")).orderBy(F.desc("n"), "lang")
+    per = (per if languages is None else per.limit(languages)).collect()
     if not per:
         return None
+    rows_per_language = max(1, min(rows_per_language, SAMPLE_ROWS // len(per)))
     names = sorted(r["lang"] for r in per)
     number = {name: k for k, name in enumerate(names)}
     # twice the rows that are wanted lie under the bound, so that next to none is missing, and the rest is cut
@@ -146,14 +156,15 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, seed:
     seen = np.zeros((BUCKETS, 1), np.float32)
     for _, ids, _ in taught:
         seen[ids] = 1
-    model = Model(names, np.hstack([embedding @ linear, seen]), bias)
+    table = len(names) <= TABLE_LANGUAGES
+    model = Model(names, np.hstack([embedding @ linear if table else embedding, seen]), bias, linear=None if table else linear)
     return _calibrated(model, held)
 
 
 def _calibrated(model: Model, held: list[tuple]) -> Model:
     """Sets the temperature of least log loss and the bounds under which predictions are rejected."""
     means = np.array([(c / c.sum()) @ model.scores[ids] for _, ids, c in held], np.float64)
-    logits, seen = means[:, :-1] + model.bias, means[:, -1]
+    logits, seen = model.logits(means[:, :-1]), means[:, -1]
     y = np.array([x[0] for x in held])
 
     def loss(t: float) -> float:
